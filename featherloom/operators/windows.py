@@ -26,7 +26,7 @@ ROLLING = {
     "max": F.max,
     "std": F.stddev_samp,
     "var": F.var_samp,
-    "count": lambda c: F.count(c).cast("double"),
+    "count": F.count,
     "first": F.first_value,
     "last": F.last_value,
 }

@@ -308,10 +308,11 @@ def _(t):
     return rounded(W.curve_change(daily(t), ["event_type"], "date", "value"), 4)
 
 
-@query("w16_last_fold", """SELECT l_orderkey, l_linenumber % 2 AS half, max(l_linenumber) AS fold, arg_max(l_quantity, l_linenumber) AS prediction FROM lineitem GROUP BY 1, 2""")
+@query("w16_last_fold", """SELECT l_orderkey, l_linenumber % 2 AS half, max(l_linenumber) AS fold,
+  max_by(p, l_linenumber) AS prediction FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS p FROM lineitem GROUP BY 1, 2) GROUP BY 1, 2""")
 def _(t):
-    base = t.lineitem.select("l_orderkey", (F.col("l_linenumber") % 2).alias("half"), F.col("l_linenumber").alias("fold"), F.col("l_quantity").alias("prediction"))
-    return W.latest_fold(base, ["l_orderkey", "half"])
+    lines = t.lineitem.groupBy("l_orderkey", F.col("l_linenumber").alias("fold")).agg(F.max("l_quantity").alias("prediction"))
+    return W.latest_fold(lines.withColumn("half", F.col("fold") % 2), ["l_orderkey", "half"])
 
 
 @query("w17_percentile_of_value", "SELECT o_orderkey, round(cume_dist() OVER (ORDER BY o_totalprice) * 100, 6) AS percentile FROM orders")
