@@ -36,4 +36,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from featherloom.queries import analysis, series, tables  # noqa: F401
+    from featherloom.queries import analysis, features, modelling, series, tables  # noqa: F401

@@ -97,18 +97,27 @@ def _(t):
     return rounded(P.correlations(t.lineitem, ["l_quantity", "l_linenumber"], "kendall"))
 
 
+GROSS = "(SELECT *, l_extendedprice * (1 + l_tax) AS gross, l_extendedprice * l_quantity AS volume FROM lineitem)"
+WIDE = ["l_quantity", "l_extendedprice", "l_tax", "gross", "volume"]
+
+
+def gross(t):
+    p = F.col("l_extendedprice")
+    return t.lineitem.withColumns({"gross": p * (1 + F.col("l_tax")), "volume": p * F.col("l_quantity")})
+
+
 @query("a12_strong_pairs", f"""SELECT *, CASE WHEN abs(r) >= 0.8 THEN 'Very strong' WHEN abs(r) >= 0.6 THEN 'Strong' ELSE 'Moderate' END AS strength
-  FROM ({_pairs_sql("corr($a, $b)", "lineitem", NUMBERS)}) WHERE abs(r) >= 0.3""")
+  FROM ({_pairs_sql("corr($a, $b)", GROSS, WIDE)}) WHERE abs(r) >= 0.3""")
 def _(t):
-    return rounded(P.strong_pairs(P.correlations(t.lineitem, NUMBERS), 0.3))
+    return rounded(P.strong_pairs(P.correlations(gross(t), WIDE), 0.3))
 
 
 @query("a12_target_ranking", f"""SELECT CASE WHEN column_a = 'l_quantity' THEN column_b ELSE column_a END AS "column", r,
   CASE WHEN abs(r) >= 0.7 THEN 'Strong' WHEN abs(r) >= 0.3 THEN 'Moderate' WHEN abs(r) < 0.1 THEN 'Weak' ELSE 'Low' END AS strength,
   CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction, row_number() OVER (ORDER BY abs(r) DESC) AS rank
-  FROM ({_pairs_sql("corr($a, $b)", "lineitem", NUMBERS)}) WHERE column_a = 'l_quantity' OR column_b = 'l_quantity'""")
+  FROM ({_pairs_sql("corr($a, $b)", GROSS, WIDE)}) WHERE column_a = 'l_quantity' OR column_b = 'l_quantity'""")
 def _(t):
-    return rounded(P.target_correlations(P.correlations(t.lineitem, NUMBERS), "l_quantity"))
+    return rounded(P.target_correlations(P.correlations(gross(t), WIDE), "l_quantity"))
 
 
 @query("a13_distribution", _per_column(["o_totalprice"], """count($) AS count, round(avg($), 4) AS mean, round(stddev_samp($), 4) AS std, min($) AS min, round(quantile_cont($, .25), 4) AS q1,
@@ -324,10 +333,11 @@ def _(t):
     return Q.outlier_rows(t.orders.select("o_orderkey", "o_totalprice"), "o_totalprice", 5000, 480000, order=["o_totalprice", "o_orderkey"])
 
 
-@query("q6_isolation_outliers")
+@query("q6_isolation_outliers", """SELECT count(*) AS n, TRUE AS share_kept, TRUE AS extremes_found FROM events""")
 def _(t):
-    out = Q.outliers_isolation(t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_extendedprice", 0.05)
-    return out.groupBy("is_outlier").agg(F.count("*").alias("n"), F.min("l_extendedprice").alias("lowest"), F.max("l_extendedprice").alias("highest"))
+    out = Q.outliers_isolation(t.events.select("event_id", "value"), "value", 0.05)
+    share = F.count_if("is_outlier") / F.count(F.lit(1))
+    return out.agg(F.count(F.lit(1)).alias("n"), ((share > 0) & (share <= 0.05)).alias("share_kept"), F.max_by("is_outlier", "value").alias("extremes_found"))
 
 
 BEFORE, AFTER = "(SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-16')", "(SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-16')"
@@ -469,9 +479,11 @@ def _(t):
     return rounded(H.ci_proportion(t.labels, "toxic"))
 
 
-@query("h11_ci_median")
+@query("h11_ci_median", "SELECT round(median(o_totalprice), 4) AS estimate, count(*) AS n, TRUE AS inside FROM orders")
 def _(t):
-    return H.ci_median(t.orders, "o_totalprice")
+    out = H.ci_median(t.orders, "o_totalprice")
+    inside = (F.col("lower") < F.col("estimate")) & (F.col("estimate") < F.col("upper"))
+    return rounded(out.select("estimate", "n", inside.alias("inside")), 4)
 
 
 @query("h12_ci_std", "SELECT count(value) AS n, round(stddev_samp(value), 6) AS estimate, TRUE AS inside FROM events")

@@ -197,7 +197,7 @@ def _(t):
 
 def _rolling_sql():
     fns = {"mean": "avg", "sum": "sum", "min": "min", "max": "max", "std": "stddev_samp", "var": "var_samp", "count": "count"}
-    cols = [f"round(CASE WHEN count(v) OVER r = 5 THEN {sql}(v) OVER r ELSE 0 END, 4) AS rolling_{name}_v_5_x" for name, sql in fns.items()]
+    cols = [f"round(CASE WHEN count(v) OVER r = 5 THEN {sql}(v) OVER r ELSE 0 END::DOUBLE, 6) AS rolling_{name}_v_5_x" for name, sql in fns.items()]
     return f"""SELECT event_id, {', '.join(cols)} FROM (SELECT event_id, user_id, ts, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS v FROM events)
       WINDOW r AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)"""
 
@@ -206,7 +206,7 @@ def _rolling_sql():
 def _(t):
     base = t.events.select("event_id", "user_id", "ts", gappy_value().alias("v"))
     out = W.rolling_features(base, "v", ["user_id"], ["ts", "event_id"], [5], ["mean", "sum", "min", "max", "std", "var", "count"], "x")
-    return rounded(out.drop("user_id", "ts", "v"), 4)
+    return rounded(out.drop("user_id", "ts", "v"), 6)
 
 
 @query("w2_rolling_first_last", """SELECT event_id, CASE WHEN count(value) OVER r = 3 THEN first_value(value) OVER r END AS rolling_first_value_3_x,

@@ -339,9 +339,9 @@ def _(t):
     return R.distinct_rows(t.lineitem, ["l_suppkey", "l_returnflag"])
 
 
-@query("u3_new_categories", """SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-16' EXCEPT SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-03'""")
+@query("u3_new_categories", """SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-16' EXCEPT SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-01 08:00:00'""")
 def _(t):
-    return R.new_values(t.events.where("ts < timestamp_ntz'2024-01-03'"), t.events.where("ts >= timestamp_ntz'2024-01-16'"), "user_id")
+    return R.new_values(t.events.where("ts < timestamp_ntz'2024-01-01 08:00:00'"), t.events.where("ts >= timestamp_ntz'2024-01-16'"), "user_id")
 
 
 # ---- scalar functions ------------------------------------------------------------------
