@@ -93,14 +93,28 @@ def earliest_by(column: Column, order: Sequence[str]) -> Column:
     raise ValueError("mixed sort directions are not supported here")
 
 
+_EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
+
+
+def naive_micros(column: Column) -> Column:
+    """Microseconds since 1970 of a timestamp without zone, independent of the session zone."""
+    return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), column)
+
+
+def from_naive_micros(micros: Column) -> Column:
+    return F.timestamp_add("MICROSECOND", micros, F.expr(_EPOCH))
+
+
 def order_number(df: DataFrame, name: str, ascending: bool = True) -> Column:
     """A double that never decreases along the sort; nulls come last."""
     kind = df.schema[name].dataType
     c = q(name)
     if isinstance(kind, T.DateType):
         c = F.unix_date(c)
-    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        c = F.unix_micros(c.cast("timestamp"))
+    elif isinstance(kind, T.TimestampType):
+        c = F.unix_micros(c)
+    elif isinstance(kind, T.TimestampNTZType):
+        c = naive_micros(c)
     elif isinstance(kind, T.StringType):
         c = F.conv(F.hex(F.substring(F.encode(F.rpad(c, 6, "\x00"), "UTF-8"), 1, 6)), 16, 10)
     c = c.cast("double")

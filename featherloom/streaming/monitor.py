@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featherloom.operators.ordered import q
+from featherloom.operators.ordered import from_naive_micros, naive_micros, q
 from featherloom.operators.quality import drift_categorical, drift_numeric
-from featherloom.params import ParameterError, is_numeric
+from featherloom.params import is_numeric
 
 
 def window_metrics(df: DataFrame, timestamp: str, actual: str, prediction: str, aggregation_window: str = "1 day", by: Sequence[str] = ()) -> DataFrame:
@@ -43,13 +43,11 @@ def start_monitor(
 ):
     """Start the query. ``refresh=None`` processes what is there and stops. Rows later than ``late_by`` are dropped."""
     naive = isinstance(stream.schema[timestamp].dataType, T.TimestampNTZType)
-    if naive:  # watermarks need a zoned timestamp; in a UTC session both read the same
-        if stream.sparkSession.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "Z"):
-            raise ParameterError("monitoring a timestamp without zone needs spark.sql.session.timeZone = UTC")
-        stream = stream.withColumn(timestamp, q(timestamp).cast("timestamp"))
+    if naive:  # watermarks need a zoned timestamp: read the wall clock as UTC, whatever the session zone
+        stream = stream.withColumn(timestamp, F.timestamp_micros(naive_micros(q(timestamp))))
     metrics = window_metrics(stream.withWatermark(timestamp, late_by), timestamp, actual, prediction, aggregation_window, by)
     if naive:
-        metrics = metrics.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+        metrics = metrics.withColumns({c: from_naive_micros(F.unix_micros(c)) for c in ("window_start", "window_end")})
     writer = metrics.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=refresh) if refresh else writer.trigger(availableNow=True)).start()
 
