@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featherloom.session import GROUP_ROWS, broadcast_if_small, fits_broadcast, limit_of, shuffle_partitions
+from featherloom.session import GROUP_ROWS, broadcast_if_small, limit_of, shuffle_partitions, small_copy
 
 CHUNK = "__chunk"
 _LAST_SLOT = 1_000_000
@@ -305,14 +305,15 @@ def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     Small lookups are broadcast after a size check. Larger ones are shuffled, with the hot
     keys of the left side spread over salts and their lookup rows repeated for each salt.
     """
-    if fits_broadcast(right):
-        return _attach(left, F.broadcast(right), on, how)
+    small = small_copy(right)
+    if small is not None:
+        return _attach(left, small, on, how)
     spark = left.sparkSession
     limit = limit_of(spark, GROUP_ROWS)
     hot = left.groupBy(*[q(k) for k in on]).count().where(F.col("count") > limit).drop("count").withColumn("__hot", F.lit(1))
     if not hot.limit(1).count():
         return _attach(left, right, on, how)
-    hot = broadcast_if_small(hot.coalesce(1))
+    hot = broadcast_if_small(hot)  # at most rows / limit keys
     salts = shuffle_partitions(spark)
     salted = _attach(left, hot, on)
     salted = salted.withColumn(

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from featherloom.operators.ordered import (
     average_ranks,
+    cumulative_counts,
     lookup_join,
     q,
     row_numbers,
@@ -23,6 +24,7 @@ from featherloom.operators.ordered import (
 )
 from featherloom.operators.quantiles import exact_quantiles
 from featherloom.params import ParameterError, is_numeric, need_columns, numeric_columns, one_of
+from featherloom.session import materialise
 
 _CHUNK = 200
 
@@ -211,11 +213,15 @@ def _corr(a: Column, b: Column) -> Column:
 def _spearman(df: DataFrame, columns: Sequence[str], pairs) -> list[tuple]:
     got = wide_aggregate(df, {"n": F.count(F.lit(1)), **{f"c|{c}": F.count(q(c)) for c in columns}})
     complete = all(got[f"c|{c}"] == got["n"] for c in columns)
-    if complete:  # every pair uses the same ranks: one lookup per column, then one aggregate
-        ranked = df.select(*[q(c) for c in columns])
-        for i, c in enumerate(columns):
-            ranks = average_ranks(df, c).select(F.col("value").alias(c), F.col("rank").alias(f"__rank{i}"))
-            ranked = lookup_join(ranked, ranks, [c])
+    if complete:  # every pair uses the same ranks: rank all columns at once, one lookup per column, one aggregate
+        items = F.explode(F.array(*[F.struct(F.lit(i).alias("col"), q(c).cast("double").alias("value")) for i, c in enumerate(columns)]))
+        counts = df.select(items.alias("p")).select("p.*").groupBy("col", "value").agg(F.count(F.lit(1)).alias("n"))
+        ranks = cumulative_counts(counts, ["col"], ["n"]).select("col", "value", (F.col("before_n") + (F.col("n") + 1) / 2).alias("rank"))
+        ranks = materialise(ranks, "ranks")
+        ranked = df.select(*[q(c).cast("double").alias(f"__x{i}") for i, c in enumerate(columns)])
+        for i in range(len(columns)):
+            one = ranks.where(F.col("col") == i).select(F.col("value").alias(f"__x{i}"), F.col("rank").alias(f"__rank{i}"))
+            ranked = lookup_join(ranked, one, [f"__x{i}"])
         at = {c: f"__rank{i}" for i, c in enumerate(columns)}
         got = wide_aggregate(ranked, {f"{a}|{b}": F.corr(at[a], at[b]) for a, b in pairs})
         return [(a, b, _float(got[f"{a}|{b}"])) for a, b in pairs]

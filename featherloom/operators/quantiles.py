@@ -13,6 +13,7 @@ from featherloom.params import ParameterError
 from featherloom.session import GROUP_ROWS, limit_of
 
 _ACCURACY = 10_000
+_SORTED_ROWS = 50_000  # rows of a bracket sorted in one task at the end
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
@@ -25,28 +26,32 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     columns = list(columns)
     counts = df.agg(*[F.count(q(c)) for c in columns]).first()
     limit = limit_of(df.sparkSession, GROUP_ROWS)
-    if max(counts) <= limit:
+    if max(counts) * len(columns) <= limit:
         row = df.agg(*[F.percentile(q(c), [float(p) for p in probs]) for c in columns]).first()
         return {c: (list(v) if v is not None else [None] * len(probs)) for c, v in zip(columns, row)}
-    ranks = {}
-    for c, n in zip(columns, counts):
-        for p in probs:
-            h = p * (n - 1)
-            ranks.update({(c, r): None for r in (math.floor(h), math.ceil(h))} if n else {})
-    found = _values_at(df, ranks, dict(zip(columns, counts)), limit)
+    totals = dict(zip(columns, counts))
+    wanted = {}
+    for c in columns:
+        for p in probs if totals[c] else ():
+            h = p * (totals[c] - 1)
+            wanted[c, p] = (c, math.floor(h), math.ceil(h))
+    found = _values_at(df, set(wanted.values()), totals, min(limit, _SORTED_ROWS))
     out: dict[str, list[float | None]] = {}
-    for c, n in zip(columns, counts):
+    for c in columns:
         out[c] = []
         for p in probs:
-            h = p * (n - 1)
-            lo, hi = (found[(c, math.floor(h))], found[(c, math.ceil(h))]) if n else (None, None)
-            out[c].append(None if lo is None else lo + (hi - lo) * (h - math.floor(h)))
+            if not totals[c]:
+                out[c].append(None)
+                continue
+            lo, hi = found[wanted[c, p]]
+            h = p * (totals[c] - 1)
+            out[c].append(lo + (hi - lo) * (h - math.floor(h)))
     return out
 
 
-def _values_at(df: DataFrame, ranks: dict, totals: dict[str, int], limit: int) -> dict:
-    """The value at each 0-based rank of each column."""
-    open_ = {key: (None, None, 0, totals[key[0]]) for key in ranks}  # lower, upper, rows below, rows inside
+def _values_at(df: DataFrame, targets: set, totals: dict[str, int], limit: int) -> dict:
+    """(value at rank a, value at rank b) for each target (column, a, b); ranks start at 0, b is a or a + 1."""
+    open_ = {t: (None, None, 0, totals[t[0]]) for t in sorted(targets)}  # lower, upper, rows below, rows inside
     found: dict = {}
 
     def inside(c, lo, hi):
@@ -55,44 +60,43 @@ def _values_at(df: DataFrame, ranks: dict, totals: dict[str, int], limit: int) -
         return test if hi is None else test & (q(c) <= hi)
 
     while open_:
-        small = [k for k, b in open_.items() if b[3] <= limit or b[0] is not None and b[0] == b[1]]
-        if small:
-            picks = []
-            for c, r in small:
-                lo, hi, below, m = open_[(c, r)]
-                if lo is not None and lo == hi:
-                    found[(c, r)] = float(lo)
-                else:
-                    picks.append((c, r))
-            if picks:
-                exprs = []
-                for c, r in picks:
-                    lo, hi, below, _ = open_[(c, r)]
-                    exprs.append(F.sort_array(F.collect_list(F.when(inside(c, lo, hi), q(c).cast("double"))))[r - below])
-                found.update({k: v for k, v in zip(picks, df.agg(*exprs).first())})
-            for k in small:
-                del open_[k]
-            continue
-        keys = list(open_)
-        sketches = []
-        for c, r in keys:
-            lo, hi, below, m = open_[(c, r)]
-            at = (r - below) / max(m - 1, 1)
-            around = [max(0.0, at - 2 / _ACCURACY), min(1.0, at + 2 / _ACCURACY)]
-            sketches.append(F.percentile_approx(F.when(inside(c, lo, hi), q(c)), around, _ACCURACY))
-        brackets = [list(b) for b in df.agg(*sketches).first()]
-        counted = df.agg(
-            *[
-                F.array(F.count(F.when(q(c) < b[0], 1)), F.count(F.when(q(c).between(b[0], b[1]), 1)))
-                for (c, r), b in zip(keys, brackets)
-            ]
-        ).first()
-        for (c, r), b, (below, m) in zip(keys, brackets, counted):
-            if not below <= r < below + m:  # the sketch missed: keep the side that holds the rank
-                lo, hi, old_below, old_m = open_[(c, r)]
-                open_[(c, r)] = (lo, b[0], old_below, below - old_below + m) if r < below else (b[1], hi, below, old_m)
-                continue
-            open_[(c, r)] = (b[0], b[1], below, m)
+        small = [t for t, (lo, hi, _, m) in open_.items() if m <= limit or (lo is not None and lo == hi)]
+        picks = []
+        for t in small:
+            lo, hi, _, _ = open_[t]
+            if lo is not None and lo == hi:
+                found[t] = (float(lo), float(lo))
+            else:
+                picks.append(t)
+        if picks:
+            # targets that share a bracket share one sorted array
+            spans = {(t[0], *open_[t][:2]): None for t in picks}
+            got = df.agg(*[F.sort_array(F.collect_list(F.when(inside(*s), q(s[0]).cast("double")))) for s in spans]).first()
+            rows = dict(zip(spans, got))
+            for t in picks:
+                lo, hi, below, _ = open_[t]
+                values = rows[t[0], lo, hi]
+                found[t] = (values[t[1] - below], values[t[2] - below])
+        for t in small:
+            del open_[t]
+        if not open_:
+            break
+        # one sketch per distinct bracket gives the next brackets of all its targets
+        groups: dict = {}
+        for t, (lo, hi, below, m) in open_.items():
+            around = [max(0.0, (t[1] - below) / max(m - 1, 1) - 2 / _ACCURACY), min(1.0, (t[2] - below) / max(m - 1, 1) + 2 / _ACCURACY)]
+            groups.setdefault((t[0], lo, hi), []).append((t, around))
+        row = df.agg(*[F.percentile_approx(F.when(inside(*g), q(g[0])), [p for _, a in ts for p in a], _ACCURACY) for g, ts in groups.items()]).first()
+        brackets = {t: (cut[2 * i], cut[2 * i + 1]) for ts, cut in zip(groups.values(), row) for i, (t, _) in enumerate(ts)}
+        counted = df.agg(*[F.array(F.count_if(q(t[0]) < lo), F.count_if(q(t[0]).between(lo, hi))) for t, (lo, hi) in brackets.items()]).first()
+        for (t, (lo, hi)), (below, m) in zip(brackets.items(), counted):
+            old_lo, old_hi, old_below, old_m = open_[t]
+            if t[1] < below:  # the sketch missed: keep the side that holds the ranks
+                open_[t] = (old_lo, hi, old_below, below + m - old_below)
+            elif t[2] >= below + m:
+                open_[t] = (lo, old_hi, below, old_below + old_m - below)
+            else:
+                open_[t] = (lo, hi, below, m)
     return found
 
 

@@ -15,6 +15,7 @@ from featherloom.operators.ordered import (
     lookup_join,
     order_columns,
     q,
+    reversed_columns,
     row_numbers,
 )
 from featherloom.operators.quantiles import exact_quantiles
@@ -202,12 +203,12 @@ def merge(
     renamed = slim.withColumnsRenamed({k: f"__r_{k}" for k in right_on})
     side = broadcast_if_small(renamed) if how in ("left", "inner") else renamed
     cond = reduce(
-        lambda a, b: a & b, [left[f"`{lk}`"].eqNullSafe(renamed[f"`__r_{rk}`"]) for lk, rk in zip(left_on, right_on)]
+        lambda a, b: a & b, [left[f"`{lk}`"].eqNullSafe(side[f"`__r_{rk}`"]) for lk, rk in zip(left_on, right_on)]
     )
     if how == "outer":
         # left join plus the unmatched right rows: both halves can be split by AQE when a key is hot
-        left_part = left.join(renamed, cond, "left")
-        extra = renamed.join(left.select(*[q(k) for k in left_on]).distinct(), cond, "left_anti")
+        left_part = left.join(side, cond, "left")
+        extra = side.join(left.select(*[q(k) for k in left_on]).distinct(), cond, "left_anti")
         empty = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns]
         joined = left_part.unionByName(extra.select(*empty, *[q(c) for c in renamed.columns]))
     else:
@@ -333,34 +334,44 @@ def drop_rows_duplicates(
 ) -> DataFrame:
     """Keep the first or last row of each set of duplicates, or none. No columns: nothing to do.
 
-    Written as an aggregate, so copies are combined before the shuffle.
+    First and last are a row-number filter, which Spark already applies before the shuffle
+    (WindowGroupLimit); none is a combining aggregate. Either way copies do not pile up in a task.
     """
     if not columns:
         return df
     need_columns(df, columns)
-    row = F.struct(*[q(c) for c in df.columns])
-    base = df.groupBy(*[q(c).alias(f"__k{i}") for i, c in enumerate(columns)])
     if keep in ("first", "last"):
         if not order_by:
             raise ParameterError("keep needs order_by")
-        pick = earliest_by if keep == "first" else latest_by
-        return base.agg(pick(row, order_by).alias("__row")).select("__row.*")
+        return _nth_row(df, columns, order_columns(order_by) if keep == "first" else reversed_columns(order_by), 1)
+    row = F.struct(*[q(c) for c in df.columns])
+    base = df.groupBy(*[q(c).alias(f"__k{i}") for i, c in enumerate(columns)])
     if keep not in (False, "none", "False"):
         raise ParameterError(f"keep must be first, last or none, got {keep!r}")
     return base.agg(F.count(F.lit(1)).alias("__n"), F.any_value(row).alias("__row")).where("__n = 1").select("__row.*")
 
 
+_GROUP_LIMIT = 1000  # Spark's default spark.sql.optimizer.windowGroupLimitThreshold
+
+
+def _nth_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+    w = Window.partitionBy(*[q(k) for k in keys]).orderBy(*order)
+    return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == n).drop("__rn")
+
+
 def remove_duplicate_rows(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
 def qualify(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str], asc: bool = False, target: int = 1) -> DataFrame:
-    """The ``target``-th row of each partition in the given order."""
+    """The ``target``-th row of each partition in the given order.
+
+    Each task passes on at most ``target`` rows per partition, so a hot partition stays small.
+    Beyond the target Spark does that for, rows are numbered chunk by chunk.
+    """
     order = [o if asc else f"-{o}" for o in order_by]
-    if target == 1:
-        row = F.struct(*[q(c) for c in df.columns])
-        picked = df.groupBy(*[q(c).alias(f"__k{i}") for i, c in enumerate(partition_by)]).agg(earliest_by(row, order).alias("__row"))
-        return picked.select("__row.*")
+    if target <= _GROUP_LIMIT:
+        return _nth_row(df, partition_by, order_columns(order), target)
     return row_numbers(df, partition_by, order, "__rn").where(F.col("__rn") == target).drop("__rn")
 
 

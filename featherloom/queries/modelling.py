@@ -530,13 +530,13 @@ def _(t):
 
 # ---- monitoring ------------------------------------------------------------------------
 
-MONITOR = """SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, event_type, count(*) AS n, round(avg(value), 4) AS actual_mean, round(avg(user_id), 4) AS prediction_mean,
-  round(avg(abs(value - user_id)), 4) AS mae, round(avg(pow(value - user_id, 2)), 4) AS mse, round(sqrt(avg(pow(value - user_id, 2))), 4) AS rmse, round(sum(abs(value - user_id)) / sum(abs(value)), 4) AS wmape FROM events GROUP BY ALL"""
+MONITOR = """SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, event_type, count(*) AS n, round(avg(value), 6) AS actual_mean, round(avg(user_id), 6) AS prediction_mean,
+  round(avg(abs(value - user_id)), 6) AS mae, round(avg(pow(value - user_id, 2)), 6) AS mse, round(sqrt(avg(pow(value - user_id, 2))), 6) AS rmse, round(sum(abs(value - user_id)) / sum(abs(value)), 6) AS wmape FROM events GROUP BY ALL"""
 
 
 @query("m1_monitor_batch", MONITOR)
 def _(t):
-    return rounded(monitor.window_metrics(t.events, "ts", "value", "user_id", "1 day", ["event_type"]), 4)
+    return rounded(monitor.window_metrics(t.events, "ts", "value", "user_id", "1 day", ["event_type"]))
 
 
 @query("m1_monitor_stream", MONITOR)
@@ -545,7 +545,7 @@ def _(t):
     stream = monitor.read_stream(t.spark, t.folder, t.events.schema, "events.parquet")
     monitor.start_monitor(stream, out, checkpoint, "ts", "value", "user_id", "1 day", "1 hour", None, ["event_type"]).awaitTermination()
     table = monitor.monitor_table(t.spark.read.parquet(out), t.events, "ts", "value", "user_id", "1 day", ["event_type"])
-    return rounded(table.drop("state"), 4)
+    return rounded(table.drop("state"))
 
 
 @query("m1_drift_by_window", """WITH c AS (SELECT event_type, count_if(ts < TIMESTAMP '2024-01-08') AS r, count_if(ts >= TIMESTAMP '2024-01-20' AND ts < TIMESTAMP '2024-01-27') AS c FROM events GROUP BY 1), s AS (SELECT sum(c) / sum(r) AS k FROM c)

@@ -11,7 +11,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Limits, each overridable with spark.conf.set(<key>, <number>).
 GROUP_ROWS = ("spark.featherloom.groupRowLimit", 2_000_000)
@@ -74,21 +73,21 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """True when the table is proven small: rows and text bytes are counted, at most limit+1 rows read."""
+def small_copy(df: DataFrame) -> DataFrame | None:
+    """The table as a broadcast-marked local relation when it is proven small, otherwise None.
+
+    At most limit + 1 rows are read; rows and Arrow bytes are checked. The rows read for the
+    check are the ones broadcast, so the table is not computed a second time.
+    """
     spark = df.sparkSession
     rows = limit_of(spark, BROADCAST_ROWS)
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
-    nested = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-    size = F.lit(8 * len(df.columns))
-    for name in texts:
-        size = size + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
-    for name in nested:
-        size = size + F.octet_length(F.to_json(F.struct(F.col(f"`{name}`"))))
-    n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(size)).first()
-    return n <= rows and (total or 0) <= limit_of(spark, BROADCAST_BYTES)
+    table = df.limit(rows + 1).toArrow()
+    if table.num_rows > rows or table.nbytes > limit_of(spark, BROADCAST_BYTES):
+        return None
+    return F.broadcast(spark.createDataFrame(table, df.schema))
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
     """Mark for broadcast only after the size check; otherwise the join shuffles and AQE splits skew."""
-    return F.broadcast(df) if fits_broadcast(df) else df
+    small = small_copy(df)
+    return df if small is None else small

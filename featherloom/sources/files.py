@@ -18,10 +18,16 @@ def load_csv(spark: SparkSession, path: str, nrows: int | None = None, schema: T
     """Header row, types from ``schema`` or inferred; ``nrows`` limits the rows."""
     reader = spark.read.option("header", True)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    df = reader.csv(path)
+    df = nan_to_null(reader.csv(path))
     return df if nrows is None else df.limit(nrows)
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """Missing numbers as null: aggregates skip null but carry NaN on."""
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    return df.withColumns({c: F.when(~F.isnan(q(c)), q(c)) for c in floats}) if floats else df
+
+
 def store_csv(df: DataFrame, label: str) -> str:
     path = new_path(df.sparkSession, f"{label}-csv")
     df.write.option("header", True).csv(path)
