@@ -47,9 +47,23 @@ def _float(v):
     return None if v is None else float(v)
 
 
-def value_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value as text, n) of all listed columns in one shuffle, combined map-side."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), q(c).cast("string").alias("value")) for c in columns]))
+def compact(df: DataFrame, column: str) -> Column:
+    """A column as a grouping key: long texts are replaced by their SHA-256, so whole texts are not shuffled."""
+    if not isinstance(df.schema[column].dataType, T.StringType):
+        return q(column)
+    return F.when(F.length(q(column)) > 64, F.concat(F.lit("sha2:"), F.sha2(q(column), 256))).otherwise(q(column))
+
+
+def value_table(df: DataFrame, columns: Sequence[str], whole_values: bool = False) -> DataFrame:
+    """(column, value as text, n) of all listed columns in one shuffle, combined map-side.
+
+    Long texts appear as digests unless ``whole_values`` is set.
+    """
+
+    def key(c: str) -> Column:
+        return (q(c) if whole_values else compact(df, c)).cast("string")
+
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), key(c).alias("value")) for c in columns]))
     return df.select(pairs.alias("p")).select("p.*").where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -95,7 +109,7 @@ def sample_kurtosis(population: float | None, n: int) -> float | None:
 def describe_categorical(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """count, unique, top value and its frequency; equal frequencies go to the smallest value."""
     columns = list(columns or [c for c in df.columns if not is_numeric(df, c)])
-    values = value_table(df, columns)
+    values = value_table(df, columns, whole_values=True)
     found = values.groupBy("column").agg(
         F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"),
         F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("top"), F.max("n").alias("freq"),
@@ -145,7 +159,7 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
 
     Spark keeps only k rows per column in each task before the final ranking.
     """
-    values = value_table(df, columns)
+    values = value_table(df, columns, whole_values=True)
     w = Window.partitionBy("column").orderBy(F.desc("n"), "value")
     ranked = values.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     totals = values.groupBy("column").agg(F.sum("n").alias("total"))
@@ -331,7 +345,7 @@ def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
 def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows that repeat an earlier row, and their share."""
     keys = need_columns(df, columns or df.columns)
-    sizes = df.groupBy(*[q(c) for c in keys]).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = df.groupBy(*[compact(df, c).alias(c) for c in keys]).agg(F.count(F.lit(1)).alias("__n"))
     out = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("row_count"), F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_rows"))
     return out.withColumn("duplicate_ratio", F.coalesce(F.try_divide(F.col("duplicate_rows"), F.col("row_count")), F.lit(0.0)))
 

@@ -84,9 +84,11 @@ _FLAGS = ["is_holiday", "is_weekend", "is_mid_month", "is_first_workday_of_month
 
 def build_calendar(df: DataFrame, date_column: str, holidays: Sequence[str] = (), distances: bool = True) -> DataFrame:
     """The calendar table for the date range of a column: one row per day."""
-    span = df.agg(F.min(q(date_column)).alias("a"), F.max(q(date_column)).alias("b"))
-    day = F.explode(F.sequence(F.date_trunc("day", "a").cast("timestamp_ntz"), F.date_trunc("day", "b").cast("timestamp_ntz"), F.expr("interval 1 day")))
-    cal = span.select(day.alias("date"))
+    lo, hi = df.agg(F.min(q(date_column)), F.max(q(date_column))).first()
+    if lo is None:
+        raise ParameterError(f"column {date_column} has no dates")
+    first, last = (F.lit(v.strftime("%Y-%m-%d")).cast("timestamp_ntz") for v in (lo, hi))
+    cal = df.sparkSession.range(1).select(F.explode(F.sequence(first, last, F.expr("interval 1 day"))).alias("date"))
     d = F.col("date")
     dow = F.weekday(d)
     cal = cal.withColumns({
@@ -114,7 +116,7 @@ def build_calendar(df: DataFrame, date_column: str, holidays: Sequence[str] = ()
     for name, cycle in (("month", 12), ("week", 52), ("day_of_week", 7), ("day_of_month", 31), ("day_of_year", 365)):
         waves[f"sin_{name}"], waves[f"cos_{name}"] = _wave(F.col(name), cycle)
     cal = cal.withColumns(flags).withColumns(waves)
-    return flag_distances(cal, _FLAGS, "date") if distances else cal
+    return flag_distances(cal, _FLAGS, "date", (hi - lo).days + 1) if distances else cal
 
 
 def join_calendar(df: DataFrame, calendar: DataFrame, date_column: str = "date", renames: dict[str, str] | None = None) -> DataFrame:

@@ -165,18 +165,18 @@ def remove_early_zeros(df: DataFrame, datetime_column: str, dimension_columns: S
     return lookup_join(df, first, dimension_columns, "inner").where(q(datetime_column) >= F.col("__first")).drop("__first")
 
 
-def flag_distances(df: DataFrame, columns: Sequence[str], date_column: str = "date") -> DataFrame:
+def flag_distances(df: DataFrame, columns: Sequence[str], date_column: str = "date", known_bound: int | None = None) -> DataFrame:
     """``distance_since_previous_*`` / ``distance_until_next_*`` in rows of the distinct-date calendar.
 
     Before the first flag, rows are counted from the start; after the last, from the end.
     """
     need_columns(df, [date_column, *columns])
     calendar = df.groupBy(q(date_column)).agg(*[F.max(q(c).cast("int")).alias(c) for c in columns])
-    ordered = row_numbers(calendar, [], [date_column], "__rn")
-    up = running(ordered, [], [date_column], {f"__p_{c}": ("max", F.when(q(c) == 1, F.col("__rn"))) for c in columns})
+    ordered = row_numbers(calendar, [], [date_column], "__rn", known_bound)
+    up = running(ordered, [], [date_column], {f"__p_{c}": ("max", F.when(q(c) == 1, F.col("__rn"))) for c in columns}, known_bound=known_bound)
     both = running(up, [], [f"-{date_column}"], {
         **{f"__n_{c}": ("min", F.when(q(c) == 1, F.col("__rn"))) for c in columns}, "__end": ("max", F.col("__rn")),
-    })
+    }, known_bound=known_bound)
     features = both.select(
         q(date_column),
         *[(F.col("__rn") - F.coalesce(q(f"__p_{c}"), F.lit(1))).alias(f"distance_since_previous_{c}") for c in columns],

@@ -26,18 +26,21 @@ class FeatureChain:
             step.check(s["parameters"])
         self.states = states
 
-    def fit_transform(self, df: DataFrame) -> DataFrame:
+    def fit_transform(self, df: DataFrame, spill: bool = False) -> DataFrame:
+        """``spill`` writes the table before each fitted step, so costly earlier steps run once only."""
         states = []
         for s in self.steps:
             step = step_named(s["name"])
+            if spill and step.fit:
+                df = materialise(df, "chain")
             state = step.fit_state([df], s["parameters"])
             states.append(state)
             df = step.run([df], s["parameters"], state)
         self.states = states
         return df
 
-    def fit(self, df: DataFrame) -> FeatureChain:
-        self.fit_transform(df)
+    def fit(self, df: DataFrame, spill: bool = False) -> FeatureChain:
+        self.fit_transform(df, spill)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:

@@ -31,14 +31,16 @@ from featherloom.sources.files import append_rows
 
 def backtest(
     df: DataFrame, model_type: str, target: str, features: Sequence[str], date_column: str, keys: Sequence[str],
-    folds: dict, parameters: dict | None = None, parallelism: int = 4, refit: bool = True,
+    folds: dict, parameters: dict | None = None, parallelism: int = 4, refit: bool = True, placed: DataFrame | None = None,
 ) -> tuple[FittedModel | None, DataFrame, DataFrame]:
     """Fit per fold, predict its train and validation rows, score; then refit on everything.
 
-    Returns (model, scores by fold and split, predictions). ``folds`` are the fold settings.
+    Returns (model, scores by fold and split, predictions). ``folds`` are the fold settings;
+    ``placed`` is the table with its folds when the caller already has it.
     """
-    columns = list(dict.fromkeys([*keys, date_column, target, *features]))
-    placed = materialise(backtest_folds(df.select(*[q(c) for c in columns]), date_column, **folds), "backtest")
+    if placed is None:
+        columns = list(dict.fromkeys([*keys, date_column, target, *features]))
+        placed = materialise(backtest_folds(df.select(*[q(c) for c in columns]), date_column, **folds), "backtest")
     n = placed.agg(F.max("fold")).first()[0] + 1
 
     def one(fold: int) -> DataFrame:
@@ -115,10 +117,11 @@ def search(
             if chosen:
                 trials.append({"parameters": draw(space or {}, rng), "features": chosen})
     used = list(dict.fromkeys([*keys, date_column, target, *features, *(f for t in trials for f in t["features"])]))
-    rows = materialise(df.select(*[q(c) for c in used]).dropna(), "search")
+    rows = df.select(*[q(c) for c in used]).dropna()
+    placed = materialise(backtest_folds(rows, date_column, **folds), "search")  # every trial reads this table
     results = []
     for i, trial in enumerate(trials):
-        _, scores, _ = backtest(rows, model_type, target, trial["features"], date_column, keys, folds, trial.get("parameters"), parallelism, refit=False)
+        _, scores, _ = backtest(rows, model_type, target, trial["features"], date_column, keys, folds, trial.get("parameters"), parallelism, False, placed)
         valid = scores.where("split = 'validation'").select("fold", F.col(metric).alias("v")).collect()  # one row per fold
         values = [r["v"] for r in sorted(valid, key=lambda r: r["fold"])][-(last_folds or len(valid)):]
         results.append((i, json.dumps(trial.get("parameters") or {}, sort_keys=True), ",".join(trial["features"]), float(sum(values) / len(values))))

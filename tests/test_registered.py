@@ -60,7 +60,7 @@ def test_runs(spark, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns == ["event_type", "date", "value", "value_lag_1", "value_lag_7", "rolling_mean_value_7_week"]
+    assert entry.entry(spark).columns == ["date", "event_type", "value", "value_lag_1", "value_lag_7", "rolling_mean_value_7_week"]
 
 
 def test_every_sql_has_a_query():
