@@ -21,6 +21,7 @@ from featherloom.session import GROUP_ROWS, broadcast_if_small, limit_of, shuffl
 
 CHUNK = "__chunk"
 _LAST_SLOT = 1_000_000
+_MOST_CHUNKS = 10_000
 
 
 def q(name: str) -> Column:
@@ -49,11 +50,18 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return df.groupBy(*[q(k) for k in keys]).count().agg(F.max("count")).first()[0] or 0
 
 
-def groups_fit(df: DataFrame, keys: Sequence[str], known_bound: int | None = None) -> bool:
-    limit = limit_of(df.sparkSession, GROUP_ROWS)
+def chunks_needed(df: DataFrame, keys: Sequence[str], known_bound: int | None = None) -> int:
+    """0 when every group fits one task, otherwise how many chunks the order column is cut into."""
+    spark = df.sparkSession
+    limit = limit_of(spark, GROUP_ROWS)
     if known_bound is not None and known_bound <= limit:
-        return True
-    return largest_group(df, keys) <= limit
+        return 0
+    rows = largest_group(df, keys)
+    return 0 if rows <= limit else min(_MOST_CHUNKS, max(2, shuffle_partitions(spark), 2 * -(-rows // limit)))
+
+
+def groups_fit(df: DataFrame, keys: Sequence[str]) -> bool:
+    return largest_group(df, keys) <= limit_of(df.sparkSession, GROUP_ROWS)
 
 
 def reversed_columns(order: Sequence[str]) -> list[Column]:
@@ -121,18 +129,18 @@ def order_number(df: DataFrame, name: str, ascending: bool = True) -> Column:
     return F.coalesce(c if ascending else -c, F.lit(float("inf")))
 
 
-def with_chunks(df: DataFrame, order: Sequence[str]) -> DataFrame:
+def with_chunks(df: DataFrame, order: Sequence[str], parts: int) -> DataFrame:
     """Add the chunk number: ranges of the first order column that hold about equal row counts.
 
     A value so frequent that it fills whole ranges is cut again by the second order column.
     Bounds are literals computed once, so every task and every retry agrees on them.
     """
     (first, up), *rest = split_order(order)
-    parts = max(2, shuffle_partitions(df.sparkSession))
+    accuracy = max(10_000, 20 * parts)
     probs = [i / parts for i in range(1, parts)]
     inf = float("inf")
     numbered = df.withColumn("__n1", order_number(df, first, up))
-    cuts = numbered.agg(F.percentile_approx("__n1", probs, 10_000)).first()[0] or []
+    cuts = numbered.agg(F.percentile_approx("__n1", probs, accuracy)).first()[0] or []
     bounds = sorted({c for c in cuts if abs(c) != inf})
     splits = [-inf, *bounds, inf] if bounds else [-inf, 0.0, inf]
     out = Bucketizer(splits=splits, inputCol="__n1", outputCol="__c1").transform(numbered)
@@ -144,7 +152,7 @@ def with_chunks(df: DataFrame, order: Sequence[str]) -> DataFrame:
     inner = (
         out.where(F.col("__n1").isin(heavy))
         .groupBy("__n1")
-        .agg(F.percentile_approx("__n2", probs, 10_000).alias("__b2"))
+        .agg(F.percentile_approx("__n2", probs, accuracy).alias("__b2"))
     )
     out = out.join(F.broadcast(inner), "__n1", "left")  # at most one row per range
     slot = F.when(F.col("__b2").isNull(), F.lit(_LAST_SLOT)).otherwise(
@@ -185,11 +193,12 @@ def running(
         "sum": F.sum, "count": F.count, "max": F.max, "min": F.min,
         "last": lambda c: F.last(c, ignorenulls=True),
     }
-    if groups_fit(df, keys, known_bound):
+    parts = chunks_needed(df, keys, known_bound)
+    if not parts:
         w = window(keys, order).rowsBetween(*frame)
         return df.withColumns({n: agg[k](c).over(w) for n, (k, c) in columns.items()})
 
-    chunked = with_chunks(df, order)
+    chunked = with_chunks(df, order, parts)
     group = [*keys, CHUNK]
     w = window(group, order).rowsBetween(*frame)
     local = chunked.withColumns({f"__l_{n}": agg[k](c).over(w) for n, (k, c) in columns.items()})
@@ -239,10 +248,11 @@ def framed(
 
     ``build(window)`` gets the partitioned and ordered window and returns {name: Column}.
     """
-    if groups_fit(df, keys, known_bound):
+    parts = chunks_needed(df, keys, known_bound)
+    if not parts:
         return df.withColumns(build(window(keys, order)))
 
-    chunked = with_chunks(df, order)
+    chunked = with_chunks(df, order, parts)
     group = [*keys, CHUNK]
     row = F.struct(*[q(c) for c in df.columns])
     body = chunked.withColumn("__halo", F.lit(False))

@@ -201,13 +201,13 @@ def merge(
     shared = [c for c in right.columns if c in left.columns and c not in right_on]
     slim = right.drop(*shared)
     renamed = slim.withColumnsRenamed({k: f"__r_{k}" for k in right_on})
-    side = broadcast_if_small(renamed) if how in ("left", "inner") else renamed
+    side = broadcast_if_small(renamed)
     cond = reduce(
         lambda a, b: a & b, [left[f"`{lk}`"].eqNullSafe(side[f"`__r_{rk}`"]) for lk, rk in zip(left_on, right_on)]
     )
-    if how == "outer":
-        # left join plus the unmatched right rows: both halves can be split by AQE when a key is hot
-        left_part = left.join(side, cond, "left")
+    if how in ("right", "outer"):
+        # an inner or left join plus the unmatched right rows: AQE can split both halves when a key is hot
+        left_part = left.join(side, cond, "inner" if how == "right" else "left")
         extra = side.join(left.select(*[q(k) for k in left_on]).distinct(), cond, "left_anti")
         empty = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns]
         joined = left_part.unionByName(extra.select(*empty, *[q(c) for c in renamed.columns]))

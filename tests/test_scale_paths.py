@@ -60,7 +60,7 @@ def test_bounded_frames(spark, hot, order):
 
 
 def test_chunks_split_the_hot_key(spark, hot):
-    chunked = O.with_chunks(hot, ["t", "id"])
+    chunked = O.with_chunks(hot, ["t", "id"], 8)
     largest = chunked.groupBy("k", O.CHUNK).count().agg(F.max("count")).first()[0]
     assert largest < 1000 / 3  # the hot key has 1000 rows, a value of t up to 130
 
