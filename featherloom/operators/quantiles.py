@@ -14,6 +14,7 @@ from featherloom.session import GROUP_ROWS, limit_of
 
 _ACCURACY = 10_000
 _SORTED_ROWS = 50_000  # rows of a bracket sorted in one task at the end
+_PERCENTILE_CELLS = 300_000  # rows x columns that `percentile` may buffer
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
@@ -26,7 +27,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     columns = list(columns)
     counts = df.agg(*[F.count(q(c)) for c in columns]).first()
     limit = limit_of(df.sparkSession, GROUP_ROWS)
-    if max(counts) * len(columns) <= limit:
+    if max(counts) * len(columns) <= min(limit, _PERCENTILE_CELLS):
         row = df.agg(*[F.percentile(q(c), [float(p) for p in probs]) for c in columns]).first()
         return {c: (list(v) if v is not None else [None] * len(probs)) for c, v in zip(columns, row)}
     totals = dict(zip(columns, counts))
