@@ -11,6 +11,7 @@ Both give exactly what the plain window gives.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import datetime
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -113,6 +114,14 @@ def from_naive_micros(micros: Column) -> Column:
     return F.timestamp_add("MICROSECOND", micros, F.expr(_EPOCH))
 
 
+def literal_for(df: DataFrame, column: str, value) -> Column:
+    """A driver value as a literal of the column's type; wall-clock times keep their digits in any session zone."""
+    kind = df.schema[column].dataType
+    if isinstance(value, datetime) and isinstance(kind, T.TimestampNTZType):
+        value = value.isoformat(sep=" ")
+    return F.lit(value).cast(kind)
+
+
 def order_number(df: DataFrame, name: str, ascending: bool = True) -> Column:
     """A double that never decreases along the sort; nulls come last."""
     kind = df.schema[name].dataType

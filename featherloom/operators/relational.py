@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from featherloom.operators.ordered import (
     earliest_by,
     latest_by,
+    literal_for,
     lookup_join,
     order_columns,
     q,
@@ -167,14 +168,14 @@ def select_values(df: DataFrame, selection: dict[str, Sequence]) -> DataFrame:
 def select_dates(df: DataFrame, date_column: str, first=None, last=None) -> DataFrame:
     """Inclusive date range, open on either side."""
     if first is not None:
-        df = df.where(q(date_column) >= F.lit(first).cast("timestamp_ntz"))
+        df = df.where(q(date_column) >= literal_for(df, date_column, first))
     if last is not None:
-        df = df.where(q(date_column) <= F.lit(last).cast("timestamp_ntz"))
+        df = df.where(q(date_column) <= literal_for(df, date_column, last))
     return df
 
 
 def training_cutoff(df: DataFrame, date_column: str, last_test_date: str) -> DataFrame:
-    return df.where(q(date_column) <= F.lit(last_test_date).cast("timestamp_ntz"))
+    return df.where(q(date_column) <= literal_for(df, date_column, last_test_date))
 
 
 def inference_window(df: DataFrame, date_column: str, dates: Sequence[str] | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from featherloom.functions.scalars import PERIOD_STEPS, _wave, period_start, row_json
-from featherloom.operators.ordered import lookup_join, q
+from featherloom.operators.ordered import literal_for, lookup_join, q
 from featherloom.operators.relational import AGGREGATES
 from featherloom.operators.windows import flag_distances
 from featherloom.params import ParameterError, need_columns, one_of
@@ -52,7 +52,7 @@ def add_missing_dates(df: DataFrame, date_column: str, dimensions: Sequence[str]
     if last is None:
         return df
     spans = df.groupBy(*[q(d) for d in dimensions]).agg(F.min(q(date_column)).alias("__first"))
-    dates = F.sequence(F.col("__first"), F.lit(last).cast("timestamp_ntz"), F.expr(PERIOD_STEPS[periodicity]))
+    dates = F.sequence(F.col("__first"), literal_for(df, date_column, last), F.expr(PERIOD_STEPS[periodicity]))
     grid = spans.select(*[q(d) for d in dimensions], F.explode(dates).alias(date_column))
     out = grid.join(df, [*dimensions, date_column], "left")
     if DIM_ID in df.columns:
@@ -66,8 +66,8 @@ def add_inference_dates(
     """History plus, for every series, the periods after the last date of all up to ``last_date``, metric 0."""
     one_of(periodicity, PERIOD_STEPS, "periodicity")
     end = df.agg(F.max(q(date_column))).first()[0]
-    start = F.lit(end).cast("timestamp_ntz") + F.expr(PERIOD_STEPS[periodicity])
-    stop = F.lit(last_date).cast("timestamp_ntz")
+    start = literal_for(df, date_column, end) + F.expr(PERIOD_STEPS[periodicity])
+    stop = literal_for(df, date_column, last_date)
     dates = F.when(start <= stop, F.sequence(start, stop, F.expr(PERIOD_STEPS[periodicity])))
     future = df.select(*[q(d) for d in dimensions]).distinct().select(
         *[q(d) for d in dimensions], F.explode(dates).alias(date_column), F.lit(0).cast(df.schema[metric_column].dataType).alias(metric_column)

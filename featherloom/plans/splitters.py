@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featherloom.operators.ordered import q, row_numbers
+from featherloom.operators.ordered import literal_for, q, row_numbers
 from featherloom.params import ParameterError, need_columns
 from featherloom.session import broadcast_if_small
 
@@ -72,13 +72,13 @@ def series_holdout(df: DataFrame, date_column: str, holdout_size: int | float, a
         n, last = dates.agg(F.count(F.lit(1)), F.max("d")).first()
         if holdout_size >= n:
             raise ParameterError(f"holdout_size must be smaller than the {n} dates")
-        cut = F.date_trunc("month", F.add_months(F.lit(last), -(holdout_size - 1))).cast("timestamp_ntz")
+        cut = F.date_trunc("month", F.add_months(literal_for(df, date_column, last), -(holdout_size - 1))).cast("timestamp_ntz")
     else:
         n = dates.count()
         at = row_numbers(dates, [], ["d"], "__n").where(F.col("__n") == int(n * (1 - holdout_size)) + 1).first()
         if at is None:
             raise ParameterError("holdout_size leaves no test dates")
-        cut = F.lit(at["d"])
+        cut = literal_for(df, date_column, at["d"])
     return df.withColumn("split", F.when(q(date_column) < cut, "train").otherwise("test"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featherloom.operators.ordered import from_naive_micros, naive_micros, q
+from featherloom.operators.ordered import from_naive_micros, literal_for, naive_micros, q
 from featherloom.operators.quality import drift_categorical, drift_numeric
 from featherloom.params import is_numeric
 
@@ -57,14 +57,14 @@ def monitor_table(
 ) -> DataFrame:
     """Closed windows as the stream wrote them, plus the open ones computed from newer source rows."""
     end = closed.agg(F.max("window_end")).first()[0]
-    newer = source if end is None else source.where(q(timestamp) >= F.lit(end))
+    newer = source if end is None else source.where(q(timestamp) >= literal_for(source, timestamp, end))
     done = closed.withColumn("state", F.lit("closed"))
     return done.unionByName(window_metrics(newer, timestamp, actual, prediction, aggregation_window, by).withColumn("state", F.lit("open")))
 
 
 def drift_by_window(source: DataFrame, baseline: DataFrame, timestamp: str, columns: Sequence[str], first: str, last: str) -> DataFrame:
     """Drift of the rows in [first, last) against the baseline table, one row per column."""
-    part = source.where((q(timestamp) >= F.lit(first).cast("timestamp_ntz")) & (q(timestamp) < F.lit(last).cast("timestamp_ntz")))
+    part = source.where((q(timestamp) >= literal_for(source, timestamp, first)) & (q(timestamp) < literal_for(source, timestamp, last)))
     out = None
     for c in columns:
         test = drift_numeric(baseline, part, c) if is_numeric(baseline, c) else drift_categorical(baseline, part, c)

@@ -54,6 +54,17 @@ def test_large_group_path(large_paths, duck, name):
     same(large_paths, duck, name)
 
 
+@pytest.mark.parametrize("name", [
+    "flagship_daily_features", "j5_add_missing_dates", "j6_add_inference_dates", "b4_series_holdout_months", "b19_test_period_forecast", "f11_select_dates", "m1_monitor_stream",
+])
+def test_session_zone_does_not_matter(spark, duck, name):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        same(spark, duck, name)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SMALL).count() > 0
