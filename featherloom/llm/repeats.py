@@ -252,9 +252,9 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, crowd: int = CROWD) -
         runs = runs.unionByName(_counted_windows(contexts.filter(F.col("crowd") > crowd), length))
     # A context seen twice is repeated as a whole.
     runs = runs.unionByName(several.filter("total > 1").select("key", "digest", F.lit(0).alias("lo"), (F.col("one.windows") - 1).alias("hi")))
-    partly = found.filter("several").join(runs.groupBy("key", "digest").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), ["key", "digest"])
-    partly = partly.select("id", "part", "first", "reach", F.explode("runs").alias("r")).select(
-        "id", "part", (F.col("first") + F.col("r.lo")).alias("begin"), (F.col("first") + F.col("reach") + F.col("r.hi") + length).alias("finish")
+    # Joined run by run, a hot context's rows can be split; only a few runs belong to a context.
+    partly = found.filter("several").join(runs, ["key", "digest"]).select(
+        "id", "part", (F.col("first") + F.col("lo")).alias("begin"), (F.col("first") + F.col("reach") + F.col("hi") + length).alias("finish")
     )
     wholly = found.filter("not several").select("id", "part", F.col("first").alias("begin"), (F.col("first") + F.col("reach") + F.col("windows") - 1 + length).alias("finish"))
     return wholly.unionByName(partly)
