@@ -16,10 +16,8 @@ def components(links: DataFrame) -> DataFrame:
     of the longest path. A hot node's links are grouped by a minimum and joined back, never collected.
     """
     edges = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    while True:
-        before = _state(edges)
-        if not before[0]:
-            break
+    before, state = None, _state(edges)
+    while state[0] and state != before:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
@@ -27,8 +25,7 @@ def components(links: DataFrame) -> DataFrame:
         lowest = large.groupBy("a").agg(F.min("b").alias("least"))
         small = large.join(lowest, "a").select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e")).select("e.a", "e.b")
         edges = stored(small.filter("a <> b").distinct(), "links")
-        if _state(edges) == before:
-            break
+        before, state = state, _state(edges)
     roots = edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     tops = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return roots.unionByName(tops).groupBy("node").agg(F.min("root").alias("root"))

@@ -58,7 +58,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def _grown(name: str, factor: np.uint64, n: int) -> np.ndarray:
     if name not in _powers or len(_powers[name]) < n:
-        size = max(n, BLOCK)
+        size = 1 << max(n - 1, 1 << 12).bit_length()  # as long as texts need, so little on the driver
         steps = np.full(size, factor, np.uint64)
         steps[0] = 1
         table = np.multiply.accumulate(steps)
