@@ -142,7 +142,7 @@ def repeated_windows(pieces: list[bytes], back: np.ndarray, windows: np.ndarray,
     found: list[tuple[np.ndarray, np.ndarray]] = []
     with tempfile.TemporaryFile() as file:
         # Column after column, the last first, in slices that bound the memory.
-        step = max(1, (16 << 20) // max(m, 1))
+        step = max(1, (2 << 20) // max(m, 1))
         flat = np.frombuffer(b"".join(pieces), np.uint8)
         base = np.cumsum(np.append(0, sizes))[:-1] - begin
         for high in range(columns, 0, -step):

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 22  # bytes of text handled at a time; a longer text is a block of its own
+BLOCK = 1 << 20  # bytes of text handled at a time; a longer text is a block of its own
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -58,7 +58,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def _grown(name: str, factor: np.uint64, n: int) -> np.ndarray:
     if name not in _powers or len(_powers[name]) < n:
-        size = 1 << max(n - 1, 1 << 12).bit_length()  # as long as texts need, so little on the driver
+        size = max(n, BLOCK + 64) if n > 1 << 14 else 1 << 14  # as long as texts need, so little on the driver
         steps = np.full(size, factor, np.uint64)
         steps[0] = 1
         table = np.multiply.accumulate(steps)
