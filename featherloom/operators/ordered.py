@@ -1,28 +1,28 @@
 """Ordered computation over groups of any size.
 
 A Spark window puts one whole group in one task. That is right for groups of a checked
-size; a group holding a third of a very large table needs to be cut. Here a too-large
-group is cut into *chunks*: value ranges of the order column, so that (group, chunk) is
-what a task sees. Running values get the totals of the earlier chunks added; bounded
-frames get the few neighbouring rows they look back (or ahead) at copied into the chunk.
-Both give exactly what the plain window gives.
+size; a group holding a third of a very large table needs to be cut. Here a table with a
+too-large group is sorted as a whole by (keys, order) over range partitions and cut into
+*chunks* of at most the row limit, so that (group, chunk) is what a task sees. Running values
+get the totals of the earlier chunks added; bounded frames get the few neighbouring rows they
+look back (or ahead) at copied into the chunk. Both give exactly what the plain window gives.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from datetime import datetime
+from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featherloom.session import GROUP_ROWS, broadcast_if_small, limit_of, shuffle_partitions, small_copy
+from featherloom.session import GROUP_ROWS, broadcast_if_small, limit_of, materialise, shuffle_partitions, small_copy
 
 CHUNK = "__chunk"
-_LAST_SLOT = 1_000_000
-_MOST_CHUNKS = 10_000
+POSITION = "__position"
 
 
 def q(name: str) -> Column:
@@ -51,14 +51,21 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return df.groupBy(*[q(k) for k in keys]).count().agg(F.max("count")).first()[0] or 0
 
 
-def chunks_needed(df: DataFrame, keys: Sequence[str], known_bound: int | None = None) -> int:
-    """0 when every group fits one task, otherwise how many chunks the order column is cut into."""
-    spark = df.sparkSession
-    limit = limit_of(spark, GROUP_ROWS)
+def group_bound(df: DataFrame, keys: Sequence[str], known_bound: int | None = None) -> int:
+    """The caller's bound on the rows of a group, or the largest group; for steps that order the same groups repeatedly."""
+    return largest_group(df, keys) if known_bound is None else known_bound
+
+
+def rows_to_cut(df: DataFrame, keys: Sequence[str], known_bound: int | None = None) -> int:
+    """0 when every group fits one task, otherwise the rows of the whole table."""
+    limit = limit_of(df.sparkSession, GROUP_ROWS)
     if known_bound is not None and known_bound <= limit:
         return 0
-    rows = largest_group(df, keys)
-    return 0 if rows <= limit else min(_MOST_CHUNKS, max(2, shuffle_partitions(spark), 2 * -(-rows // limit)))
+    if not keys:
+        rows = df.count()
+        return rows if rows > limit else 0
+    sizes = df.groupBy(*[q(k) for k in keys]).count().agg(F.max("count").alias("largest"), F.sum("count").alias("rows")).first()
+    return sizes["rows"] if (sizes["largest"] or 0) > limit else 0
 
 
 def groups_fit(df: DataFrame, keys: Sequence[str]) -> bool:
@@ -80,18 +87,6 @@ def latest_by(column: Column, order: Sequence[str]) -> Column:
     raise ValueError("mixed sort directions are not supported here")
 
 
-def latest_non_null(column: Column, order: Sequence[str]) -> Column:
-    """Aggregate: the last non-null value of the order (a null ordering is ignored by max_by / min_by)."""
-    parts = split_order(order)
-    down = not any(up for _, up in parts)
-    if not down and not all(up for _, up in parts):
-        raise ValueError("mixed sort directions are not supported here")
-    flags = [(q(n).isNotNull() if down else q(n).isNull(), q(n)) for n, _ in parts]
-    position = F.struct(*[x.alias(f"p{i}{j}") for i, pair in enumerate(flags) for j, x in enumerate(pair)])
-    position = F.when(column.isNotNull(), position)
-    return F.min_by(column, position) if down else F.max_by(column, position)
-
-
 def earliest_by(column: Column, order: Sequence[str]) -> Column:
     """Aggregate: the value in the first row of the order."""
     parts = split_order(order)
@@ -122,53 +117,26 @@ def literal_for(df: DataFrame, column: str, value) -> Column:
     return F.lit(value).cast(kind)
 
 
-def order_number(df: DataFrame, name: str, ascending: bool = True) -> Column:
-    """A double that never decreases along the sort; nulls come last."""
-    kind = df.schema[name].dataType
-    c = q(name)
-    if isinstance(kind, T.DateType):
-        c = F.unix_date(c)
-    elif isinstance(kind, T.TimestampType):
-        c = F.unix_micros(c)
-    elif isinstance(kind, T.TimestampNTZType):
-        c = naive_micros(c)
-    elif isinstance(kind, T.StringType):
-        c = F.conv(F.hex(F.substring(F.encode(F.rpad(c, 6, "\x00"), "UTF-8"), 1, 6)), 16, 10)
-    c = c.cast("double")
-    return F.coalesce(c if ascending else -c, F.lit(float("inf")))
-
+def with_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int) -> DataFrame:
+    """Add each row's position in the sort by (keys, order) and its chunk; ``rows`` is the size of the table.
 
-def with_chunks(df: DataFrame, order: Sequence[str], parts: int) -> DataFrame:
-    """Add the chunk number: ranges of the first order column that hold about equal row counts.
-
-    A value so frequent that it fills whole ranges is cut again by the second order column.
-    Bounds are literals computed once, so every task and every retry agrees on them.
+    The sort is Spark's own over range partitions, so text counts in full, NaN and nulls stand where a
+    window puts them and directions may differ. A chunk is a run of at most the row limit of one sorted
+    partition, whatever the ties. Rows equal in the order are told apart by a hash of the row. The
+    table is written, so that every later reader and every retry sees the same cuts.
     """
-    (first, up), *rest = split_order(order)
-    accuracy = max(10_000, 20 * parts)
-    probs = [i / parts for i in range(1, parts)]
-    inf = float("inf")
-    numbered = df.withColumn("__n1", order_number(df, first, up))
-    cuts = numbered.agg(F.percentile_approx("__n1", probs, accuracy)).first()[0] or []
-    bounds = sorted({c for c in cuts if abs(c) != inf})
-    splits = [-inf, *bounds, inf] if bounds else [-inf, 0.0, inf]
-    out = Bucketizer(splits=splits, inputCol="__n1", outputCol="__c1").transform(numbered)
-    heavy = sorted({c for c in cuts if cuts.count(c) > 1 and abs(c) != inf})
-    if not (heavy and rest):
-        return out.withColumn(CHUNK, F.col("__c1").cast("long")).drop("__n1", "__c1")
-    second, second_up = rest[0]
-    out = out.withColumn("__n2", order_number(out, second, second_up))
-    inner = (
-        out.where(F.col("__n1").isin(heavy))
-        .groupBy("__n1")
-        .agg(F.percentile_approx("__n2", probs, accuracy).alias("__b2"))
-    )
-    out = out.join(F.broadcast(inner), "__n1", "left")  # at most one row per range
-    slot = F.when(F.col("__b2").isNull(), F.lit(_LAST_SLOT)).otherwise(
-        F.size(F.filter(F.array_distinct("__b2"), lambda b: b <= F.col("__n2")))
+    limit = limit_of(df.sparkSession, GROUP_ROWS)
+    parts = max(shuffle_partitions(df.sparkSession), -(-rows // limit))
+    hashed = [f.name for f in df.schema.fields if not {"map", "variant"} & set(re.findall(r"\w+", f.dataType.simpleString()))]
+    by = [*[q(k) for k in keys], *order_columns(order), F.col("__tie")]
+    placed = (
+        df.withColumn("__tie", F.xxhash64(*[q(c) for c in hashed]))
+        .repartitionByRange(parts, *by)
+        .sortWithinPartitions(*by)
+        .drop("__tie")
+        .withColumn(POSITION, F.monotonically_increasing_id())
     )
-    chunk = F.col("__c1").cast("long") * (_LAST_SLOT + 1) + slot
-    return out.withColumn(CHUNK, chunk).drop("__b2", "__n1", "__n2", "__c1")
+    return materialise(placed.withColumn(CHUNK, F.floor(F.col(POSITION) / limit)), "chunks")
 
 
 def _null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Column:
@@ -202,20 +170,20 @@ def running(
         "sum": F.sum, "count": F.count, "max": F.max, "min": F.min,
         "last": lambda c: F.last(c, ignorenulls=True),
     }
-    parts = chunks_needed(df, keys, known_bound)
-    if not parts:
+    rows = rows_to_cut(df, keys, known_bound)
+    if not rows:
         w = window(keys, order).rowsBetween(*frame)
         return df.withColumns({n: agg[k](c).over(w) for n, (k, c) in columns.items()})
 
-    chunked = with_chunks(df, order, parts)
+    chunked = with_chunks(df, keys, order, rows)
     group = [*keys, CHUNK]
-    w = window(group, order).rowsBetween(*frame)
+    w = window(group, [POSITION]).rowsBetween(*frame)
     local = chunked.withColumns({f"__l_{n}": agg[k](c).over(w) for n, (k, c) in columns.items()})
 
     def total(kind: str, c: Column) -> Column:
         if kind != "last":
             return agg[kind](c)
-        return latest_non_null(c, order)
+        return F.max_by(c, F.when(c.isNotNull(), F.col(POSITION)))  # a null position is ignored
 
     totals = chunked.groupBy(*[q(g) for g in group]).agg(
         *[total(k, c).alias(f"__t_{n}") for n, (k, c) in columns.items()]
@@ -226,7 +194,7 @@ def running(
     carry = totals.select(
         *[q(g) for g in group], *[over[k](F.col(f"__t_{n}")).over(earlier).alias(f"__c_{n}") for n, (k, _) in columns.items()]
     )
-    joined = _attach(local, F.broadcast(carry) if not keys else carry, group)
+    joined = _attach(local, carry, group)
 
     def combine(name: str, kind: str) -> Column:
         here, before = F.col(f"__l_{name}"), F.col(f"__c_{name}")
@@ -241,7 +209,7 @@ def running(
         return F.coalesce(here, before)
 
     result = joined.withColumns({n: combine(n, k) for n, (k, _) in columns.items()})
-    return result.drop(CHUNK, *[f"__l_{n}" for n in columns], *[f"__c_{n}" for n in columns])
+    return result.drop(CHUNK, POSITION, *[f"__l_{n}" for n in columns], *[f"__c_{n}" for n in columns])
 
 
 def framed(
@@ -257,37 +225,42 @@ def framed(
 
     ``build(window)`` gets the partitioned and ordered window and returns {name: Column}.
     """
-    parts = chunks_needed(df, keys, known_bound)
-    if not parts:
+    rows = rows_to_cut(df, keys, known_bound)
+    if not rows:
         return df.withColumns(build(window(keys, order)))
 
-    chunked = with_chunks(df, order, parts)
+    chunked = with_chunks(df, keys, order, rows)
+    group = [*keys, CHUNK]
+    pieces = [chunked.withColumn("__halo", F.lit(False))]
+    pieces += [_halo(chunked, keys, reach, backwards) for reach, backwards in ((back, True), (ahead, False)) if reach]
+    together = reduce(DataFrame.unionByName, pieces)
+    return together.withColumns(build(window(group, [POSITION]))).where(~F.col("__halo")).drop(CHUNK, POSITION, "__halo")
+
+
+def _halo(chunked: DataFrame, keys: Sequence[str], reach: int, backwards: bool) -> DataFrame:
+    """The rows other chunks of the group look at, marked with the chunk that looks: at most ``reach`` rows per chunk.
+
+    Chunks are first compared by where they start and end in the group, one small row each; only the
+    outer ``reach`` rows of a chunk then travel, each to the chunks it is within reach of.
+    """
     group = [*keys, CHUNK]
-    row = F.struct(*[q(c) for c in df.columns])
-    body = chunked.withColumn("__halo", F.lit(False))
-    pieces = [body]
-    by_key = Window.partitionBy(*[q(k) for k in keys]).orderBy(CHUNK)
-    for reach, backwards in ((back, True), (ahead, False)):
-        if not reach:
-            continue
-        nearest_first = reversed_columns(order) if backwards else order_columns(order)
-        ranked = Window.partitionBy(*[q(g) for g in group]).orderBy(*nearest_first)
-        edge = (
-            chunked.withColumn("__rn", F.row_number().over(ranked))
-            .where(F.col("__rn") <= reach)
-            .groupBy(*[q(g) for g in group])
-            .agg(F.sort_array(F.collect_list(F.struct(F.col("__rn"), row.alias("row")))).alias("__edge"))
-        )
-        # the nearest `reach` chunks of the group hold the nearest `reach` rows
-        frame = by_key.rowsBetween(-reach, -1) if backwards else by_key.rowsBetween(1, reach)
-        near = edge.withColumn("__near", F.collect_list("__edge").over(frame))
-        near_rows = F.flatten(F.reverse("__near") if backwards else F.col("__near"))
-        halo = near.select(F.col(CHUNK), F.explode(F.slice(near_rows, 1, reach)).alias("__h"))
-        pieces.append(halo.select("__h.row.*", CHUNK, F.lit(True).alias("__halo")))
-    together = pieces[0]
-    for piece in pieces[1:]:
-        together = together.unionByName(piece)
-    return together.withColumns(build(window(group, order))).where(~F.col("__halo")).drop(CHUNK, "__halo")
+    by_key = Window.partitionBy(*[q(k) for k in keys])
+    spans = chunked.groupBy(*[q(g) for g in group]).agg(F.count(F.lit(1)).alias("__n"))
+    spans = spans.withColumn("__end", F.sum("__n").over(by_key.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.withColumn("__start", F.col("__end") - F.col("__n"))
+    span = limit_of(chunked.sparkSession, GROUP_ROWS) + reach
+    if backwards:
+        lookers, edge, mine = by_key.orderBy("__start").rangeBetween(1, span), "__start", F.col("__end")
+    else:
+        lookers, edge, mine = by_key.orderBy("__end").rangeBetween(-span, -1), "__end", F.col("__start")
+    found = F.collect_list(F.struct(F.col(CHUNK).alias("chunk"), F.col(edge).alias("edge"))).over(lookers)
+    between = F.transform(found, lambda t: F.struct(t["chunk"].alias("chunk"), F.abs(t["edge"] - mine).alias("gap")))
+    near = spans.select(*[q(g) for g in group], between.alias("__near"))
+    outward = Window.partitionBy(*[q(g) for g in group]).orderBy(F.desc(POSITION) if backwards else F.asc(POSITION))
+    outer = chunked.withColumn("__rn", F.row_number().over(outward)).where(F.col("__rn") <= reach)
+    target = F.explode(F.filter("__near", lambda t: t["gap"] + F.col("__rn") <= reach))
+    sent = _attach(outer, near, group, "inner").withColumn("__to", target)
+    return sent.withColumn(CHUNK, F.col("__to.chunk")).withColumn("__halo", F.lit(True)).drop("__rn", "__near", "__to")
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, known_bound: int | None = None) -> DataFrame:

@@ -59,10 +59,50 @@ def test_bounded_frames(spark, hot, order):
     both_ways(spark, lambda: O.framed(hot, ["k"], order, build, back=9, ahead=4))
 
 
-def test_chunks_split_the_hot_key(spark, hot):
-    chunked = O.with_chunks(hot, ["t", "id"], 8)
-    largest = chunked.groupBy("k", O.CHUNK).count().agg(F.max("count")).first()[0]
-    assert largest < 1000 / 3  # the hot key has 1000 rows, a value of t up to 130
+def largest_chunk(df, keys, order):
+    chunked = O.with_chunks(df, keys, order, df.count())
+    return chunked.groupBy(*keys, O.CHUNK).count().agg(F.max("count")).first()[0]
+
+
+AWKWARD = {
+    "common prefix": ("printf('Customer#%09d', id)", ["x"]),
+    "narrow range": ("if(k = 0, 500 + id / 1e6, id * 1.0)", ["x"]),
+    "one value": ("'same'", ["x", "id"]),
+    "two tied columns": ("1", ["x", "k", "id"]),
+    "not a number": ("CASE WHEN id % 5 = 0 THEN double('NaN') WHEN id % 7 = 0 THEN NULL ELSE id % 50 * 1.0D END", ["x", "id"]),
+    "mixed directions": ("id % 6", ["x", "-id"]),
+    "mixed directions, text": ("concat('label ', id % 6)", ["-x", "id"]),
+}
+
+
+@pytest.mark.parametrize("case", AWKWARD)
+def test_chunks_are_bounded_and_answers_plain(spark, hot, case):
+    value, order = AWKWARD[case]
+    df = hot.withColumn("x", F.expr(value))
+    columns = {"n": ("count", F.col("v")), "s": ("sum", F.col("id")), "last": ("last", F.col("v"))}
+
+    def frames(w):
+        return {"lag": F.lag("id", 70).over(w), "lead": F.lead("id", 70).over(w), "near": F.sum("v").over(w.rowsBetween(-70, 70))}
+
+    plain = [O.running(df, ["k"], order, columns), O.framed(df, ["k"], order, frames, back=70, ahead=70)]
+    expected = [sorted(map(str, out.drop("x").collect())) for out in plain]
+    spark.conf.set(GROUP_ROWS[0], "100")
+    try:
+        assert largest_chunk(df, ["k"], order) <= 100
+        cut = [O.running(df, ["k"], order, columns), O.framed(df, ["k"], order, frames, back=70, ahead=70)]
+        assert [sorted(map(str, out.drop("x").collect())) for out in cut] == expected
+    finally:
+        spark.conf.unset(GROUP_ROWS[0])
+
+
+def test_a_frame_receives_as_many_rows_as_it_reaches(spark, hot):
+    spark.conf.set(GROUP_ROWS[0], "100")
+    try:
+        chunked = O.with_chunks(hot, ["k"], ["t", "id"], 3000)
+        received = O._halo(chunked, ["k"], 250, True).groupBy("k", O.CHUNK).count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.unset(GROUP_ROWS[0])
+    assert received == 250
 
 
 def test_reach_over_empty_chunks(spark):
