@@ -44,9 +44,9 @@ def volatility(df: DataFrame, account: str, direction: str, actual: str, abs_err
 
 def error_leaderboard(
     df: DataFrame, account: str, abs_error: str, actual: str, date: str, direction: str, credit: bool | None = None,
-    best: bool = True, top_n: int = 10,
+    best: bool = True, top_n: int | None = None,
 ) -> DataFrame:
-    """Best or worst accounts by mean error, with its spread and the count of non-zero actuals.
+    """Accounts by mean error, the best or the worst first, all or ``top_n``, with its spread and the count of non-zero actuals.
 
     Without a direction the actuals are first summed per date.
     """
@@ -58,12 +58,14 @@ def error_leaderboard(
         daily = df.groupBy(q(account), q(date)).agg(F.sum(q(actual)).alias("__a"))
         counts = daily.groupBy(q(account)).agg(F.count_if(F.col("__a") != 0).alias("nonzero_actuals"))
         errors = df.groupBy(q(account)).agg(F.avg(e).alias("error_mean"), F.stddev_samp(e).alias("error_std"))
-        ranked = errors.orderBy(F.col("error_mean").asc_nulls_last() if best else F.col("error_mean").desc_nulls_last(), q(account)).limit(top_n)
+        ranked = errors.orderBy(F.col("error_mean").asc_nulls_last() if best else F.col("error_mean").desc_nulls_last(), q(account))
+        ranked = ranked.limit(top_n) if top_n else ranked
         return lookup_join(ranked, counts, [account])
     out = df.groupBy(q(account)).agg(
         F.avg(q(abs_error)).alias("error_mean"), F.stddev_samp(q(abs_error)).alias("error_std"), F.count_if(q(actual) != 0).alias("nonzero_actuals")
     )
-    return out.orderBy(F.col("error_mean").asc_nulls_last() if best else F.col("error_mean").desc_nulls_last(), q(account)).limit(top_n)
+    ranked = out.orderBy(F.col("error_mean").asc_nulls_last() if best else F.col("error_mean").desc_nulls_last(), q(account))
+    return ranked.limit(top_n) if top_n else ranked
 
 
 def sums_by(df: DataFrame, x: str, ys: Sequence[str], selection: dict[str, Sequence] | None = None) -> DataFrame:

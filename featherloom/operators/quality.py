@@ -94,7 +94,7 @@ def validate_schema(df: DataFrame, rules: Sequence[ColumnRule], strict: bool = F
         if r.pattern is not None:
             count(r, "pattern", c.isNotNull() & ~c.cast("string").rlike(f"^(?:{r.pattern})"))
     got = wide_aggregate(df, counters) if counters else {}
-    rows += [(*key.split("|"), severity[key], n) for key, n in got.items() if n]
+    rows += [(*key.rsplit("|", 1), severity[key], n) for key, n in got.items() if n]
     found = _table(df, rows, "column string, check string, severity string, violations bigint")
     unique = [r.name for r in present if r.unique]
     if unique:
@@ -203,8 +203,8 @@ def outliers_zscore(df: DataFrame, columns: Sequence[str] | None = None, thresho
     return _table(df, rows, "column string, outliers bigint, pct double, mean double, std double")
 
 
-def outlier_rows(df: DataFrame, column: str, lower: float, upper: float, limit: int | None = 100, order: Sequence[str] = ()) -> DataFrame:
-    """The rows outside the bounds; the report lists the first 100."""
+def outlier_rows(df: DataFrame, column: str, lower: float, upper: float, limit: int | None = None, order: Sequence[str] = ()) -> DataFrame:
+    """The rows outside the bounds, all or the first ``limit``."""
     out = df.where((q(column) < lower) | (q(column) > upper))
     if limit is None:
         return out
@@ -304,13 +304,14 @@ def ks_statistic(reference: DataFrame, current: DataFrame, column: str) -> DataF
     return cum.agg(F.max(gap).alias("statistic")).withColumns({"ref_n": F.lit(ref_n), "cur_n": F.lit(cur_n)})
 
 
-def drift_numeric(reference: DataFrame, current: DataFrame, column: str, significance_level: float = 0.05) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov test with means, spreads and the mean shift."""
+def drift_numeric(reference: DataFrame, current: DataFrame, column: str, significance_level: float = 0.05, method: str = "asymptotic") -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov test (p-value asymptotic or exact) with means, spreads and the mean shift."""
+    one_of(method, ("asymptotic", "exact"), "method")
     out = ks_statistic(reference, current, column)
     x = q(column).cast("double")
     rm, rs = reference.agg(F.avg(x), F.stddev_samp(x)).first()
     cm, cs = current.agg(F.avg(x), F.stddev_samp(x)).first()
-    p = tails.ks_two_sample(F.col("statistic"), F.col("ref_n"), F.col("cur_n"))
+    p = tails.ks_two_sample(F.col("statistic"), F.col("ref_n"), F.col("cur_n"), method)
     return out.withColumns({
         "column": F.lit(column), "p_value": p, "ref_mean": F.lit(rm), "cur_mean": F.lit(cm), "ref_std": F.lit(rs), "cur_std": F.lit(cs),
         "mean_shift": F.lit(cm - rm), "mean_shift_pct": F.lit((cm - rm) / rm * 100 if rm else None).cast("double"),

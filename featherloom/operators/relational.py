@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -87,11 +88,13 @@ def filter_rows(df: DataFrame, column: str, operator: str, value) -> DataFrame:
     kind, c = df.schema[column].dataType, q(column)
     if isinstance(kind, T.BooleanType):
         one_of(operator, ("==", "!="), "operator")
-        wanted = str(value) == "True"
+        wanted = {"true": True, "false": False}.get(str(value).lower())
+        if wanted is None:
+            raise ParameterError(f"{column} is boolean; compare it with True or False, not {value!r}")
         return df.where(c == F.lit(wanted) if operator == "==" else ~c.eqNullSafe(F.lit(wanted)))
     if is_numeric(df, column):
         one_of(operator, ("==", "!=", ">", "<", ">=", "<="), "operator")
-        v = F.lit(float(value))
+        v = _number(kind, value)
         tests = {"==": c == v, "!=": ~c.eqNullSafe(v), ">": c > v, "<": c < v, ">=": c >= v, "<=": c <= v}
         return df.where(tests[operator])
     one_of(operator, ("==", "!=", "contains", "not contains", "startswith", "endswith"), "operator")
@@ -108,6 +111,21 @@ def filter_rows(df: DataFrame, column: str, operator: str, value) -> DataFrame:
     return df.where(tests[operator])
 
 
+_WHOLE = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
+
+
+def _number(kind: T.DataType, value) -> Column:
+    """A literal of the column's own type where the value is a whole number it can hold, otherwise a double.
+
+    Large ids then compare exactly, and the comparison reaches the scan.
+    """
+    bits = _WHOLE.get(type(kind))
+    exact = Decimal(str(value)) if bits else Decimal("NaN")
+    if exact.is_finite() and exact == exact.to_integral_value() and -(2 ** (bits - 1)) <= exact < 2 ** (bits - 1):
+        return F.lit(int(exact)).cast(kind)
+    return F.lit(float(value))
+
+
 def drop_rows_out_of_bounds(df: DataFrame, column: str, lower: float, upper: float) -> DataFrame:
     if lower > upper:
         raise ParameterError("lower must not exceed upper")
@@ -352,9 +370,6 @@ def drop_rows_duplicates(
     return base.agg(F.count(F.lit(1)).alias("__n"), F.any_value(row).alias("__row")).where("__n = 1").select("__row.*")
 
 
-_GROUP_LIMIT = 1000  # Spark's default spark.sql.optimizer.windowGroupLimitThreshold
-
-
 def _nth_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     w = Window.partitionBy(*[q(k) for k in keys]).orderBy(*order)
     return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == n).drop("__rn")
@@ -371,7 +386,7 @@ def qualify(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str],
     Beyond the target Spark does that for, rows are numbered chunk by chunk.
     """
     order = [o if asc else f"-{o}" for o in order_by]
-    if target <= _GROUP_LIMIT:
+    if target <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
         return _nth_row(df, partition_by, order_columns(order), target)
     return row_numbers(df, partition_by, order, "__rn").where(F.col("__rn") == target).drop("__rn")
 

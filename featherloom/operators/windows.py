@@ -11,10 +11,12 @@ from featherloom.operators.ordered import (
     average_ranks,
     cumulative_counts,
     framed,
+    group_bound,
     lookup_join,
     q,
     row_numbers,
     running,
+    split_order,
     value_counts,
 )
 from featherloom.params import ParameterError, need_columns, one_of
@@ -138,6 +140,7 @@ def recency(
 ) -> DataFrame:
     """Rows since the last non-zero value before this row (since the series start when there is none)."""
     order = [datetime_column, *order_by]
+    known_bound = group_bound(df, dimension_columns, known_bound)
     numbered = row_numbers(df, dimension_columns, order, "__rn", known_bound)
     last_hit = F.when(q(target_column) != 0, F.col("__rn"))
     out = running(numbered, dimension_columns, order, {"__hit": ("max", last_hit)}, include_current=False, known_bound=known_bound)
@@ -172,6 +175,7 @@ def flag_distances(df: DataFrame, columns: Sequence[str], date_column: str = "da
     """
     need_columns(df, [date_column, *columns])
     calendar = df.groupBy(q(date_column)).agg(*[F.max(q(c).cast("int")).alias(c) for c in columns])
+    known_bound = group_bound(calendar, [], known_bound)
     ordered = row_numbers(calendar, [], [date_column], "__rn", known_bound)
     up = running(ordered, [], [date_column], {f"__p_{c}": ("max", F.when(q(c) == 1, F.col("__rn"))) for c in columns}, known_bound=known_bound)
     both = running(up, [], [f"-{date_column}"], {
@@ -189,12 +193,13 @@ def fill_along(
     df: DataFrame, columns: dict[str, str], group_by: Sequence[str], order_by: Sequence[str], known_bound: int | None = None
 ) -> DataFrame:
     """Ordered fills per group: ``ffill``, ``bfill`` or ``interpolate`` (linear by row position)."""
-    need_columns(df, [*columns, *group_by, *order_by])
+    need_columns(df, [*columns, *group_by, *[n for n, _ in split_order(order_by)]])
     if not order_by:
         raise ParameterError("ordered fills need order_by")
     back = [o[1:] if o.startswith("-") else f"-{o}" for o in order_by]
     for c, how in columns.items():
         one_of(how, ("ffill", "bfill", "interpolate"), "fill")
+    known_bound = group_bound(df, group_by, known_bound)
     forward = {c: how for c, how in columns.items() if how != "bfill"}
     backward = {c: how for c, how in columns.items() if how != "ffill"}
     out = df

@@ -6,6 +6,8 @@ Both only compose lazy DataFrames; jobs run where a step has to be fitted.
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +16,10 @@ from featherloom.plans.steps import step_named
 from featherloom.session import materialise
 
 
+#: Keys of a fitted state that hold the path of a table.
+STATE_TABLES = ("table", "rare_table")
+
+
 class FeatureChain:
     """A list of steps fitted in order on one table and replayed on others."""
 
@@ -51,16 +57,29 @@ class FeatureChain:
         return df
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """One JSON document with steps and fitted states."""
+        """A folder that holds all the chain needs: steps and fitted states as one JSON document, state tables beside it."""
         if self.states is None:
             raise ParameterError("the chain is not fitted")
-        text = json.dumps({"steps": self.steps, "states": self.states}, default=float)
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+        def copied(table: str) -> str:
+            name = f"table-{uuid.uuid4().hex}"
+            spark.read.parquet(table).write.parquet(f"{path}/{name}")
+            return name
+
+        text = json.dumps({"steps": self.steps, "states": _with_tables(self.states, copied)}, default=float)
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/steps")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> FeatureChain:
-        saved = json.loads(spark.read.text(path).first()[0])
-        return cls(saved["steps"], saved["states"])
+        saved = json.loads(spark.read.text(f"{path}/steps").first()[0])
+        return cls(saved["steps"], _with_tables(saved["states"], lambda name: f"{path}/{name}"))
+
+
+def _with_tables(state, place: Callable[[str], str]):
+    """The states with every path of a state table replaced."""
+    if isinstance(state, dict):
+        return {k: place(v) if k in STATE_TABLES and isinstance(v, str) else _with_tables(v, place) for k, v in state.items()}
+    return [_with_tables(v, place) for v in state] if isinstance(state, (list, tuple)) else state
 
 
 class StepGraph:

@@ -163,9 +163,9 @@ def shapley_importance(values: DataFrame) -> DataFrame:
 
 
 def local_surrogate(
-    df: DataFrame, predict: Predict, features: Sequence[str], key: str, value, num_features: int = 10, num_samples: int = 5000, seed: int = 42
+    df: DataFrame, predict: Predict, features: Sequence[str], key: str, value, num_features: int | None = None, num_samples: int = 5000, seed: int = 42
 ) -> DataFrame:
-    """Weighted linear fit around one row: the top features with their local weights.
+    """Weighted linear fit around one row: features (all, or the strongest ``num_features``) with their local weights.
 
     Neighbours are drawn from normals with the columns' spread; weights fall with distance.
     """

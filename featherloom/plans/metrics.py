@@ -203,8 +203,9 @@ def run_table(scores: DataFrame, run: str = "run_id", name: str = "score_name",
     return picked.groupBy(q(run)).pivot(name, list(names) if names else None).agg(F.first(q(value)))
 
 
-def search_runs(runs: DataFrame, condition: str | None = None, order_by: Sequence[str] = (), max_results: int = 50) -> DataFrame:
+def search_runs(runs: DataFrame, condition: str | None = None, order_by: Sequence[str] = (), max_results: int | None = None) -> DataFrame:
     """Filter with a SQL condition over the run table's columns, order and limit."""
     found = runs.where(F.expr(condition)) if condition else runs
     keys = [q(o[1:]).desc_nulls_last() if o.startswith("-") else q(o).asc_nulls_last() for o in order_by]
-    return (found.orderBy(*keys) if keys else found).limit(max_results)
+    found = found.orderBy(*keys) if keys else found
+    return found if max_results is None else found.limit(max_results)

@@ -32,9 +32,9 @@ _FAMILIES = {
     "elastic_net": (LinearRegression, {"alpha": "regParam", "l1_ratio": "elasticNetParam", "max_iter": "maxIter", "tol": "tol", "fit_intercept": "fitIntercept"}, {"regParam": 1.0, "elasticNetParam": 0.5, "standardization": False}),
     "huber": (LinearRegression, {"epsilon": "epsilon", "alpha": "regParam", "max_iter": "maxIter", "tol": "tol"}, {"loss": "huber", "regParam": 0.0001, "epsilon": 1.35}),
     "decision_tree": (DecisionTreeRegressor, {"max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode", "random_state": "seed"}, {"maxDepth": 5, "seed": 42}),
-    "random_forest": (RandomForestRegressor, {"n_estimators": "numTrees", "max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode", "random_state": "seed"}, {"numTrees": 100, "maxDepth": 5, "seed": 42}),
+    "random_forest": (RandomForestRegressor, {"n_estimators": "numTrees", "max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode", "random_state": "seed"}, {"numTrees": 100, "maxDepth": 30, "seed": 42}),
     "gradient_boosting": (GBTRegressor, {"n_estimators": "maxIter", "learning_rate": "stepSize", "max_depth": "maxDepth", "subsample": "subsamplingRate", "random_state": "seed"}, {"maxIter": 100, "stepSize": 0.1, "maxDepth": 3, "seed": 42}),
-    "xgboost": (GBTRegressor, {"n_estimators": "maxIter", "learning_rate": "stepSize", "max_depth": "maxDepth", "subsample": "subsamplingRate", "random_state": "seed"}, {"maxIter": 100, "stepSize": 0.3, "maxDepth": 6, "seed": 42}),
+    "xgboost": (GBTRegressor, {"n_estimators": "maxIter", "learning_rate": "stepSize", "max_depth": "maxDepth", "subsample": "subsamplingRate", "random_state": "seed"}, {"maxIter": 100, "stepSize": 0.1, "maxDepth": 3, "seed": 42}),
 }
 MODEL_TYPES = tuple(_FAMILIES)
 
@@ -72,7 +72,7 @@ class FittedModel:
         ranked = sorted(zip(self.features, map(float, values)), key=lambda x: (-x[1], x[0]))
         return ranked[:top_n] if top_n else ranked
 
-    def importance_table(self, spark: SparkSession, top_n: int | None = 20) -> DataFrame:
+    def importance_table(self, spark: SparkSession, top_n: int | None = None) -> DataFrame:
         rows = [(i + 1, f, v) for i, (f, v) in enumerate(self.importances(top_n))]
         return spark.createDataFrame(rows, "rank int, feature string, importance double")
 

@@ -193,14 +193,14 @@ def _(t):
 @query("a19_error_leaderboard", f"""SELECT counterparty_id, round(avg(abs_error), 4) AS error_mean, round(stddev_samp(abs_error), 4) AS error_std, count_if(total_amount <> 0)::BIGINT AS nonzero_actuals
   FROM {ERRORS} WHERE direction = 'IN' GROUP BY 1 ORDER BY avg(abs_error), 1 LIMIT 10""")
 def _(t):
-    return rounded(L.error_leaderboard(with_errors(t), "counterparty_id", "abs_error", "total_amount", "date", "direction", True), 4)
+    return rounded(L.error_leaderboard(with_errors(t), "counterparty_id", "abs_error", "total_amount", "date", "direction", True, top_n=10), 4)
 
 
 @query("a19_error_leaderboard_worst", f"""WITH e AS (SELECT counterparty_id, avg(abs_error) AS m, stddev_samp(abs_error) AS s FROM {ERRORS} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10),
   c AS (SELECT counterparty_id, count_if(a <> 0)::BIGINT AS n FROM (SELECT counterparty_id, date, sum(total_amount) AS a FROM {FLOWS} GROUP BY 1, 2) GROUP BY 1)
   SELECT e.counterparty_id, round(m, 4) AS error_mean, round(s, 4) AS error_std, n AS nonzero_actuals FROM e JOIN c ON e.counterparty_id = c.counterparty_id""")
 def _(t):
-    return rounded(L.error_leaderboard(with_errors(t), "counterparty_id", "abs_error", "total_amount", "date", "direction", None, best=False), 4)
+    return rounded(L.error_leaderboard(with_errors(t), "counterparty_id", "abs_error", "total_amount", "date", "direction", None, best=False, top_n=10), 4)
 
 
 @query("a20_sums_by_date", f"""SELECT date, round(sum(total_amount), 2) AS total_amount, round(sum(forecast), 2) AS forecast FROM {FLOWS} WHERE direction IN ('IN') GROUP BY 1""")
@@ -330,7 +330,7 @@ def _(t):
 
 @query("q5_outlier_rows", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice < 5000 OR o_totalprice > 480000 ORDER BY o_totalprice, o_orderkey LIMIT 100")
 def _(t):
-    return Q.outlier_rows(t.orders.select("o_orderkey", "o_totalprice"), "o_totalprice", 5000, 480000, order=["o_totalprice", "o_orderkey"])
+    return Q.outlier_rows(t.orders.select("o_orderkey", "o_totalprice"), "o_totalprice", 5000, 480000, limit=100, order=["o_totalprice", "o_orderkey"])
 
 
 @query("q6_isolation_outliers", """SELECT count(*) AS n, TRUE AS share_kept, TRUE AS extremes_found FROM events""")
@@ -350,11 +350,12 @@ def halves(t):
 
 @query("q7_drift_numeric", f"""WITH v AS (SELECT value, count_if(r = 1) AS a, count_if(r = 0) AS b FROM (SELECT value, 1 AS r FROM {BEFORE} UNION ALL SELECT value, 0 FROM {AFTER}) GROUP BY 1),
   c AS (SELECT sum(a) OVER (ORDER BY value) / sum(a) OVER () AS f, sum(b) OVER (ORDER BY value) / sum(b) OVER () AS g FROM v),
-  s AS (SELECT avg(value) AS rm, stddev_samp(value) AS rs, count(*) AS rn FROM {BEFORE}), u AS (SELECT avg(value) AS cm, stddev_samp(value) AS cs, count(*) AS cn FROM {AFTER})
-  SELECT 'value' AS "column", (SELECT round(max(abs(f - g)), 6) FROM c) AS statistic, rn AS ref_n, cn AS cur_n, round(rm, 6) AS ref_mean, round(cm, 6) AS cur_mean, round(rs, 6) AS ref_std, round(cs, 6) AS cur_std,
-    round(cm - rm, 6) AS mean_shift, round((cm - rm) / rm * 100, 6) AS mean_shift_pct FROM s, u""")
+  s AS (SELECT avg(value) AS rm, stddev_samp(value) AS rs, count(*) AS rn FROM {BEFORE}), u AS (SELECT avg(value) AS cm, stddev_samp(value) AS cs, count(*) AS cn FROM {AFTER}),
+  d AS (SELECT max(abs(f - g)) AS d FROM c), p AS (SELECT least(1, greatest(0, 2 * sum(pow(-1, k - 1) * exp(-2 * k * k * d * d * rn * cn / (rn + cn))))) AS p FROM d, s, u, range(1, 101) r(k))
+  SELECT 'value' AS "column", round(d, 6) AS statistic, round(p, 6) AS p_value, p < 0.05 AS drift_detected, rn AS ref_n, cn AS cur_n, round(rm, 6) AS ref_mean, round(cm, 6) AS cur_mean, round(rs, 6) AS ref_std, round(cs, 6) AS cur_std,
+    round(cm - rm, 6) AS mean_shift, round((cm - rm) / rm * 100, 6) AS mean_shift_pct FROM s, u, d, p""")
 def _(t):
-    return rounded(Q.drift_numeric(*halves(t), "value").drop("p_value", "drift_detected"))
+    return rounded(Q.drift_numeric(*halves(t), "value"))
 
 
 @query("q8_drift_categorical", f"""WITH c AS (SELECT event_type, count_if(ts < TIMESTAMP '2024-01-16') AS r, count_if(ts >= TIMESTAMP '2024-01-16') AS c FROM events GROUP BY 1),

@@ -228,7 +228,7 @@ def _notes(t):
 
 @query("f17_document_search", f"""SELECT doc_id, updated_at FROM {NOTES} WHERE regexp_matches(title, '(?i)SRC3') OR regexp_matches(content, '(?i)SRC3') OR list_contains(tags, 'SRC3') ORDER BY updated_at DESC LIMIT 10""")
 def _(t):
-    return documents.search_documents(_notes(t), "SRC3").select("doc_id", "updated_at")
+    return documents.search_documents(_notes(t), "SRC3", limit=10).select("doc_id", "updated_at")
 
 
 @query("f17_documents_with_tag", f"SELECT doc_id, updated_at FROM {NOTES} WHERE list_contains(tags, 'es')")
@@ -252,7 +252,7 @@ def _catalogue(t):
 
 @query("s9_list_transformed", f"""SELECT entity_id, source_dataset_id, created_at FROM {CATALOGUE} WHERE is_transformed AND pipeline_name = '2-HIGH' ORDER BY created_at DESC, entity_id DESC LIMIT 50""")
 def _(t):
-    return catalog.list_transformed(_catalogue(t), pipeline_name="2-HIGH").select("entity_id", "source_dataset_id", "created_at")
+    return catalog.list_transformed(_catalogue(t), pipeline_name="2-HIGH", limit=50).select("entity_id", "source_dataset_id", "created_at")
 
 
 @query("s10_load_newest_transformed", "SELECT * FROM supplier")

@@ -9,8 +9,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Limits, each overridable with spark.conf.set(<key>, <number>).
 GROUP_ROWS = ("spark.featherloom.groupRowLimit", 2_000_000)
@@ -76,17 +78,35 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
 def small_copy(df: DataFrame) -> DataFrame | None:
     """The table as a broadcast-marked local relation when it is proven small, otherwise None.
 
-    At most limit + 1 rows are read; rows and Arrow bytes are checked. The rows read for the
-    check are the ones broadcast, so the table is not computed a second time.
+    At most limit + 1 rows are read, and of texts and nested values no more than the byte limit and one
+    row reach the driver. The rows read for the check are the ones broadcast, so the table is not
+    computed a second time.
     """
     spark = df.sparkSession
-    rows = limit_of(spark, BROADCAST_ROWS)
-    table = df.limit(rows + 1).toArrow()
-    if table.num_rows > rows or table.nbytes > limit_of(spark, BROADCAST_BYTES):
+    rows, size = limit_of(spark, BROADCAST_ROWS), limit_of(spark, BROADCAST_BYTES)
+    wide = [f for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType, T.VariantType))]
+    first = df.limit(rows + 1)
+    if wide:
+        upto = Window.orderBy(F.monotonically_increasing_id()).rowsBetween(Window.unboundedPreceding, 0)  # over limit + 1 rows
+        first = first.withColumn("__bytes", sum((_bytes_of(f) for f in wide), F.lit(0)))
+        first = first.withColumn("__seen", F.sum("__bytes").over(upto)).where(F.col("__seen") - F.col("__bytes") <= size)
+    table = first.toArrow()
+    if wide:
+        if (pc.max(table["__seen"]).as_py() or 0) > size:
+            return None
+        table = table.drop_columns(["__bytes", "__seen"])
+    if table.num_rows > rows or table.nbytes > size:
         return None
     return F.broadcast(spark.createDataFrame(table, df.schema))
 
 
+def _bytes_of(field: T.StructField) -> Column:
+    """The size of a text, or of a nested value written as JSON."""
+    c = F.col("`" + field.name.replace("`", "``") + "`")
+    flat = c if isinstance(field.dataType, (T.StringType, T.BinaryType)) else F.to_json(F.struct(c))
+    return F.coalesce(F.octet_length(flat), F.lit(0)).cast("long")
+
+
 def broadcast_if_small(df: DataFrame) -> DataFrame:
     """Mark for broadcast only after the size check; otherwise the join shuffles and AQE splits skew."""
     small = small_copy(df)

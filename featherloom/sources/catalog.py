@@ -13,14 +13,15 @@ from featherloom.params import ParameterError
 from featherloom.session import materialise
 
 
-def list_transformed(catalogue: DataFrame, source_dataset_id=None, pipeline_name: str | None = None, limit: int = 50) -> DataFrame:
-    """Newest transformed datasets first; the limit applies after the sort."""
+def list_transformed(catalogue: DataFrame, source_dataset_id=None, pipeline_name: str | None = None, limit: int | None = None) -> DataFrame:
+    """Newest transformed datasets first; a limit applies after the sort."""
     df = catalogue.where("is_transformed")
     if source_dataset_id is not None:
         df = df.where(F.col("source_dataset_id") == F.lit(source_dataset_id))
     if pipeline_name is not None:
         df = df.where(F.col("pipeline_name") == pipeline_name)
-    return df.orderBy(F.desc("created_at"), F.desc("entity_id")).limit(limit)
+    found = df.orderBy(F.desc("created_at"), F.desc("entity_id"))
+    return found if limit is None else found.limit(limit)
 
 
 def load_transformed(catalogue: DataFrame, name: str, pipeline_name: str | None = None, source_dataset_id=None) -> DataFrame:

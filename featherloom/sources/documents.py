@@ -49,11 +49,12 @@ def find_documents(df: DataFrame, query: dict, data: str = "data") -> DataFrame:
     return df.where(document_predicate(query, data))
 
 
-def search_documents(df: DataFrame, text: str, title: str = "title", content: str = "content", tags: str = "tags", updated: str = "updated_at", limit: int = 10) -> DataFrame:
+def search_documents(df: DataFrame, text: str, title: str = "title", content: str = "content", tags: str = "tags", updated: str = "updated_at", limit: int | None = None) -> DataFrame:
     """Pattern in title or content (any case) or an exact tag; newest first."""
     pattern = "(?i)" + text
     test = q(title).rlike(pattern) | q(content).rlike(pattern) | F.array_contains(q(tags), text)
-    return df.where(F.coalesce(test, F.lit(False))).orderBy(F.desc(updated), q(title)).limit(limit)
+    found = df.where(F.coalesce(test, F.lit(False))).orderBy(F.desc(updated), q(title))
+    return found if limit is None else found.limit(limit)
 
 
 def documents_with_tag(df: DataFrame, tag: str, tags: str = "tags", updated: str = "updated_at") -> DataFrame:

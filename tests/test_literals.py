@@ -1,11 +1,14 @@
 """Small tables with known answers."""
 
 import datetime as dt
+import json
+import shutil
 
 import pytest
 
 from conftest import rows_of
 from featherloom.functions import scalars as X
+from featherloom.operators import quality as Q
 from featherloom.operators import relational as R
 from featherloom.operators import timeseries as S
 from featherloom.operators import windows as W
@@ -143,3 +146,35 @@ def test_graph_rejects_unknown_source():
 def test_unfitted_chain(spark):
     with pytest.raises(ParameterError, match="not fitted"):
         FeatureChain([{"name": "Sort", "parameters": {"columns": ["v"]}}]).transform(series(spark, [1.0]))
+
+
+def test_whole_numbers_compare_in_the_type_of_the_column(spark):
+    df = spark.createDataFrame([(9007199254740993,), (9007199254740992,)], "id bigint")
+    assert R.filter_rows(df, "id", "==", 9007199254740993).count() == 1
+    assert R.filter_rows(df, "id", "==", "9007199254740992").count() == 1
+    assert R.filter_rows(df, "id", "<", 1e30).count() == 2
+
+
+@pytest.mark.parametrize("value, kept", [("True", 1), ("true", 1), (True, 1), ("False", 2), (False, 2)])
+def test_boolean_values(spark, value, kept):
+    df = spark.createDataFrame([(True,), (False,), (False,), (None,)], "b boolean")
+    assert R.filter_rows(df, "b", "==", value).count() == kept
+    with pytest.raises(ParameterError):
+        R.filter_rows(df, "b", "==", 1)
+
+
+def test_names_with_a_bar(spark):
+    df = spark.createDataFrame([(-1,), (2,)], "`a|b` int")
+    found = Q.validate_schema(df, [Q.ColumnRule("a|b", "integer", min_value=0)]).where("violations > 0 AND check <> 'null'").collect()
+    assert [(r["column"], r["check"], r["violations"]) for r in found] == [("a|b", "min_value", 1)]
+
+
+def test_saved_chain_holds_its_tables(spark, tmp_path):
+    train = spark.createDataFrame([("b", 1), ("a", 2), ("c", 3), (None, 4)], "label string, id int")
+    chain = FeatureChain([{"name": "OrdinalEncoder", "parameters": {"column": "label"}}]).fit(train)
+    expected = sorted(map(str, chain.transform(train).collect()))
+    chain.save(spark, str(tmp_path / "one"))
+    shutil.copytree(tmp_path / "one", tmp_path / "two")
+    loaded = FeatureChain.load(spark, str(tmp_path / "two"))
+    assert str(tmp_path / "two") in json.dumps(loaded.states)
+    assert sorted(map(str, loaded.transform(train).collect())) == expected

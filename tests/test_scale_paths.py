@@ -198,3 +198,15 @@ def test_answers_do_not_depend_on_partitioning(spark, hot, parts):
         return O.framed(O.row_numbers(df, ["k"], ["t", "id"], "rn"), ["k"], ["t", "id"], lambda w: {"p": F.lag("v", 2).over(w)}, back=2)
 
     assert rows_of(build(hot.repartition(parts))) == rows_of(build(hot))
+
+
+def test_wide_rows_do_not_reach_the_driver(spark):
+    from featherloom import session
+
+    wide = spark.range(1000).select("id", F.repeat(F.lit("x"), 10_000).alias("s"), F.array(F.lit("y")).alias("a"))
+    spark.conf.set("spark.featherloom.broadcastByteLimit", "50000")
+    try:
+        assert session.small_copy(wide) is None
+        assert session.small_copy(wide.limit(2)).count() == 2
+    finally:
+        spark.conf.unset("spark.featherloom.broadcastByteLimit")

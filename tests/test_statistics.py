@@ -18,7 +18,7 @@ from featherloom.plans import splitters as P
     (2 * T.t_sf_value(2.228138852, 10), 0.05), (T.t_ppf_value(0.975, 10), 2.228138852), (T.t_ppf_value(0.975, 1), 12.7062047), (T.t_ppf_value(0.025, 30), -2.042272456),
     (T.chi2_sf_value(3.841458821, 1), 0.05), (T.chi2_ppf_value(0.95, 10), 18.307038053), (T.chi2_ppf_value(0.025, 10), 3.246972780), (T.f_sf_value(4.964602744, 1, 10), 0.05),
     (T.f_sf_value(3.325834530, 5, 10), 0.05), (T.normal_sf_value(1.959963985), 0.025), (T.normal_ppf_value(0.8), 0.8416212336), (T.beta_inc(2, 3, 0.4), 0.5248),
-    (T.ks_two_sample_value(0.6, 10, 10), 2 * 4845 / 184756), (T.ks_two_sample_value(1.0, 3, 3), 0.1), (T.ks_two_sample_value(1.0, 3, 2), 0.2),
+    (T.ks_two_sample_value(0.6, 10, 10, "exact"), 2 * 4845 / 184756), (T.ks_two_sample_value(1.0, 3, 3, "exact"), 0.1), (T.ks_two_sample_value(1.0, 3, 2, "exact"), 0.2),
 ])
 def test_tails(found, expected):
     assert found == pytest.approx(expected, rel=2e-8)
@@ -34,11 +34,11 @@ def test_exact_ks_tail_by_counting_paths():
             i, j = (i + 1, j) if step in chosen else (i, j + 1)
             gap = max(gap, abs(i / n1 - j / n2))
         hits, total = hits + (gap >= d), total + 1
-    assert T.ks_two_sample_value(d, n1, n2) == pytest.approx(hits / total)
+    assert T.ks_two_sample_value(d, n1, n2, "exact") == pytest.approx(hits / total)
 
 
 def test_exact_ks_tail_approaches_the_series():
-    exact, series = T.ks_two_sample_value(0.03, 10_000, 10_000), T.ks_two_sample_value(0.03, 10_001, 10_001)
+    exact, series = T.ks_two_sample_value(0.03, 10_000, 10_000, "exact"), T.ks_two_sample_value(0.03, 10_000, 10_000)
     assert exact == pytest.approx(series, rel=0.03)
 
 
