@@ -4,7 +4,8 @@
 written as Parquet in the shared folder and read again as the next one's ``docs``. All stages but the last return the columns of ``documents``.
 
 1. quality: documents that the classifier rejects (score below 0.7) go.
-2. near_duplicates: of each component of near copies the document with the smallest id stays (of repeated rows one).
+2. near_duplicates: of each component of near copies the document with the smallest id stays (of repeated rows one). Linked are
+   fingerprints at two bits or fewer, and texts whose shingles of five words have a similarity of 0.8 or more.
 3. repeats: strings of 200 bytes that occur elsewhere are removed from the texts; characters cut by that go as
    well; ``n_chars`` is counted anew where a text changed. A text that was a repeat as a whole stays as an empty text.
 4. decontaminated: documents that contain a benchmark item go.
@@ -39,7 +40,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = _documents(docs)
-    return simhash.first_of_each(docs)
+    return simhash.first_of_each(docs, threshold=0.8)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

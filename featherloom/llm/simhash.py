@@ -15,12 +15,19 @@ per fingerprint.
 
 Links are between distinct fingerprints; documents are attached at the end, so copies are never paired.
 
+Similar texts (``similar_links``, used by ``first_of_each`` with a threshold): texts with most shingles of five words in common may
+differ in more bits, at a similarity of 0.8 in seven or eight on average. The bits are split, several times in another
+order, into disjoint blocks, as many bits to a block as the number of fingerprints has digits, so chance meetings stay in proportion to the input; fingerprints that
+share a block are compared by Hamming distance and then by the shingles of their texts. A block shared by more than ``crowd``
+fingerprints compares each with the smallest only. Links found this way are exact; a pair that shares no block is missed, see README.
+
 Null or empty texts have fingerprint 0 and are linked like any other. Null ids take part and get
 their component's smallest id (null if it has none). Repeated rows are kept.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,11 +39,13 @@ from pyspark.sql.window import Window
 
 from featherloom.llm.components import components
 from featherloom.llm.tables import only, stored
-from featherloom.llm.words import LOWER, SPACE, blocks
+from featherloom.llm.words import LOWER, SPACE, blocks, prefix_hashes, run_hashes, run_starts, span_hashes, word_spans
 
 SEED = 42
 MAX_BITS = 2
 CROWD = 32
+SIMILAR_BITS = 16
+SIMILAR_CROWD = 16
 _VOTES = 1 << 16
 
 
@@ -116,11 +125,84 @@ def close_links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     return links.unionByName(stars)
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", words: int = 3) -> DataFrame:
-    """(doc_id, fingerprint as 16 hex digits, component_id), one row per row of ``docs``."""
+def _block_masks(fingerprints: int) -> list[int]:
+    """Masks of blocks: a pair whose bits agree with probability 0.88 shares eight of them on average."""
+    bits = max(16, fingerprints.bit_length() + 1)
+    rng, masks = np.random.default_rng(17), []
+    while len(masks) < math.ceil(8 / 0.88**bits):
+        order = rng.permutation(64).tolist()
+        masks += [sum(1 << b for b in order[k: k + bits]) for k in range(0, 64 - bits + 1, bits)]
+    return masks
+
+
+def _shingled(texts: DataFrame, words: int, width: int) -> DataFrame:
+    """(node, shingles) of texts of (node, text) whose fingerprint is the node; shingles are distinct hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column("node").to_numpy()
+            for b in blocks(batch):
+                low = LOWER[b.data]
+                starts, ends, first = word_spans(low, b.offsets)
+                runs = run_starts(len(starts), first, width)
+                h = run_hashes(span_hashes(prefix_hashes(low), starts, ends), runs, width).view(np.int64)
+                at = np.searchsorted(runs, first)
+                same = np.flatnonzero(_fingerprints(b.data, b.offsets, words).view(np.int64) == nodes[b.first: b.last])
+                sets = [np.unique(h[at[k]: at[k + 1]]) for k in same.tolist()]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(b.first, b.rows).take(pa.array(same)), lists], ["node", "shingles"])
+
+    return texts.mapInArrow(run, "node long, shingles array<long>").groupBy("node").agg(F.min("shingles").alias("shingles"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, width: int, threshold: float) -> DataFrame:
+    """The pairs of fingerprints whose texts have a Jaccard similarity of ``threshold`` or more."""
+    pairs = stored(pairs, "candidates")
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = nodes.join(classes, F.col("node") == F.col("fingerprint")).select("node", "first_id")
+    texts = docs.join(wanted, F.col("doc_id") == F.col("first_id")).select("node", "text")
+    sets = stored(_shingled(texts, words, width), "shingles")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
+    common = F.size(F.array_intersect("left", "right"))
+    return both.filter((common > 0) & (common >= threshold * (F.size("left") + F.size("right") - common))).select("a", "b")
+
+
+def similar_links(docs: DataFrame, classes: DataFrame, words: int, threshold: float, width: int = 5, crowd: int = SIMILAR_CROWD) -> DataFrame:
+    """Links (a, b) between distinct fingerprints more than two bits apart whose texts are similar; ``docs``: (doc_id, text)."""
+    fp, apart = F.col("fingerprint"), F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("apart")
+    masks = _block_masks(classes.count())
+    filed = classes.select("fingerprint", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), fp.bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks)])).alias("file"))
+    filed = stored(filed.select("fingerprint", "file.block", "file.bits"), "blocks")
+    shared = filed.groupBy("block", "bits").agg(F.count("*").alias("n"), F.min("fingerprint").alias("least")).filter("n > 1")
+    filed = filed.join(shared, ["block", "bits"])
+    far = (F.col("apart") > MAX_BITS) & (F.col("apart") <= SIMILAR_BITS)
+    stars = filed.filter("fingerprint <> least").select(F.col("least").alias("a"), fp.alias("b"), "block")
+    few = filed.filter(F.col("n") <= crowd)
+    left = few.select("block", "bits", fp.alias("a"))
+    right = few.select(F.col("block").alias("p"), F.col("bits").alias("q"), fp.alias("b"))
+    met = left.join(right, (F.col("block") == F.col("p")) & (F.col("bits") == F.col("q")) & (F.col("a") < F.col("b"))).select("a", "b", "block")
+    pairs = stored(stars.unionByName(met).select("a", "b", apart).filter(far).distinct(), "block-pairs")
+
+    # The closest smaller one first: what that connects needs no further look.
+    nearest = pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")
+    links = stored(_verified(nearest, docs, classes, words, width, threshold), "similar")
+    roots = stored(components(links), "similar-roots")
+    ends = pairs.select("a", "b")
+    for side in ("a", "b"):
+        ends = ends.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    rest = ends.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(nearest, ["a", "b"], "left_anti")
+    return links.unionByName(_verified(rest, docs, classes, words, width, threshold))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", words: int = 3, threshold: float | None = None) -> DataFrame:
+    """(doc_id, fingerprint as 16 hex digits, component_id), one row per row of ``docs``. With a ``threshold``, texts whose five-word shingles are that similar are linked as well."""
     prints = stored(with_fingerprint(docs, text, words), "fingerprints")
     classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
-    roots = components(close_links(classes))
+    links = close_links(classes)
+    if threshold is not None:
+        classes = stored(classes, "classes")
+        links = links.unionByName(similar_links(docs.select("doc_id", F.col(f"`{text}`").alias("text")), classes, words, threshold))
+    roots = components(links)
     classes = classes.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root"))
     names = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = classes.join(names, "root").select(F.col("fingerprint").alias("print"), "component_id")
@@ -128,9 +210,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = 3) -> Data
     return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame, text: str = "text", words: int = 3) -> DataFrame:
+def first_of_each(docs: DataFrame, text: str = "text", words: int = 3, threshold: float | None = None) -> DataFrame:
     """Of each component the document with the smallest id, all columns; of rows that share this id, the one whose text hashes lowest."""
-    found = near_duplicates(docs, text, words)
+    found = near_duplicates(docs, text, words, threshold)
     # Components are named by their smallest id: a document stays if it names its own.
     names = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     kept = docs.join(names, docs["doc_id"].eqNullSafe(names["_id"]), "left_semi")
