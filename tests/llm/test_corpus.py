@@ -100,6 +100,39 @@ def test_close_links(spark, crowd):
     assert {p: roots.get(p, p) for p in signed} == {p: c for p, _, c in want}
 
 
+def five_word_shingles(text):
+    words = (text or "").encode().translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))).split()
+    return {tuple(words[i: i + 5]) for i in range(len(words) - 4)}
+
+
+@pytest.mark.parametrize("crowd", [1, 16])
+def test_similar_texts(spark, crowd):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = []
+    for family in range(12):
+        words = rng.choices(vocabulary, k=rng.choice([60, 300, 900]))
+        for copy in range(5):
+            own = list(words)
+            for _ in range(copy * len(own) // 300):
+                own[rng.randrange(len(own))] = rng.choice(vocabulary)
+            texts.append(" ".join(own))
+    texts += [texts[0], None, "", "few words", " ".join(rng.choices(vocabulary, k=500))]
+    rows = list(enumerate(texts)) + [(None, texts[7])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = simhash.with_fingerprint(docs)
+    numbers = prints.groupBy("fingerprint").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "first_id")
+    links = simhash.similar_links(docs, numbers, 3, 0.8, crowd=crowd)
+    first = {r["fingerprint"]: r["first_id"] for r in numbers.collect()}
+    found = {tuple(sorted((first[r["a"]], first[r["b"]]))) for r in links.collect()}
+    shingles = {i: five_word_shingles(t) for i, t in enumerate(texts)}
+    alike = {(i, j) for j in shingles for i in range(j) if shingles[i] and 5 * len(shingles[i] & shingles[j]) >= 4 * len(shingles[i] | shingles[j])}
+    assert found and found <= alike
+    kept = {r["doc_id"] for r in simhash.first_of_each(docs, threshold=0.8).collect()}
+    # A text stays only if no smaller one is like it; of 60 texts all such copies are found.
+    assert kept == {i for i in range(len(texts)) if not any((j, i) in alike for j in range(i)) and (texts[i] or i == texts.index(None))}
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100), (200, 201), (201, 200)], "a long, b long")
     found = {r["node"]: r["root"] for r in components.components(links).collect()}
