@@ -171,16 +171,15 @@ def similar_links(docs: DataFrame, classes: DataFrame, words: int, threshold: fl
     """Links (a, b) between distinct fingerprints more than two bits apart whose texts are similar; ``docs``: (doc_id, text)."""
     fp, apart = F.col("fingerprint"), F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("apart")
     masks = _block_masks(classes.count())
-    filed = classes.select("fingerprint", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), fp.bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks)])).alias("file"))
-    filed = stored(filed.select("fingerprint", "file.block", "file.bits"), "blocks")
-    shared = filed.groupBy("block", "bits").agg(F.count("*").alias("n"), F.min("fingerprint").alias("least")).filter("n > 1")
-    filed = filed.join(shared, ["block", "bits"])
+    # A block and its bits in one number; numbers that meet by chance only add a candidate.
+    filed = classes.select("fingerprint", F.explode(F.array(*[F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)])).alias("file"))
+    shared = filed.groupBy("file").agg(F.count("*").alias("n"), F.min("fingerprint").alias("least")).filter("n > 1")
+    filed = stored(filed.join(shared, "file"), "shared-blocks")
     far = (F.col("apart") > MAX_BITS) & (F.col("apart") <= SIMILAR_BITS)
-    stars = filed.filter("fingerprint <> least").select(F.col("least").alias("a"), fp.alias("b"), "block")
+    stars = filed.filter("fingerprint <> least").select(F.col("least").alias("a"), fp.alias("b"))
     few = filed.filter(F.col("n") <= crowd)
-    left = few.select("block", "bits", fp.alias("a"))
-    right = few.select(F.col("block").alias("p"), F.col("bits").alias("q"), fp.alias("b"))
-    met = left.join(right, (F.col("block") == F.col("p")) & (F.col("bits") == F.col("q")) & (F.col("a") < F.col("b"))).select("a", "b", "block")
+    left, right = few.select("file", fp.alias("a")), few.select(F.col("file").alias("same"), fp.alias("b"))
+    met = left.join(right, (F.col("file") == F.col("same")) & (F.col("a") < F.col("b"))).select("a", "b")
     pairs = stored(stars.unionByName(met).select("a", "b", apart).filter(far).distinct(), "block-pairs")
 
     # The closest smaller one first: what that connects needs no further look.
