@@ -15,11 +15,13 @@ per fingerprint.
 
 Links are between distinct fingerprints; documents are attached at the end, so copies are never paired.
 
-Similar texts (``similar_links``, used by ``first_of_each`` with a threshold): texts with most shingles of five words in common may
-differ in more bits, at a similarity of 0.8 in seven or eight on average. The bits are split, several times in another
-order, into disjoint blocks, as many bits to a block as the number of fingerprints has digits, so chance meetings stay in proportion to the input; fingerprints that
-share a block are compared by Hamming distance and then by the shingles of their texts. A block shared by more than ``crowd``
-fingerprints compares each with the smallest only. Links found this way are exact; a pair that shares no block is missed, see README.
+Similar texts (``similar_links``, used by ``first_of_each`` with a threshold) are found from their distinct five-word shingles alone, for
+every distinct text and at any number of bits apart. Shingles are ordered by their hash; two texts with a similarity of t share one of
+their n - ceil(t * n) + 1 smallest at least, so each text is filed under these. Texts of one file are compared by size, by the parities of their
+shingles in 512 classes and then by the shingles; the first two refuse no similar pair. Wanted are the components, not all pairs: where a file has more than ``crowd``
+texts, each text is first compared with its best centre, then with a centre by chance in each of its files, and what that connects
+needs no further look. After at most ``TURNS`` such turns all pairs of a file that are not connected yet are compared, so the result is exact.
+A file of m texts that stay apart costs m * m / 2 comparisons of sizes and parities within one join.
 
 Null or empty texts have fingerprint 0 and are linked like any other. Null ids take part and get
 their component's smallest id (null if it has none). Repeated rows are kept.
@@ -33,19 +35,20 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from featherloom.llm.components import components
 from featherloom.llm.tables import only, stored
-from featherloom.llm.words import LOWER, SPACE, blocks, prefix_hashes, run_hashes, run_starts, span_hashes, word_spans
+from featherloom.llm.words import LOWER, SPACE, Block, blocks, prefix_hashes, run_hashes, run_starts, span_hashes, word_spans
 
 SEED = 42
 MAX_BITS = 2
 CROWD = 32
-SIMILAR_BITS = 16
 SIMILAR_CROWD = 16
+PARITY = 512
+TURNS = 4
 _VOTES = 1 << 16
 
 
@@ -125,82 +128,130 @@ def close_links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     return links.unionByName(stars)
 
 
-def _block_masks(fingerprints: int) -> list[int]:
-    """Masks of blocks: a pair whose bits agree with probability 0.88 shares eight of them on average."""
-    bits = max(16, fingerprints.bit_length() + 1)
-    rng, masks = np.random.default_rng(17), []
-    while len(masks) < math.ceil(8 / 0.88**bits):
-        order = rng.permutation(64).tolist()
-        masks += [sum(1 << b for b in order[k: k + bits]) for k in range(0, 64 - bits + 1, bits)]
-    return masks
+def _texts(docs: DataFrame, text: str, words: int, threshold: float, width: int) -> DataFrame:
+    """(doc_id, key, fingerprint, size, prefix, bits) of every row: ``key`` stands for the text, ``size`` is its number of distinct shingles,
+    ``prefix`` the smallest of them, one of which any similar text has among its own smallest, and bit i of ``bits`` the parity of those that fall on i."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in blocks(batch):
+                sets = _shingle_sets(b, width)
+                heads = [h[: len(h) - math.ceil(threshold * len(h) - 1e-9) + 1] for h in sets]
+                parity = [np.packbits(np.bincount(h & (PARITY - 1), minlength=PARITY) & 1, bitorder="little").view(np.int64) for h in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).slice(b.first, b.rows) for c in ("doc_id", "key")), pa.array(_fingerprints(b.data, b.offsets, words).view(np.int64)),
+                     pa.array([len(h) for h in sets], pa.int64()), _lists(heads), _lists(parity)], ["doc_id", "key", "fingerprint", "size", "prefix", "bits"])
+
+    rows = docs.select("doc_id", F.col(f"`{text}`").alias("text"), _key(text).alias("key"))
+    return rows.mapInArrow(run, "doc_id long, key long, fingerprint long, size long, prefix array<long>, bits array<long>")
+
+
+def _key(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
 
 
-def _shingled(texts: DataFrame, words: int, width: int) -> DataFrame:
-    """(node, shingles) of texts of (node, text) whose fingerprint is the node; shingles are distinct hashes."""
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+
+
+def _shingle_sets(b: Block, width: int) -> list[np.ndarray]:
+    low = LOWER[b.data]
+    starts, ends, first = word_spans(low, b.offsets)
+    runs = run_starts(len(starts), first, width)
+    h = run_hashes(span_hashes(prefix_hashes(low), starts, ends), runs, width).view(np.int64)
+    at = np.searchsorted(runs, first)
+    return [np.unique(h[at[k]: at[k + 1]]) for k in range(b.rows)]
+
+
+def _shingled(texts: DataFrame, width: int) -> DataFrame:
+    """(key, shingles) of texts of (key, text); shingles are distinct hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = batch.column("node").to_numpy()
             for b in blocks(batch):
-                low = LOWER[b.data]
-                starts, ends, first = word_spans(low, b.offsets)
-                runs = run_starts(len(starts), first, width)
-                h = run_hashes(span_hashes(prefix_hashes(low), starts, ends), runs, width).view(np.int64)
-                at = np.searchsorted(runs, first)
-                same = np.flatnonzero(_fingerprints(b.data, b.offsets, words).view(np.int64) == nodes[b.first: b.last])
-                sets = [np.unique(h[at[k]: at[k + 1]]) for k in same.tolist()]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(b.first, b.rows).take(pa.array(same)), lists], ["node", "shingles"])
-
-    return texts.mapInArrow(run, "node long, shingles array<long>").groupBy("node").agg(F.min("shingles").alias("shingles"))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, width: int, threshold: float) -> DataFrame:
-    """The pairs of fingerprints whose texts have a Jaccard similarity of ``threshold`` or more."""
-    pairs = stored(pairs, "candidates")
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(classes, F.col("node") == F.col("fingerprint")).select("node", "first_id")
-    texts = docs.join(wanted, F.col("doc_id") == F.col("first_id")).select("node", "text")
-    sets = stored(_shingled(texts, words, width), "shingles")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(b.first, b.rows), _lists(_shingle_sets(b, width))], ["key", "shingles"])
+
+    return texts.mapInArrow(run, "key long, shingles array<long>").groupBy("key").agg(F.min("shingles").alias("shingles"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) of keys whose texts have a Jaccard similarity of ``threshold`` or more; ``docs``: (key, text)."""
+    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    sets = stored(_shingled(docs.join(wanted, "key", "left_semi"), width), "shingles")
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("right")), "b")
     common = F.size(F.array_intersect("left", "right"))
     return both.filter((common > 0) & (common >= threshold * (F.size("left") + F.size("right") - common))).select("a", "b")
 
 
-def similar_links(docs: DataFrame, classes: DataFrame, words: int, threshold: float, width: int = 5, crowd: int = SIMILAR_CROWD) -> DataFrame:
-    """Links (a, b) between distinct fingerprints more than two bits apart whose texts are similar; ``docs``: (doc_id, text)."""
-    fp, apart = F.col("fingerprint"), F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("apart")
-    masks = _block_masks(classes.count())
-    # A block and its bits in one number; numbers that meet by chance only add a candidate.
-    filed = classes.select("fingerprint", F.explode(F.array(*[F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)])).alias("file"))
-    shared = filed.groupBy("file").agg(F.count("*").alias("n"), F.min("fingerprint").alias("least")).filter("n > 1")
-    filed = stored(filed.join(shared, "file"), "shared-blocks")
-    far = (F.col("apart") > MAX_BITS) & (F.col("apart") <= SIMILAR_BITS)
-    stars = filed.filter("fingerprint <> least").select(F.col("least").alias("a"), fp.alias("b"))
-    few = filed.filter(F.col("n") <= crowd)
-    left, right = few.select("file", fp.alias("a")), few.select(F.col("file").alias("same"), fp.alias("b"))
-    met = left.join(right, (F.col("file") == F.col("same")) & (F.col("a") < F.col("b"))).select("a", "b")
-    pairs = stored(stars.unionByName(met).select("a", "b", apart).filter(far).distinct(), "block-pairs")
-
-    # The closest smaller one first: what that connects needs no further look.
-    nearest = pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")
-    links = stored(_verified(nearest, docs, classes, words, width, threshold), "similar")
-    roots = stored(components(links), "similar-roots")
-    ends = pairs.select("a", "b")
+def similar_links(docs: DataFrame, classes: DataFrame | None, words: int, threshold: float, width: int = 5, crowd: int = SIMILAR_CROWD) -> DataFrame:
+    """Links (a, b) between the fingerprints of similar texts, with the components of all similar pairs; ``docs``: (doc_id, text). ``classes`` is not read."""
+    return _similar_links(docs, stored(_texts(docs, "text", words, threshold, width), "texts"), threshold, width, crowd)
+
+
+def _similar_links(docs: DataFrame, texts: DataFrame, threshold: float, width: int = 5, crowd: int = SIMILAR_CROWD) -> DataFrame:
+    docs = docs.select(_key("text").alias("key"), "text")
+    texts = stored(texts.filter("size > 0").drop("doc_id").dropDuplicates(["key"]), "distinct-texts")
+    keys = texts.select("key", "fingerprint")
+    filed = texts.select("key", F.explode("prefix").alias("file"))
+    sizes = filed.groupBy("file").agg(F.count("*").alias("n")).filter("n > 1")
+    filed = stored(filed.join(sizes, "file"), "shared-shingles")
+    # A text with many shingles that many others have is a good centre: the original of its variants.
+    scores = filed.groupBy("key").agg(F.sum("n").alias("score"))
+    texts = texts.select("key", "size", "bits", F.size("prefix").alias("length")).join(scores, "key")
+    texts = texts.select("key", "size", "bits", (F.col("score") / F.col("length")).alias("score"))
+    filed = stored(filed.join(texts, "key").withColumn("root", F.col("key")), "files")
+
+    parts = (1 - threshold) / (1 + threshold)
+    apart = sum(F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("other")["bits"][i])) for i in range(PARITY // 64))
+    sizes = F.col("size") + F.col("other")["size"]
+    # The parities differ in no more bits than the sets in shingles, so this refuses no similar pair.
+    may = (F.col("root") != F.col("other")["root"]) & (F.least("size", F.col("other")["size"]) >= threshold * F.greatest("size", F.col("other")["size"]) - 1e-6) & (apart <= parts * sizes + 1e-6)
+    member = F.struct("key", "size", "bits", "root")
+    found, turn = None, 0
+    while True:
+        files = filed.groupBy("file").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+        filed = stored(filed.select("file", "key", "size", "bits", "score", "root").join(files.select("file", "members"), "file", "left_semi"), "open-files")
+        most = filed.groupBy("file").count().agg(F.max("count")).first()[0]
+        if most is None:
+            break
+        last = turn == TURNS or most <= crowd
+        if last:
+            # All pairs that are not yet connected.
+            others = filed.select(F.col("file").alias("same"), member.alias("other"))
+            pairs = filed.join(others, (F.col("file") == F.col("same")) & (F.col("key") < F.col("other")["key"]) & may)
+        else:
+            # First every text with its best centre, then with a centre of each file by chance.
+            by = F.struct("score", "key") if turn == 0 else F.struct(F.xxhash64("key", "file", F.lit(turn)), F.col("score"), F.col("key"))
+            centres = filed.groupBy(F.col("file").alias("same")).agg(F.max(F.struct(by.alias("by"), member.alias("other"))).alias("c")).select("same", "c.by", "c.other")
+            pairs = filed.join(centres, (F.col("file") == F.col("same")) & may)
+            if turn == 0:
+                pairs = pairs.groupBy("key").agg(F.max(F.struct("by", "other")).alias("c")).select("key", "c.other")
+        pairs = stored(pairs.select(F.least("key", "other.key").alias("a"), F.greatest("key", "other.key").alias("b")).distinct(), "candidates")
+        links = stored(_verified(pairs, docs, width, threshold), "similar")
+        found = links if found is None else found.unionByName(links)
+        if last:
+            break
+        roots = components(found).select(F.col("node").alias("key"), F.col("root").alias("now"))
+        filed = filed.join(roots, "key", "left").withColumn("root", F.coalesce("now", "key")).drop("now")
+        turn += 1
+    prints = keys.select(F.col("key"), "fingerprint")
+    if found is None:
+        return prints.limit(0).select(F.col("fingerprint").alias("a"), F.col("fingerprint").alias("b"))
     for side in ("a", "b"):
-        ends = ends.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-    rest = ends.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(nearest, ["a", "b"], "left_anti")
-    return links.unionByName(_verified(rest, docs, classes, words, width, threshold))
+        found = found.join(prints.select(F.col("key").alias(side), F.col("fingerprint").alias(f"print_{side}")), side)
+    return found.filter("print_a <> print_b").select(F.least("print_a", "print_b").alias("a"), F.greatest("print_a", "print_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", words: int = 3, threshold: float | None = None) -> DataFrame:
     """(doc_id, fingerprint as 16 hex digits, component_id), one row per row of ``docs``. With a ``threshold``, texts whose five-word shingles are that similar are linked as well."""
-    prints = stored(with_fingerprint(docs, text, words), "fingerprints")
+    if threshold is None:
+        prints = stored(with_fingerprint(docs, text, words), "fingerprints")
+    else:
+        prints = stored(_texts(docs, text, words, threshold, 5), "texts")
     classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
     links = close_links(classes)
     if threshold is not None:
-        classes = stored(classes, "classes")
-        links = links.unionByName(similar_links(docs.select("doc_id", F.col(f"`{text}`").alias("text")), classes, words, threshold))
+        links = links.unionByName(_similar_links(docs.select(F.col(f"`{text}`").alias("text")), prints, threshold))
     roots = components(links)
     classes = classes.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root"))
     names = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))

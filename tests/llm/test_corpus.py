@@ -133,6 +133,29 @@ def test_similar_texts(spark, crowd):
     assert kept == {i for i in range(len(texts)) if not any((j, i) in alike for j in range(i)) and (texts[i] or i == texts.index(None))}
 
 
+def kept_ids(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"] for r in simhash.first_of_each(docs, threshold=0.8).collect()}
+
+
+def changed(rng, words, places, vocabulary):
+    own = list(words)
+    for at in places:
+        own[at] = rng.choice(vocabulary)
+    return " ".join(own)
+
+
+def test_similar_texts_of_a_large_family(spark):
+    """Variants are like the original (0.8 and more) and not like each other: one component, whatever their number."""
+    rng, vocabulary = random.Random(4), [f"w{i}" for i in range(3000)]
+    words = rng.choices(vocabulary, k=150)
+    variants = [changed(rng, words, rng.sample(range(150), 3), vocabulary) for _ in range(150)]
+    texts = [*variants[:70], " ".join(words), *variants[70:]]
+    shingles = [five_word_shingles(t) for t in texts]
+    assert all(5 * len(s & shingles[70]) >= 4 * len(s | shingles[70]) for s in shingles)
+    assert kept_ids(spark, texts) == {0}
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100), (200, 201), (201, 200)], "a long, b long")
     found = {r["node"]: r["root"] for r in components.components(links).collect()}
