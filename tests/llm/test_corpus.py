@@ -156,6 +156,18 @@ def test_similar_texts_of_a_large_family(spark):
     assert kept_ids(spark, texts) == {0}
 
 
+def test_similar_texts_at_any_distance(spark):
+    """Pairs at 0.8 just, of short texts: many bits apart, but none is lost."""
+    rng, vocabulary, texts = random.Random(6), [f"w{i}" for i in range(3000)], []
+    for _ in range(400):
+        words = rng.choices(vocabulary, k=40)
+        texts += [" ".join(words), changed(rng, words, range(36, 40), [f"v{i}" for i in range(3000)])]
+    assert kept_ids(spark, texts) == set(range(0, 800, 2))
+
+
+
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100), (200, 201), (201, 200)], "a long, b long")
     found = {r["node"]: r["root"] for r in components.components(links).collect()}
