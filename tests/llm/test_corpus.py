@@ -166,6 +166,17 @@ def test_similar_texts_at_any_distance(spark):
 
 
 
+def test_similar_texts_with_repeats(spark):
+    """Repeated lines move the fingerprint but not the set of shingles; each text of a fingerprint is compared."""
+    rng, vocabulary = random.Random(7), [f"w{i}" for i in range(3000)]
+    body, footer, ends = rng.choices(vocabulary, k=300), rng.choices(vocabulary, k=21), [rng.choices(vocabulary, k=10) for _ in range(2)]
+    line = rng.choices(vocabulary, k=21)
+    texts = [" ".join(body + footer), " ".join(body + footer * 30), *(" ".join(line * 60 + e) for e in ends), " ".join(line * 2 + ends[1])]
+    assert (fingerprint(texts[0]) ^ fingerprint(texts[1])).bit_count() > 16
+    assert fingerprint(texts[2]) == fingerprint(texts[3])
+    assert kept_ids(spark, texts) == {0, 2}
+
+
 
 
 def test_components_of_a_path(spark):
