@@ -24,7 +24,7 @@ needs no further look. After at most ``TURNS`` such turns all pairs of a file th
 A file of m texts that stay apart costs m * m / 2 comparisons of sizes and parities within one join.
 
 Null or empty texts have fingerprint 0 and are linked like any other. Null ids take part and get
-their component's smallest id (null if it has none). Repeated rows are kept.
+their component's smallest id (null if it has none). Repeated rows are kept by ``near_duplicates``.
 """
 
 from __future__ import annotations
@@ -128,20 +128,27 @@ def close_links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     return links.unionByName(stars)
 
 
-def _texts(docs: DataFrame, text: str, words: int, threshold: float, width: int) -> DataFrame:
+def _texts(docs: DataFrame, text: str, words: int, threshold: float | None, width: int) -> DataFrame:
     """(doc_id, key, fingerprint, size, prefix, bits) of every row: ``key`` stands for the text, ``size`` is its number of distinct shingles,
-    ``prefix`` the smallest of them, one of which any similar text has among its own smallest, and bit i of ``bits`` the parity of those that fall on i."""
+    ``prefix`` the smallest of them, one of which any similar text has among its own smallest, and bit i of ``bits`` the parity of those that fall on i.
+    Without a threshold the last three are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch):
+                if threshold is None:
+                    prints = pa.array(_fingerprints(b.data, b.offsets, words).view(np.int64))
+                    none = [pa.nulls(b.rows, t) for t in (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(b.first, b.rows) for c in ("doc_id", "key")), prints, *none], names)
+                    continue
                 sets = _shingle_sets(b, width)
                 heads = [h[: len(h) - math.ceil(threshold * len(h) - 1e-9) + 1] for h in sets]
                 parity = [np.packbits(np.bincount(h & (PARITY - 1), minlength=PARITY) & 1, bitorder="little").view(np.int64) for h in sets]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).slice(b.first, b.rows) for c in ("doc_id", "key")), pa.array(_fingerprints(b.data, b.offsets, words).view(np.int64)),
-                     pa.array([len(h) for h in sets], pa.int64()), _lists(heads), _lists(parity)], ["doc_id", "key", "fingerprint", "size", "prefix", "bits"])
+                     pa.array([len(h) for h in sets], pa.int64()), _lists(heads), _lists(parity)], names)
 
+    names = ["doc_id", "key", "fingerprint", "size", "prefix", "bits"]
     rows = docs.select("doc_id", F.col(f"`{text}`").alias("text"), _key(text).alias("key"))
     return rows.mapInArrow(run, "doc_id long, key long, fingerprint long, size long, prefix array<long>, bits array<long>")
 
@@ -242,29 +249,33 @@ def _similar_links(docs: DataFrame, texts: DataFrame, threshold: float, width: i
     return found.filter("print_a <> print_b").select(F.least("print_a", "print_b").alias("a"), F.greatest("print_a", "print_b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", words: int = 3, threshold: float | None = None) -> DataFrame:
-    """(doc_id, fingerprint as 16 hex digits, component_id), one row per row of ``docs``. With a ``threshold``, texts whose five-word shingles are that similar are linked as well."""
-    if threshold is None:
-        prints = stored(with_fingerprint(docs, text, words), "fingerprints")
-    else:
-        prints = stored(_texts(docs, text, words, threshold, 5), "texts")
-    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
-    links = close_links(classes)
+def _classes(docs: DataFrame, text: str, words: int, threshold: float | None) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, key, fingerprint) and fingerprints (fingerprint, root, first): ``first`` is the first of a fingerprint's rows by id (null last) and text."""
+    prints = stored(_texts(docs, text, words, threshold, 5), "texts")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    classes = stored(prints.groupBy("fingerprint").agg(first), "classes")
+    links = close_links(classes.select("fingerprint"))
     if threshold is not None:
         links = links.unionByName(_similar_links(docs.select(F.col(f"`{text}`").alias("text")), prints, threshold))
     roots = components(links)
-    classes = classes.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root"))
-    names = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return prints, classes.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", words: int = 3, threshold: float | None = None) -> DataFrame:
+    """(doc_id, fingerprint as 16 hex digits, component_id), one row per row of ``docs``. With a ``threshold``, texts whose five-word shingles are that similar are linked as well."""
+    prints, classes = _classes(docs, text, words, threshold)
+    names = classes.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
     named = classes.join(names, "root").select(F.col("fingerprint").alias("print"), "component_id")
     out = prints.join(named, F.col("fingerprint") == F.col("print"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def first_of_each(docs: DataFrame, text: str = "text", words: int = 3, threshold: float | None = None) -> DataFrame:
-    """Of each component the document with the smallest id, all columns; of rows that share this id, the one whose text hashes lowest."""
-    found = near_duplicates(docs, text, words, threshold)
-    # Components are named by their smallest id: a document stays if it names its own.
-    names = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(names, docs["doc_id"].eqNullSafe(names["_id"]), "left_semi")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(text)))
+    """Of each component one row, all columns: the one with the smallest id (null last), of several the one whose text hashes lowest. Other rows with its id stay or go by their own component."""
+    _, classes = _classes(docs, text, words, threshold)
+    first = classes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key"))
+    # Rows equal in id and text are of one component; one of them stays.
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]) & (_key(text) == first["_key"]), "left_semi")
+    plain = [f"`{f.name}`" for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    rank = F.row_number().over(Window.partitionBy("doc_id", _key(text)).orderBy(F.xxhash64(*plain)))
     return kept.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")

@@ -178,6 +178,19 @@ def test_similar_texts_with_repeats(spark):
 
 
 
+def test_first_of_each_keeps_a_row_of_each_component(spark):
+    """Rows without an id, or with a shared one, stay if their text is new; near copies with a shared id go."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(3000)], k=80)) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (3, texts[4]), (5, texts[4]), (None, texts[4]), (3, texts[4]), (None, None), (None, ""), (9, texts[5])]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    for threshold in (None, 0.8):
+        kept = simhash.first_of_each(docs, threshold=threshold)
+        assert kept.columns == docs.columns
+        got = [(r["doc_id"], r["text"] or "") for r in kept.collect()]
+        assert bag(got) == bag([(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (3, texts[4]), (None, ""), (9, texts[5])])
+
+
 
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100), (200, 201), (201, 200)], "a long, b long")
