@@ -48,7 +48,8 @@ MAX_BITS = 2
 CROWD = 32
 SIMILAR_CROWD = 16
 PARITY = 512
-TURNS = 4
+WIDE, LONG = 4096, 700
+TURNS, FEW = 4, 0.01
 _VOTES = 1 << 16
 
 
@@ -131,26 +132,30 @@ def close_links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
 def _texts(docs: DataFrame, text: str, words: int, threshold: float | None, width: int) -> DataFrame:
     """(doc_id, key, fingerprint, size, prefix, bits) of every row: ``key`` stands for the text, ``size`` is its number of distinct shingles,
     ``prefix`` the smallest of them, one of which any similar text has among its own smallest, and bit i of ``bits`` the parity of those that fall on i.
-    Without a threshold the last three are null."""
+    ``wide`` is the same for long texts in more classes. Without a threshold the last four are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch):
                 if threshold is None:
                     prints = pa.array(_fingerprints(b.data, b.offsets, words).view(np.int64))
-                    none = [pa.nulls(b.rows, t) for t in (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
+                    none = [pa.nulls(b.rows, t) for t in (pa.int64(), *[pa.list_(pa.int64())] * 3)]
                     yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(b.first, b.rows) for c in ("doc_id", "key")), prints, *none], names)
                     continue
                 sets = _shingle_sets(b, width)
                 heads = [h[: len(h) - math.ceil(threshold * len(h) - 1e-9) + 1] for h in sets]
-                parity = [np.packbits(np.bincount(h & (PARITY - 1), minlength=PARITY) & 1, bitorder="little").view(np.int64) for h in sets]
+                wide = pa.array([_parity(h, WIDE) if len(h) > LONG else None for h in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).slice(b.first, b.rows) for c in ("doc_id", "key")), pa.array(_fingerprints(b.data, b.offsets, words).view(np.int64)),
-                     pa.array([len(h) for h in sets], pa.int64()), _lists(heads), _lists(parity)], names)
+                     pa.array([len(h) for h in sets], pa.int64()), _lists(heads), _lists([_parity(h, PARITY) for h in sets]), wide], names)
 
-    names = ["doc_id", "key", "fingerprint", "size", "prefix", "bits"]
+    names = ["doc_id", "key", "fingerprint", "size", "prefix", "bits", "wide"]
     rows = docs.select("doc_id", F.col(f"`{text}`").alias("text"), _key(text).alias("key"))
-    return rows.mapInArrow(run, "doc_id long, key long, fingerprint long, size long, prefix array<long>, bits array<long>")
+    return rows.mapInArrow(run, "doc_id long, key long, fingerprint long, size long, prefix array<long>, bits array<long>, wide array<long>")
+
+
+def _parity(h: np.ndarray, classes: int) -> np.ndarray:
+    return np.packbits(np.bincount(h & (classes - 1), minlength=classes) & 1, bitorder="little").view(np.int64)
 
 
 def _key(text: str) -> Column:
@@ -204,43 +209,51 @@ def _similar_links(docs: DataFrame, texts: DataFrame, threshold: float, width: i
     filed = stored(filed.join(sizes, "file"), "shared-shingles")
     # A text with many shingles that many others have is a good centre: the original of its variants.
     scores = filed.groupBy("key").agg(F.sum("n").alias("score"))
-    texts = texts.select("key", "size", "bits", F.size("prefix").alias("length")).join(scores, "key")
-    texts = texts.select("key", "size", "bits", (F.col("score") / F.col("length")).alias("score"))
-    filed = stored(filed.join(texts, "key").withColumn("root", F.col("key")), "files")
+    scores = texts.select("key", F.size("prefix").alias("length")).join(scores, "key").select("key", (F.col("score") / F.col("length")).alias("score"))
+    filed = filed.select("file", "key").join(scores, "key").withColumn("root", F.col("key"))
 
-    parts = (1 - threshold) / (1 + threshold)
-    apart = sum(F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("other")["bits"][i])) for i in range(PARITY // 64))
-    sizes = F.col("size") + F.col("other")["size"]
     # The parities differ in no more bits than the sets in shingles, so this refuses no similar pair.
-    may = (F.col("root") != F.col("other")["root"]) & (F.least("size", F.col("other")["size"]) >= threshold * F.greatest("size", F.col("other")["size"]) - 1e-6) & (apart <= parts * sizes + 1e-6)
-    member = F.struct("key", "size", "bits", "root")
+    apart = sum(F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("other")["bits"][i])) for i in range(PARITY // 64))
+    sizes, parts = F.col("size") + F.col("other")["size"], (1 - threshold) / (1 + threshold)
+    may = (F.least("size", F.col("other")["size"]) >= threshold * F.greatest("size", F.col("other")["size"]) - 1e-6) & (apart <= parts * sizes + 1e-6)
+    wide = F.aggregate(F.zip_with("wide", F.col("other")["wide"], lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    both = may & F.coalesce(wide <= parts * sizes + 1e-6, F.lit(True))
+    about = texts.select("key", "size", "bits", "wide")
+    other = about.select(F.col("key").alias("b"), F.struct("size", "bits", "wide").alias("other"))
     found, turn = None, 0
     while True:
-        files = filed.groupBy("file").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-        filed = stored(filed.select("file", "key", "size", "bits", "score", "root").join(files.select("file", "members"), "file", "left_semi"), "open-files")
+        if turn:
+            files = filed.groupBy("file").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+            filed = filed.join(files, "file", "left_semi")
+        filed = stored(filed, "files")
         most = filed.groupBy("file").count().agg(F.max("count")).first()[0]
         if most is None:
             break
         last = turn == TURNS or most <= crowd
         if last:
             # All pairs that are not yet connected.
-            others = filed.select(F.col("file").alias("same"), member.alias("other"))
-            pairs = filed.join(others, (F.col("file") == F.col("same")) & (F.col("key") < F.col("other")["key"]) & may)
+            whole = filed.join(texts.select("key", "size", "bits"), "key")
+            others = whole.select(F.col("file").alias("same"), F.struct("key", "size", "bits", "root").alias("other"))
+            pairs = whole.join(others, (F.col("file") == F.col("same")) & (F.col("key") < F.col("other")["key"]) & (F.col("root") != F.col("other")["root"]) & may)
+            pairs = pairs.select("key", F.col("other.key").alias("b")).distinct()
         else:
             # First every text with its best centre, then with a centre of each file by chance.
-            by = F.struct("score", "key") if turn == 0 else F.struct(F.xxhash64("key", "file", F.lit(turn)), F.col("score"), F.col("key"))
-            centres = filed.groupBy(F.col("file").alias("same")).agg(F.max(F.struct(by.alias("by"), member.alias("other"))).alias("c")).select("same", "c.by", "c.other")
-            pairs = filed.join(centres, (F.col("file") == F.col("same")) & may)
+            by = [F.col("score"), F.col("key")] if turn == 0 else [F.xxhash64("key", "file", F.lit(turn)), F.col("score"), F.col("key")]
+            centres = filed.groupBy(F.col("file").alias("same")).agg(F.max(F.struct(*(c.alias(f"c{i}") for i, c in enumerate([*by, F.col("root")])))).alias("c"))
+            centres = centres.select("same", F.col(f"c.c{len(by) - 1}").alias("centre"), F.col(f"c.c{len(by) - 2}").alias("centre_score"), F.col(f"c.c{len(by)}").alias("centre_root"))
+            pairs = filed.join(centres, (F.col("file") == F.col("same")) & (F.col("root") != F.col("centre_root")))
             if turn == 0:
-                pairs = pairs.groupBy("key").agg(F.max(F.struct("by", "other")).alias("c")).select("key", "c.other")
-        pairs = stored(pairs.select(F.least("key", "other.key").alias("a"), F.greatest("key", "other.key").alias("b")).distinct(), "candidates")
+                pairs = pairs.groupBy("key").agg(F.max(F.struct("centre_score", "centre")).alias("c")).select("key", "c.centre")
+            pairs = pairs.select(F.least("key", "centre").alias("key"), F.greatest("key", "centre").alias("b")).distinct()
+        pairs = stored(pairs.join(about, "key").join(other, "b").filter(both).select(F.col("key").alias("a"), "b"), "candidates")
         links = stored(_verified(pairs, docs, width, threshold), "similar")
         found = links if found is None else found.unionByName(links)
         if last:
             break
         roots = components(found).select(F.col("node").alias("key"), F.col("root").alias("now"))
-        filed = filed.join(roots, "key", "left").withColumn("root", F.coalesce("now", "key")).drop("now")
-        turn += 1
+        filed = filed.join(roots, "key", "left").select("file", "key", "score", F.coalesce("now", "key").alias("root"))
+        # A turn that connects next to nothing is the last of its kind.
+        turn = turn + 1 if turn == 0 or links.count() > FEW * most else TURNS
     prints = keys.select(F.col("key"), "fingerprint")
     if found is None:
         return prints.limit(0).select(F.col("fingerprint").alias("a"), F.col("fingerprint").alias("b"))
