@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featherloom.llm import decontaminate, licenses, lm_score, merkle, packing, quality, repeats, simhash, token_counts, url_rules
+from featherloom.llm import alignment, decontaminate, licenses, lm_score, merkle, mixing, packing, quality, repeats, simhash, token_counts, url_rules, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -84,6 +84,21 @@ def op10_edited_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.fingerprint_edits(table(spark, folder, "documents"))
 
 
+@query
+def op11_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op12_aligned_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align_corpus(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, folder, "documents"))
+
+
 _ASCII_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"list_filter(regexp_split_to_array(" + _ASCII_LOW.format("coalesce(text, '')") + r", '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
