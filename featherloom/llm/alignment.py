@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from featherloom.llm.bpe import _byte_letters
 from featherloom.llm.tables import only, stored
-from featherloom.llm.words import blocks
+from featherloom.llm.words import blocks, tidied
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -307,7 +307,7 @@ def document_links(docs: DataFrame, path_a: str, path_b: str, text: str = "text"
                     ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a", "b", "times"],
                 )
 
-    return only(docs, "doc_id", text).mapInArrow(run, _ROW)
+    return only(docs, "doc_id", text).mapInArrow(tidied(run), _ROW)
 
 
 def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -336,7 +336,7 @@ def pair_counts(links: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    counts = stored(links.select("a", "b").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pair-counts")
+    counts = stored(links.select("a", "b").mapInArrow(tidied(run), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pair-counts")
     most = counts.groupBy(F.shiftright("pair", 32).alias("id")).agg(F.max("n").alias("most"))
     return stored(counts.join(most, F.shiftright("pair", 32) == F.col("id")).select("pair", "n", (F.col("n") == F.col("most")).alias("best")), "pairs")
 

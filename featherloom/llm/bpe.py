@@ -67,10 +67,11 @@ class ByteLevel:
 
         import tiktoken
 
-        self.library = tokenizer(path)
-        self.special = special_strings(path)
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model = whole["model"]
+        self.path = path  # the library's own tokenizer is loaded when a text first needs it
+        self.special = tuple(t["content"] for t in whole.get("added_tokens", []))
         letters = _byte_letters()
         ranks = {bytes(letters[c] for c in piece): i for piece, i in model["vocab"].items() if piece not in self.special}
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -84,7 +85,7 @@ class ByteLevel:
 
     def ids(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
-            found = self.library.encode(text, add_special_tokens=False).ids
+            found = tokenizer(self.path).encode(text, add_special_tokens=False).ids
         else:
             found = (self.full if self.meeting(text) else self.simple).encode_ordinary(text)
         return np.array(found, "<u4")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featherloom.llm.tables import only
-from featherloom.llm.words import LOWER, blocks, mixed, prefix_hashes, run_hashes, run_starts, span_hashes, word_spans
+from featherloom.llm.words import LOWER, blocks, mixed, prefix_hashes, run_hashes, run_starts, span_hashes, tidied, word_spans
 
 WIDTH = 5
 BANDS = 128

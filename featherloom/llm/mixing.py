@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from featherloom.llm.tables import only, stored
-from featherloom.llm.words import blocks, word_spans
+from featherloom.llm.words import blocks, tidied, word_spans
 from featherloom.operators.ordered import lookup_join, row_numbers, running
 
 BLOCK_WORDS = 16
@@ -50,7 +50,7 @@ def _sized(docs: DataFrame, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in UNIT], pa.array(np.concatenate(sizes) if sizes else np.zeros(0, np.int64), pa.int64())], [*UNIT, "size"])
 
     rows = only(docs, "doc_id", "source", text).select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64(f"`{text}`").alias("digest"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, source string, digest long, size long")
+    return rows.mapInArrow(tidied(run), "doc_id long, source string, digest long, size long")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], repeat: int) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from featherloom.llm.bpe import byte_level
 from featherloom.llm.tables import only, partitions, stored
-from featherloom.llm.words import blocks
+from featherloom.llm.words import blocks, tidied
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -54,7 +54,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, tex
                     [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"]
                 )
 
-    return only(docs, "doc_id", text).mapInArrow(run, PIECES)
+    return only(docs, "doc_id", text).mapInArrow(tidied(run), PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

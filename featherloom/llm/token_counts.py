@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from featherloom.llm.bpe import whole_tokens
 from featherloom.llm.tables import only
-from featherloom.llm.words import blocks
+from featherloom.llm.words import blocks, tidied
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, text: str = "text") -> DataFrame:
@@ -36,4 +36,4 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, text: str
                     ["doc_id", "n_bytes", "n_tokens", "over_limit"],
                 )
 
-    return only(docs, "doc_id", text).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return only(docs, "doc_id", text).mapInArrow(tidied(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from featherloom.llm.tables import only, partitions, stored
-from featherloom.llm.words import LOWER, blocks
+from featherloom.llm.words import LOWER, blocks, tidied
 from featherloom.operators.ordered import lookup_join
 
 BOX = 50_000  # words of a box that a task searches
@@ -71,7 +71,7 @@ def word_counts(docs: DataFrame, at_least: int = 3, length: int = 5, every: int
         if held:
             yield flush()
 
-    return only(docs, "doc_id", text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= at_least)
+    return only(docs, "doc_id", text).mapInArrow(tidied(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= at_least)
 
 
 def _count(letter: Column) -> Column:
