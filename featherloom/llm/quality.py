@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featherloom.llm.tables import only
-from featherloom.llm.words import LOWER, SPACE, Block, blocks, prefix_hashes, span_hashes, word_spans
+from featherloom.llm.tables import fresh, only
+from featherloom.llm.words import LOWER, SPACE, Block, blocks, prefix_hashes, span_hashes, tidied, word_spans
 
 BUCKETS = 1 << 12
 FACTORS = 8
@@ -191,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, text: str =
     docs = _columns(docs, text)
     # The sample's ids are at most ``sample`` rows, so they are broadcast.
     found = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", text, "n_chars")
-    table = found.mapInArrow(run, "doc_id long, quality int, number array<int>, x array<float>").orderBy("doc_id", F.xxhash64("number")).limit(sample).toArrow()
+    table = found.mapInArrow(tidied(run), "doc_id long, quality int, number array<int>, x array<float>").orderBy("doc_id", F.xxhash64("number")).limit(sample).toArrow()
     if not table.num_rows:
         return None
     number = table.column("number").combine_chunks()
@@ -219,18 +219,18 @@ def score(docs: DataFrame, machine: Machine | None, threshold: float = 0.7, text
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(machine, batch, text), pa.float64())], ["doc_id", "score"])
 
-    scored = _columns(docs, text).mapInArrow(run, "doc_id long, score double")
+    scored = _columns(docs, text).mapInArrow(tidied(run), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, machine: Machine | None, threshold: float = 0.7, text: str = "text") -> DataFrame:
     """The documents with a score of at least ``threshold``, all columns."""
-    names = docs.columns
+    names, extra = docs.columns, fresh(docs, "given")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = _scores(machine, batch.select([*names, "_given"]).rename_columns([*("_" * 9 + n if n == "n_chars" else n for n in names), "n_chars"]), text) >= threshold
+            good = _scores(machine, batch.select([*names, extra]).rename_columns([*("_" * 9 + n if n == "n_chars" else n for n in names), "n_chars"]), text) >= threshold
             yield batch.select(names).filter(pa.array(good))
 
     given = F.col("n_chars").cast("long") if "n_chars" in names else F.lit(None).cast("long")
-    return docs.withColumn("_given", given).mapInArrow(run, docs.schema)
+    return docs.withColumn(extra, given).mapInArrow(tidied(run), docs.schema)

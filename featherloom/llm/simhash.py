@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from featherloom.llm.components import components
-from featherloom.llm.tables import only, stored
-from featherloom.llm.words import LOWER, SPACE, Block, blocks, prefix_hashes, run_hashes, run_starts, span_hashes, word_spans
+from featherloom.llm.tables import fresh, only, stored
+from featherloom.llm.words import LOWER, SPACE, Block, blocks, prefix_hashes, run_hashes, run_starts, span_hashes, tidied, word_spans
 
 SEED = 42
 MAX_BITS = 2
@@ -99,7 +99,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", words: int = 3) -> Dat
                 prints = _fingerprints(b.data, b.offsets, words).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(b.first, b.rows), pa.array(prints)], ["doc_id", "fingerprint"])
 
-    return only(docs, "doc_id", text).mapInArrow(run, "doc_id long, fingerprint long")
+    return only(docs, "doc_id", text).mapInArrow(tidied(run), "doc_id long, fingerprint long")
 
 
 def close_links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -151,7 +151,7 @@ def _texts(docs: DataFrame, text: str, words: int, threshold: float | None, widt
 
     names = ["doc_id", "key", "fingerprint", "size", "prefix", "bits", "wide"]
     rows = docs.select("doc_id", F.col(f"`{text}`").alias("text"), _key(text).alias("key"))
-    return rows.mapInArrow(run, "doc_id long, key long, fingerprint long, size long, prefix array<long>, bits array<long>, wide array<long>")
+    return rows.mapInArrow(tidied(run), "doc_id long, key long, fingerprint long, size long, prefix array<long>, bits array<long>, wide array<long>")
 
 
 def _parity(h: np.ndarray, classes: int) -> np.ndarray:
@@ -183,7 +183,7 @@ def _shingled(texts: DataFrame, width: int) -> DataFrame:
             for b in blocks(batch):
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(b.first, b.rows), _lists(_shingle_sets(b, width))], ["key", "shingles"])
 
-    return texts.mapInArrow(run, "key long, shingles array<long>").groupBy("key").agg(F.min("shingles").alias("shingles"))
+    return texts.mapInArrow(tidied(run), "key long, shingles array<long>").groupBy("key").agg(F.min("shingles").alias("shingles"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -286,9 +286,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = 3, thresho
 def first_of_each(docs: DataFrame, text: str = "text", words: int = 3, threshold: float | None = None) -> DataFrame:
     """Of each component one row, all columns: the one with the smallest id (null last), of several the one whose text hashes lowest. Other rows with its id stay or go by their own component."""
     _, classes = _classes(docs, text, words, threshold)
-    first = classes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key"))
+    first = classes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("first_id"), F.col("first.key").alias("first_key"))
     # Rows equal in id and text are of one component; one of them stays.
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]) & (_key(text) == first["_key"]), "left_semi")
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["first_id"]) & (_key(text) == first["first_key"]), "left_semi")
     plain = [f"`{f.name}`" for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     rank = F.row_number().over(Window.partitionBy("doc_id", _key(text)).orderBy(F.xxhash64(*plain)))
-    return kept.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    number = fresh(docs, "rank")
+    return kept.withColumn(number, rank).filter(F.col(number) == 1).drop(number)

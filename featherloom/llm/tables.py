@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from featherloom.session import new_path, shuffle_partitions
 
-__all__ = ["need", "only", "partitions", "stored"]
+__all__ = ["fresh", "need", "only", "partitions", "stored"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -27,6 +27,14 @@ def need(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"missing columns: {missing}")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """Just these columns, so that further columns of any name cannot clash."""
     need(df, *columns)
