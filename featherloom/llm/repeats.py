@@ -23,6 +23,7 @@ document would need as many rounds over the whole corpus as the longest document
 A gram with more than ``crowd`` distinct contexts is not put into one task: its windows are counted by
 digest instead, spread over all tasks.
 
+A row is known by its id and a 64-bit hash of its text, one without an id by two such hashes.
 Rows with equal id and text count as repeats of each other. Null texts are empty; null ids are allowed.
 Texts shorter than ``length`` have no string to judge. Partial characters at the edge of a removed
 span are left out of the text that is kept.
@@ -40,12 +41,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featherloom.llm.tables import only, partitions, stored
-from featherloom.llm.words import blocks, mixed, prefix_hashes, span_hashes
+from featherloom.llm.words import blocks, mixed, prefix_hashes, span_hashes, tidied
 
 LENGTH = 200
 GRAM = 48
 CROWD = 4096
-NO_ID = -(1 << 63)
+NO_ID = "no id"  # makes the second hash of a text without an id another one
 _LOW = np.uint64((1 << 31) - 1)
 _FAR = np.iinfo(np.int64).max
 
@@ -89,7 +90,7 @@ def _contexts(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, n
     }
 
 
-_CONTEXT = "id long, part int, key long, digest long, first int, back int, windows int, reach int, copies int"
+_CONTEXT = "id long, part long, key long, digest long, first int, back int, windows int, reach int, copies int"
 
 
 def _find_contexts(texts: DataFrame, length: int) -> DataFrame:
@@ -106,7 +107,7 @@ def _find_contexts(texts: DataFrame, length: int) -> DataFrame:
                 columns += [pa.array(found[n].astype(np.int64 if n in ("key", "digest") else np.int32)) for n in names]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "part", *names])
 
-    return texts.mapInArrow(run, _CONTEXT)
+    return texts.mapInArrow(tidied(run), _CONTEXT)
 
 
 def _cut_out(wanted: DataFrame, length: int) -> DataFrame:
@@ -129,7 +130,7 @@ def _cut_out(wanted: DataFrame, length: int) -> DataFrame:
                 pieces = [whole[s: s + k] for s, k in zip(begin.tolist(), (n[own] + length - 1).tolist())]
                 yield pa.RecordBatch.from_arrays([*[items.field(c).slice(own.start, len(pieces)) for c in names], pa.array(pieces, pa.binary())], [*names, "bytes"])
 
-    return wanted.mapInArrow(run, "key long, digest long, back int, windows int, total long, crowd long, bytes binary")
+    return wanted.mapInArrow(tidied(run), "key long, digest long, back int, windows int, total long, crowd long, bytes binary")
 
 
 def repeated_windows(pieces: list[bytes], back: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
@@ -221,7 +222,7 @@ def _ordered_columns(contexts: DataFrame, length: int) -> DataFrame:
             yield flush(held)
 
     n = 2 * partitions(contexts.sparkSession)
-    return contexts.select("key", "digest", "back", "windows", "bytes").repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "key long, digest long, lo int, hi int")
+    return contexts.select("key", "digest", "back", "windows", "bytes").repartition(n, "key").sortWithinPartitions("key").mapInArrow(tidied(run), "key long, digest long, lo int, hi int")
 
 
 def _counted_windows(contexts: DataFrame, length: int) -> DataFrame:
@@ -272,7 +273,7 @@ def _merged(begin: np.ndarray, finish: np.ndarray) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", crowd: int = CROWD, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, *keep), one row per row of ``docs``; ``kept`` is null unless asked for."""
     texts = only(docs.withColumn("text", F.col(f"`{text}`")), "doc_id", "text", *keep)
-    texts = texts.withColumns({"id": F.coalesce("doc_id", F.lit(NO_ID)), "part": F.hash("text"), "text": F.coalesce("text", F.lit(""))})
+    texts = texts.withColumns({"id": F.coalesce("doc_id", F.xxhash64(F.lit(NO_ID), "text")), "part": F.xxhash64("text"), "text": F.coalesce("text", F.lit(""))})
     spans = repeated_spans(texts.select("id", "part", "text"), length, crowd)
     spans = spans.groupBy(F.col("id").alias("s_id"), F.col("part").alias("s_part")).agg(F.collect_set(F.struct("begin", "finish")).alias("spans"))
     joined = texts.join(spans, (F.col("id") == F.col("s_id")) & (F.col("part") == F.col("s_part")), "left").select("doc_id", "text", "spans", *keep)
@@ -307,4 +308,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", cr
                 )
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidied(run), schema)

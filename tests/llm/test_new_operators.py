@@ -320,3 +320,32 @@ def test_registered(spark, name):
         assert {tuple(r) for r in got.collect()} == brute_variants([(i, t) for i, t, _ in rows])
     else:
         assert collections.Counter(r["doc_id"] for r in got.collect()) == collections.Counter(i for i, _, _ in rows)
+
+
+# Faults found in earlier operators
+
+
+def test_repeats_of_rows_without_id_and_equal_hash(spark):
+    """Two texts without an id whose 32-bit hashes are equal; one of them has a copy, the other is unique."""
+    from pyspark.sql import functions as F
+
+    from featherloom.llm import repeats
+
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.md5(F.concat_ws("-", "id", i))), "")
+    made = spark.range(200_000).select(text.alias("text"))
+    pair = made.groupBy(F.hash("text").alias("h")).agg(F.collect_list("text").alias("texts")).filter("size(texts) > 1").first()["texts"]
+    docs = spark.createDataFrame([(None, pair[0]), (None, pair[1]), (5, pair[0])], "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in repeats.remove_repeats(docs).collect())
+    none = hashlib.sha256(b"").hexdigest()
+    assert got == {(None, 320, 320, none): 1, (5, 320, 320, none): 1, (None, 320, 0, hashlib.sha256(pair[1].encode()).hexdigest()): 1}
+
+
+def test_columns_with_names_of_helpers_stay(spark):
+    from featherloom.llm import quality, simhash
+
+    rows = [(1, "a text of a few words here", 3, 4, 5, 6), (2, "quite another text with other words", 7, 8, 9, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `rank` int, _rank int, given int, _given int")
+    kept = simhash.first_of_each(docs, threshold=0.8)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == rows
+    kept = quality.accepted(docs, None)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == rows
