@@ -14,15 +14,16 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featherloom.operators.ordered import lookup_join, q
+from featherloom.operators.ordered import literal_for, lookup_join, q
 from featherloom.operators.relational import inference_window, qualify, select_dates, training_cutoff
 from featherloom.operators.timeseries import add_inference_dates, prepare_timeseries
 from featherloom.operators.windows import latest_fold
 from featherloom.params import ParameterError, one_of
+from featherloom.plans import gram
 from featherloom.plans.chain import FeatureChain
 from featherloom.plans.metrics import regression_metrics
-from featherloom.plans.models import METRICS, PREDICTION, FittedModel, _in_threads, fit_model
-from featherloom.plans.splitters import backtest_folds
+from featherloom.plans.models import METRICS, PREDICTION, FittedModel, _in_threads, fit_model, regressor
+from featherloom.plans.splitters import FoldDates, fold_dates
 from featherloom.session import materialise, new_path
 from featherloom.sources.files import append_rows
 
@@ -31,28 +32,58 @@ from featherloom.sources.files import append_rows
 
 def backtest(
     df: DataFrame, model_type: str, target: str, features: Sequence[str], date_column: str, keys: Sequence[str],
-    folds: dict, parameters: dict | None = None, parallelism: int = 4, refit: bool = True, placed: DataFrame | None = None,
+    folds: dict, parameters: dict | None = None, parallelism: int = 4, refit: bool = True,
 ) -> tuple[FittedModel | None, DataFrame, DataFrame]:
     """Fit per fold, predict its train and validation rows, score; then refit on everything.
 
-    Returns (model, scores by fold and split, predictions). ``folds`` are the fold settings;
-    ``placed`` is the table with its folds when the caller already has it.
+    Returns (model, scores by fold and split, predictions). ``folds`` are the fold settings. Rows are never copied per
+    fold: see :func:`fold_predictions`.
     """
-    if placed is None:
-        columns = list(dict.fromkeys([*keys, date_column, target, *features]))
-        placed = materialise(backtest_folds(df.select(*[q(c) for c in columns]), date_column, **folds), "backtest")
-    n = placed.agg(F.max("fold")).first()[0] + 1
-
-    def one(fold: int) -> DataFrame:
-        rows = placed.where(F.col("fold") == fold)
-        return fit_model(rows.where("split = 'train'"), model_type, target, features, parameters).predict(rows)
-
-    predictions = reduce(DataFrame.unionByName, _in_threads(one, range(n), parallelism))
+    regressor(model_type, parameters)  # refuses unknown names before any work
+    columns = list(dict.fromkeys([*keys, date_column, target, *features]))
+    rows = df.select(*[q(c) for c in columns])
+    predictions = fold_predictions(rows, [gram.Trial.of(model_type, features, parameters)], target, features, date_column, fold_dates(rows, date_column, **folds), parallelism).drop("trial")
     scores = regression_metrics(predictions, target, PREDICTION, ["fold", "split"])
     model = fit_model(df, model_type, target, features, parameters) if refit else None
     return model, scores, predictions
 
 
+def fold_predictions(
+    rows: DataFrame, trials: Sequence[gram.Trial], target: str, features: Sequence[str], date_column: str, dates: FoldDates, parallelism: int = 4,
+) -> DataFrame:
+    """``rows`` with ``trial``, ``fold``, ``split`` and the prediction of that trial's model of the fold, one row for each.
+
+    Linear, lasso and elastic-net models of all folds and trials are solved from sums per date: one pass fits, and
+    the predictions are made while the rows stream by. Other models read, for each fold, the range of dates
+    it trains on from a table written once in the order of its dates.
+    """
+    linear = [(i, t) for i, t in enumerate(trials) if t.model_type in gram.LINEAR]
+    parts = []
+    if linear:
+        filled = rows.withColumns({f: F.coalesce(q(f).cast("double"), F.lit(0.0)) for f in features})
+        known = filled.where(q(target).isNotNull() & q(date_column).isNotNull())
+        models = gram.fold_models(known, target, features, date_column, dates.numbered, dates.bounds(), [t for _, t in linear])
+        number = F.element_at(F.array(*[F.lit(i) for i, _ in linear]), F.col("trial") + 1)
+        models = models.withColumn("trial", number).groupBy("fold").agg(F.collect_list(F.struct("trial", "intercept", "weights")).alias("__models"))
+        placed = lookup_join(dates.with_folds(rows), models, ["fold"], "inner").withColumn("__model", F.explode("__models")).drop("__models")
+        inputs = F.array(*[F.coalesce(q(f).cast("double"), F.lit(0.0)) for f in features])
+        dot = F.aggregate(F.zip_with("__model.weights", inputs, lambda w, x: w * x), F.col("__model.intercept"), lambda total, x: total + x)
+        parts.append(placed.withColumns({"trial": F.col("__model.trial"), PREDICTION: dot}).drop("__model"))
+    others = [(i, t) for i, t in enumerate(trials) if t.model_type not in gram.LINEAR]
+    if others:
+        ordered = materialise(rows.where(q(date_column).isNotNull()).repartitionByRange(q(date_column)).sortWithinPartitions(q(date_column)), "by-date")
+        ranges = dates.ranges()
+
+        def one(job: tuple[int, gram.Trial, dict]) -> DataFrame:
+            i, trial, r = job
+            date, (first, validates, last) = q(date_column), (literal_for(rows, date_column, r[k]) for k in ("first", "validates", "last"))
+            own = ordered.where((date >= first) & (date <= last)).withColumns({"trial": F.lit(i), "fold": F.lit(r["fold"]), "split": F.when(date < validates, "train").otherwise("validation")})
+            return fit_model(own.where(date < validates), trial.model_type, target, trial.features, json.loads(trial.parameters)).predict(own)
+
+        parts += _in_threads(one, [(i, t, r) for i, t in others for r in ranges], parallelism)
+    return reduce(DataFrame.unionByName, parts)
+
+
 def long_scores(scores: DataFrame, run_id: str, **ids) -> DataFrame:
     """Score rows as stored: run, split, fold, score_name, score_value."""
     long = scores.unpivot(["fold", "split"], [m for m in METRICS if m in scores.columns], "score_name", "score_value")
@@ -96,6 +127,17 @@ def draw(space: dict, rng: random.Random) -> dict:
     return point
 
 
+def drawn_trials(features: Sequence[str], optional_features: Sequence[str], space: dict, n_trials: int = 20, seed: int = 42) -> list[dict]:
+    rng = random.Random(seed)
+    fixed = [f for f in features if f not in optional_features]
+    trials: list[dict] = []
+    while len(trials) < n_trials:
+        chosen = fixed + [f for f in optional_features if rng.random() < 0.5]
+        if chosen:
+            trials.append({"parameters": draw(space, rng), "features": chosen})
+    return trials
+
+
 def search(
     df: DataFrame, model_type: str, target: str, features: Sequence[str], date_column: str, keys: Sequence[str], folds: dict,
     space: dict | None = None, n_trials: int = 20, metric: str = "rmse", direction: str = "minimize", last_folds: int | None = None,
@@ -108,24 +150,20 @@ def search(
     """
     one_of(direction, ("minimize", "maximize"), "direction")
     one_of(metric, METRICS, "metric")
-    rng = random.Random(seed)
     if trials is None:
-        fixed = [f for f in features if f not in optional_features]
-        trials = []
-        while len(trials) < n_trials:
-            chosen = fixed + [f for f in optional_features if rng.random() < 0.5]
-            if chosen:
-                trials.append({"parameters": draw(space or {}, rng), "features": chosen})
+        trials = drawn_trials(features, optional_features, space or {}, n_trials, seed)
     used = list(dict.fromkeys([*keys, date_column, target, *features, *(f for t in trials for f in t["features"])]))
     rows = df.select(*[q(c) for c in used]).dropna()
-    placed = materialise(backtest_folds(rows, date_column, **folds), "search")  # every trial reads this table
-    results = []
-    for i, trial in enumerate(trials):
-        _, scores, _ = backtest(rows, model_type, target, trial["features"], date_column, keys, folds, trial.get("parameters"), parallelism, False, placed)
-        valid = scores.where("split = 'validation'").select("fold", F.col(metric).alias("v")).collect()  # one row per fold
-        values = [r["v"] for r in sorted(valid, key=lambda r: r["fold"])][-(last_folds or len(valid)):]
-        results.append((i, json.dumps(trial.get("parameters") or {}, sort_keys=True), ",".join(trial["features"]), float(sum(values) / len(values))))
-    out = df.sparkSession.createDataFrame(results, "trial int, parameters string, features string, value double")
+    for t in trials:
+        regressor(model_type, t.get("parameters"))
+    rows = materialise(rows, "search")  # every trial reads this table
+    dates = fold_dates(rows, date_column, **folds)
+    every = list(dict.fromkeys(f for t in trials for f in t["features"]))
+    predictions = fold_predictions(rows, [gram.Trial.of(model_type, t["features"], t.get("parameters")) for t in trials], target, every, date_column, dates, parallelism)
+    scores = regression_metrics(predictions.where("split = 'validation'"), target, PREDICTION, ["trial", "fold"])
+    values = scores.where(F.col("fold") >= dates.folds - (last_folds or dates.folds)).groupBy("trial").agg(F.avg(metric).alias("value"))
+    about = [(i, json.dumps(t.get("parameters") or {}, sort_keys=True), ",".join(t["features"])) for i, t in enumerate(trials)]
+    out = df.sparkSession.createDataFrame(about, "trial int, parameters string, features string").join(values, "trial")
     return out.orderBy(F.asc("value") if direction == "minimize" else F.desc("value"), "trial")
 
 

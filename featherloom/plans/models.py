@@ -96,11 +96,24 @@ def fit_model(df: DataFrame, model_type: str, target: str, features: Sequence[st
     need_columns(df, [target, *features])
     rows = _inputs(df.where(q(target).isNotNull()), features).withColumn("__label", q(target).cast("double"))
     rows = rows.select("__label", *[f"__x{i}" for i in range(len(features))])
+    if model_type == "elastic_net":
+        parameters = _elastic(rows, parameters or {})
     assembler = VectorAssembler(inputCols=[f"__x{i}" for i in range(len(features))], outputCol="__features")
     model = Pipeline(stages=[assembler, regressor(model_type, parameters)]).fit(rows)
     return FittedModel(model, list(features), target, model_type)
 
 
+def _elastic(rows: DataFrame, parameters: dict) -> dict:
+    """MLlib divides the squared part of the penalty by the label's deviation; strength and ratio that undo it.
+
+    The penalty is then alpha * (l1_ratio * |w| + (1 - l1_ratio) / 2 * w^2) beside the squared error / 2n, in the columns' own units.
+    """
+    alpha, ratio = float(parameters.get("alpha", 1.0)), float(parameters.get("l1_ratio", 0.5))
+    spread = rows.agg(F.stddev_samp("__label")).first()[0] or 1.0
+    strength = alpha * (ratio + (1 - ratio) * spread)
+    return parameters | {"alpha": strength, "l1_ratio": alpha * ratio / strength if strength else ratio}
+
+
 # ---- training and validation -----------------------------------------------------------
 
 

@@ -7,13 +7,14 @@ run, retry and cluster size.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featherloom.operators.ordered import literal_for, q, row_numbers
+from featherloom.operators.ordered import literal_for, lookup_join, q, row_numbers
 from featherloom.params import ParameterError, need_columns
-from featherloom.session import broadcast_if_small
+from featherloom.session import materialise
 
 
 def key_hash(keys: Sequence[str], seed: int) -> Column:
@@ -82,6 +83,63 @@ def series_holdout(df: DataFrame, date_column: str, holdout_size: int | float, a
     return df.withColumn("split", F.when(q(date_column) < cut, "train").otherwise("test"))
 
 
+@dataclass
+class FoldDates:
+    """The folds of a table's dates: ``numbered`` is (date, __i) from 0, everything else is arithmetic on the number."""
+
+    date_column: str
+    numbered: DataFrame
+    dates: int
+    folds: int
+    steps: int
+    horizon: int
+    stride: int
+    expanding: bool
+    ascending: bool
+
+    def _start(self, fold: Column) -> Column:
+        return fold * self.stride if self.ascending else F.lit(self.dates - self.steps - self.horizon) - fold * self.stride
+
+    def bounds(self) -> DataFrame:
+        """(fold, low, high, last): dates low <= __i < high train, high <= __i < last validate."""
+        fold, start = F.col("id").cast("int"), self._start(F.col("id"))
+        low = F.lit(0).cast("long") if self.expanding else start
+        return self.numbered.sparkSession.range(self.folds).select(fold.alias("fold"), low.alias("low"), (start + self.steps).alias("high"), (start + self.steps + self.horizon).alias("last"))
+
+    def with_folds(self, df: DataFrame) -> DataFrame:
+        """One row per (row, fold it belongs to); made while rows stream by, nothing is written or shuffled for it."""
+        member = F.transform(F.sequence(F.lit(0), F.lit(self.folds - 1)), self._membership)
+        places = self.numbered.select(q(self.date_column), F.filter(member, lambda m: m["split"].isNotNull()).alias("__m"))
+        placed = lookup_join(df, places, [self.date_column], "inner").withColumn("__m", F.explode("__m"))
+        return placed.withColumns({"fold": F.col("__m.fold"), "split": F.col("__m.split")}).drop("__m")
+
+    def _membership(self, f: Column) -> Column:
+        start, i = self._start(f), F.col("__i")
+        first = F.lit(0) if self.expanding else start
+        split = F.when((i >= first) & (i < start + self.steps), "train").when((i >= start + self.steps) & (i < start + self.steps + self.horizon), "validation")
+        return F.struct(f.cast("int").alias("fold"), split.alias("split"))
+
+    def ranges(self) -> list[dict]:
+        """Per fold its first date, the first date that validates and the last one; a few values per fold."""
+        at = lookup_join(self.bounds().select("fold", F.explode(F.array(F.col("low"), F.col("high"), F.col("last") - 1)).alias("__i")), self.numbered, ["__i"])
+        found = at.groupBy("fold").agg(F.min(q(self.date_column)).alias("first"), F.max(q(self.date_column)).alias("last"), F.sort_array(F.collect_list(q(self.date_column)))[1].alias("validates"))
+        return [r.asDict() for r in found.orderBy("fold").collect()]
+
+
+def fold_dates(
+    df: DataFrame, date_column: str, input_steps: int, forecast_horizon: int, stride: int = 1, expanding_window: bool = False,
+    ascending: bool = True, min_backtest_iterations: int = 1,
+) -> FoldDates:
+    need_columns(df, [date_column])
+    dates = df.select(q(date_column)).where(q(date_column).isNotNull()).distinct()
+    numbered = materialise(row_numbers(dates, [], [date_column], "__i").select(q(date_column), (F.col("__i") - 1).alias("__i")), "dates")
+    n = numbered.count()
+    folds = (n - input_steps - forecast_horizon) // stride + 1
+    if folds < max(min_backtest_iterations, 1):
+        raise ParameterError(f"{folds} folds are possible, {min_backtest_iterations} are needed")
+    return FoldDates(date_column, numbered, n, folds, input_steps, forecast_horizon, stride, expanding_window, ascending)
+
+
 def backtest_folds(
     df: DataFrame, date_column: str, input_steps: int, forecast_horizon: int, stride: int = 1, expanding_window: bool = False,
     ascending: bool = True, min_backtest_iterations: int = 1,
@@ -91,25 +149,4 @@ def backtest_folds(
     Dates get an index; the folds holding an index follow from arithmetic, so no range join is
     needed. Only the dates table is joined back, which has one row per distinct date.
     """
-    need_columns(df, [date_column])
-    dates = df.select(q(date_column)).where(q(date_column).isNotNull()).distinct()
-    numbered = row_numbers(dates, [], [date_column], "__i").withColumn("__i", F.col("__i") - 1)
-    n = dates.count()
-    folds = (n - input_steps - forecast_horizon) // stride + 1
-    if folds < max(min_backtest_iterations, 1):
-        raise ParameterError(f"{folds} folds are possible, {min_backtest_iterations} are needed")
-    member = F.transform(
-        F.sequence(F.lit(0), F.lit(folds - 1)),
-        lambda f: _membership(f, n, input_steps, forecast_horizon, stride, expanding_window, ascending),
-    )
-    placed = numbered.withColumn("__m", F.explode(F.filter(member, lambda m: m["split"].isNotNull())))
-    placed = placed.select(q(date_column), F.col("__m.fold").alias("fold"), F.col("__m.split").alias("split"))
-    return df.join(broadcast_if_small(placed), date_column)
-
-
-def _membership(f: Column, n: int, steps: int, horizon: int, stride: int, expanding: bool, ascending: bool) -> Column:
-    start = f * stride if ascending else F.lit(n - steps - horizon) - f * stride
-    first = F.lit(0) if expanding else start
-    i = F.col("__i")
-    split = F.when((i >= first) & (i < start + steps), "train").when((i >= start + steps) & (i < start + steps + horizon), "validation")
-    return F.struct(f.cast("int").alias("fold"), split.alias("split"))
+    return fold_dates(df, date_column, input_steps, forecast_horizon, stride, expanding_window, ascending, min_backtest_iterations).with_folds(df)
