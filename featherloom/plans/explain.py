@@ -2,51 +2,90 @@
 
 ``predict`` is any function that adds a ``prediction`` column to a DataFrame, such as
 ``FittedModel.predict``. Variants of a row are made by exploding a short literal array, so the
-row count grows by a fixed factor and nothing is collected.
+row count grows by a fixed factor and nothing is collected. Trees and linear models need no variants.
 """
 
 from __future__ import annotations
 
+import json
 import random
 from collections.abc import Callable, Sequence
+from functools import reduce
+from math import comb
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from featherloom.operators.ordered import q
 from featherloom.operators.profile import wide_aggregate
 from featherloom.operators.quantiles import exact_quantiles
 from featherloom.params import ParameterError, need_columns, one_of
+from featherloom.plans import trees
+from featherloom.plans.models import FittedModel
+from featherloom.session import materialise
 
 Predict = Callable[[DataFrame], DataFrame]
 
 
+def _grids(rows: DataFrame, features: Sequence[str], resolution: int, percentiles: tuple[float, float]) -> dict[str, list[float]]:
+    """Per feature its distinct values, or ``resolution`` even steps between two percentiles where it has as many or more."""
+    bounds = exact_quantiles(rows, features, list(percentiles))
+    stacked = rows.select(F.explode(F.array(*[F.struct(F.lit(i).alias("f"), q(f).cast("double").alias("v")) for i, f in enumerate(features)])).alias("s")).select("s.*").where("v IS NOT NULL").distinct()
+    ranked = stacked.withColumn("n", F.row_number().over(Window.partitionBy("f").orderBy("v"))).where(F.col("n") <= resolution)  # a top-n per feature, cut before the shuffle
+    values: dict[int, list[float]] = {i: [] for i in range(len(features))}
+    for r in ranked.select("f", "v").collect():  # at most features x resolution
+        values[r["f"]].append(r["v"])
+    grids = {}
+    for i, f in enumerate(features):
+        lo, hi = bounds[f]
+        grids[f] = sorted(values[i]) if len(values[i]) < resolution else [lo + (hi - lo) * k / (resolution - 1) for k in range(resolution)]
+    return grids
+
+
 def partial_dependence(
-    df: DataFrame, predict: Predict, features: Sequence[str], grid_resolution: int = 50, percentiles: tuple[float, float] = (0.05, 0.95)
+    df: DataFrame, predict: Predict, features: Sequence[str], grid_resolution: int = 50, percentiles: tuple[float, float] = (0.05, 0.95), reads: Sequence[str] | None = None
 ) -> DataFrame:
-    """Average prediction with one feature set to each grid value, for up to four features.
+    """Average prediction with one feature set to each grid value, for any number of features.
 
-    A feature with fewer distinct values than the grid uses these values.
+    A feature with fewer distinct values than the grid uses these values. ``reads`` are the columns ``predict`` looks
+    at (a fitted model's features, else all columns). Trees are evaluated leaf by leaf in one pass, linear
+    models from their means. For anything else rows that agree on ``reads`` are counted first, and each distinct
+    combination of the other columns meets the grid once.
     """
+    if not features:
+        raise ParameterError("name at least one feature")
     need_columns(df, features)
-    if not 1 <= len(features) <= 4:
-        raise ParameterError("between one and four features")
-    bounds = exact_quantiles(df, features, list(percentiles))
-    parts = None
-    for f in features:
-        values = df.select(q(f).cast("double").alias("v")).where("v IS NOT NULL").distinct().limit(grid_resolution).collect()  # bounded by the grid
-        if len(values) < grid_resolution:
-            grid = sorted(r["v"] for r in values)
-        else:
-            lo, hi = bounds[f]
-            grid = [lo + (hi - lo) * i / (grid_resolution - 1) for i in range(grid_resolution)]
-        points = F.explode(F.array(*[F.struct(F.lit(i).alias("point"), F.lit(v).alias("value")) for i, v in enumerate(grid)]))
-        varied = df.withColumn("__p", points).withColumn(f, F.col("__p.value"))
-        part = predict(varied).groupBy(F.lit(f).alias("feature"), F.col("__p.point").alias("point"), F.col("__p.value").alias("grid_value")).agg(F.avg("prediction").alias("average_prediction"))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    grids = _grids(df, features, grid_resolution, percentiles)
+    if trees.is_tree_model(predict):
+        return trees.tree_dependence(df, trees.read_ensemble(df, predict), grids)
+    fitted = getattr(predict, "__self__", None)
+    if isinstance(fitted, FittedModel) and hasattr(fitted.model.stages[-1], "coefficients"):
+        return _linear_dependence(df, fitted, grids)
+    reads = list(reads or (fitted.features if isinstance(fitted, FittedModel) else df.columns))
+    combined = materialise(df.groupBy(*[q(c) for c in reads]).agg(F.count(F.lit(1)).alias("__rows")), "combinations")
+    parts = []
+    for f, grid in grids.items():
+        others = [c for c in reads if c != f]
+        points = F.explode(F.array(*[F.struct(F.lit(i).alias("point"), F.lit(v).alias("value")) for i, v in enumerate(grid)])).alias("__p")
+        if f in reads:
+            varied = combined.groupBy(*[q(c) for c in others]).agg(F.sum("__rows").alias("__rows")).select(*[q(c) for c in others], "__rows", points).withColumn(f, F.col("__p.value"))
+            means = predict(varied).groupBy("__p").agg((F.sum(F.col("prediction") * F.col("__rows")) / F.sum("__rows")).alias("average_prediction"))
+        else:  # what is not read changes nothing
+            means = predict(combined).agg((F.sum(F.col("prediction") * F.col("__rows")) / F.sum("__rows")).alias("average_prediction")).select("average_prediction", points)
+        parts.append(means.select(F.lit(f).alias("feature"), F.col("__p.point").alias("point"), F.col("__p.value").alias("grid_value"), "average_prediction"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _linear_dependence(df: DataFrame, fitted: FittedModel, grids: dict[str, list[float]]) -> DataFrame:
+    core = fitted.model.stages[-1]
+    weights = dict(zip(fitted.features, map(float, core.coefficients.toArray())))
+    means = wide_aggregate(df, {f: F.avg(F.coalesce(q(f).cast("double"), F.lit(0.0))) for f in fitted.features})
+    level = float(core.intercept) + sum(w * means[f] for f, w in weights.items())
+    rows = [(f, i, float(v), level + (weights[f] * (v - means[f]) if f in weights else 0.0)) for f, grid in grids.items() for i, v in enumerate(grid)]
+    return df.sparkSession.createDataFrame(rows, "feature string, point int, grid_value double, average_prediction double")
 
 
 def dependence_trend(dependence: DataFrame) -> DataFrame:
@@ -123,39 +162,68 @@ def prediction_context(df: DataFrame, predict: Predict, key: str, value) -> Data
     return out.withColumn("z_score", F.when(F.col("std") > 0, (F.col("prediction") - F.col("baseline")) / F.col("std")).otherwise(F.lit(0.0)))
 
 
+def coalitions(n: int, most: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coalitions (rows of 0 / 1, the empty and the full one first) and the matrix that turns their worths into Shapley values.
+
+    All of them if there are at most ``most``, otherwise pairs of a drawn coalition and its complement, sizes drawn in
+    proportion to the kernel's mass. The values minimise the weighted squared distance between a coalition's worth
+    and the sum of its members' values, whose total is fixed; the minimum is linear in the worths, hence a matrix.
+    With all coalitions it is exact.
+    """
+    ends = [np.zeros(n, int), np.ones(n, int)]
+    sizes = np.arange(1, n)
+    mass = (n - 1) / (sizes * (n - sizes)) if n > 1 else np.zeros(0)  # kernel weight of a size's coalitions together
+    if 2**n <= max(most, 4):
+        inner = [np.array([(k >> i) & 1 for i in range(n)]) for k in range(1, 2**n - 1)]
+        weight = np.array([mass[z.sum() - 1] / comb(n, int(z.sum())) for z in inner])
+    else:
+        rng = random.Random(seed)
+        drawn: dict[tuple, float] = {}
+        for _ in range(max(most // 2, n)):
+            z = np.zeros(n, int)
+            z[rng.sample(range(n), rng.choices(sizes.tolist(), mass.tolist())[0])] = 1
+            for side in (z, 1 - z):
+                drawn[tuple(side)] = drawn.get(tuple(side), 0.0) + 1.0
+        inner, weight = [np.array(z) for z in drawn], np.array(list(drawn.values()))
+    table = np.array([*ends, *inner])
+    # The last feature's value is the total less the others'.
+    worth = np.eye(len(table))
+    total = worth[1] - worth[0]
+    if n == 1:
+        return table, total[None, :]
+    z = table[2:]
+    design = (z[:, :-1] - z[:, -1:]).astype(float)
+    goal = worth[2:] - worth[0] - z[:, -1:] * total
+    root = np.sqrt(weight)[:, None]
+    values = np.linalg.lstsq(design * root, goal * root, rcond=None)[0]
+    return table, np.vstack([values, total - values.sum(axis=0)])
+
+
 def shapley_values(
-    df: DataFrame, predict: Predict, features: Sequence[str], keys: Sequence[str], permutations: int = 8, seed: int = 42, background: DataFrame | None = None
+    df: DataFrame, predict: Predict, features: Sequence[str], keys: Sequence[str], samples: int = 256, seed: int = 42, background: DataFrame | None = None, method: str = "auto"
 ) -> DataFrame:
-    """Shapley values by sampled feature orders, each used forwards and backwards.
+    """Shapley value of every feature for every row.
 
-    Features enter one by one at the row's value, the others stay at the background mean. A row
-    becomes 2 x permutations x (features + 1) variants; a feature's value is the mean change of
-    the prediction when it enters.
+    ``kernel``: absent features stand at the background's mean; the values are the weighted least squares fit to
+    the predictions of at most ``samples`` coalitions, exact if all of them are used (see :func:`coalitions`). ``paths``, for models
+    made of trees: absent features leave a split open, taken in the training rows' shares; exact, by polynomials over the paths,
+    and without copies of rows. ``auto`` takes paths for trees.
     """
+    one_of(method, ("auto", "kernel", "paths"), "method")
     need_columns(df, [*features, *keys])
+    if method == "paths" or method == "auto" and trees.is_tree_model(predict):
+        found = trees.tree_shapley(df, trees.read_ensemble(df, predict), keys)
+        return found.where(F.col("feature").isin(list(features)))
     means = _means(background if background is not None else df, features)
-    rng = random.Random(seed)
-    orders = []
-    for _ in range(permutations):
-        order = list(range(len(features)))
-        rng.shuffle(order)
-        orders += [order, order[::-1]]
-    variants = []
-    for order in orders:
-        for step in range(len(features) + 1):
-            entered = [j in order[:step] for j in range(len(features))]
-            # this variant ends the entry of one feature and starts that of the next
-            plus = order[step - 1] if step else -1
-            minus = order[step] if step < len(features) else -1
-            variants.append((entered, plus, minus))
-    literal = F.array(*[F.struct(F.array(*[F.lit(e) for e in entered]).alias("e"), F.lit(p).alias("plus"), F.lit(m).alias("minus")) for entered, p, m in variants])
-    varied = df.withColumn("__v", F.explode(literal))
-    varied = varied.withColumns({f: F.when(F.col("__v.e")[j], q(f).cast("double")).otherwise(F.lit(means[f])) for j, f in enumerate(features)})
-    scored = predict(varied)
-    effects = F.explode(F.array(F.struct(F.col("__v.plus").alias("j"), F.col("prediction").alias("d")), F.struct(F.col("__v.minus").alias("j"), (-F.col("prediction")).alias("d"))))
-    parts = scored.select(*[q(k) for k in keys], effects.alias("__e")).where("__e.j >= 0")
-    name = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("__e.j") + 1)
-    return parts.groupBy(*[q(k) for k in keys], name.alias("feature")).agg((F.sum("__e.d") / len(orders)).alias("shapley_value"))
+    table, weights = coalitions(len(features), samples, seed)
+    text = json.dumps([{"present": "".join(map(str, z)), "weights": w.tolist()} for z, w in zip(table.tolist(), weights.T)])
+    variants = F.from_json(F.lit(text), "array<struct<present string, weights array<double>>>")  # folded to one literal
+    varied = df.withColumn("__v", F.explode(variants))
+    varied = varied.withColumns({f: F.when(F.substring("__v.present", j + 1, 1) == "1", q(f).cast("double")).otherwise(F.lit(means[f])) for j, f in enumerate(features)})
+    sums = [F.sum(F.col("__v.weights")[j] * F.col("prediction")).alias(f"__s{j}") for j in range(len(features))]
+    parts = predict(varied).groupBy(*[q(k) for k in keys]).agg(*sums)
+    items = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"__s{j}").alias("shapley_value")) for j, f in enumerate(features)])
+    return parts.select(*[q(k) for k in keys], F.explode(items).alias("__i")).select(*[q(k) for k in keys], "__i.*")
 
 
 def shapley_importance(values: DataFrame) -> DataFrame:

@@ -477,7 +477,7 @@ def formula(df):
   UNION ALL SELECT 'l_extendedprice', i::INT, round(lo + (hi - lo) * i / 49, 4), round(m, 4) FROM range(50) r(i), b""")
 def _(t):
     base = t.lineitem.select(*FEATURES, "l_extendedprice")
-    out = Z.partial_dependence(base, formula, ["l_discount", "l_extendedprice"])
+    out = Z.partial_dependence(base, formula, ["l_discount", "l_extendedprice"], reads=FEATURES)
     return rounded(out, 4)
 
 
@@ -535,19 +535,27 @@ def _(t):
 @query("z5_shapley", f"""WITH p AS (SELECT * FROM {PARTS}), m AS (SELECT avg(q) AS q, avg(d) AS d, avg(x) AS x FROM p)
   SELECT p_partkey, f AS feature, round(CASE f WHEN 'l_quantity' THEN 2 * (p.q - m.q) WHEN 'l_discount' THEN -30 * (p.d - m.d) ELSE 5 * (p.x - m.x) END, 4) + 0.0 AS shapley_value FROM p, m, unnest(['l_quantity', 'l_discount', 'l_tax']) u(f)""")
 def _(t):
-    return rounded(Z.shapley_values(parts(t), formula, FEATURES, ["p_partkey"], permutations=2), 4)
+    return rounded(Z.shapley_values(parts(t), formula, FEATURES, ["p_partkey"]), 4)
 
 
 @query("z5_shapley_importance", f"""WITH p AS (SELECT * FROM {PARTS}), m AS (SELECT avg(q) AS q, avg(d) AS d, avg(x) AS x FROM p)
   SELECT f AS feature, round(avg(abs(CASE f WHEN 'l_quantity' THEN 2 * (p.q - m.q) WHEN 'l_discount' THEN -30 * (p.d - m.d) ELSE 5 * (p.x - m.x) END)), 6) AS mean_abs_shapley FROM p, m, unnest(['l_quantity', 'l_discount', 'l_tax']) u(f) GROUP BY 1""")
 def _(t):
-    return rounded(Z.shapley_importance(Z.shapley_values(parts(t), formula, FEATURES, ["p_partkey"], permutations=2)))
+    return rounded(Z.shapley_importance(Z.shapley_values(parts(t), formula, FEATURES, ["p_partkey"])))
+
+
+@query("z5_shapley_of_trees")
+def _(t):
+    """A forest over line items: values by paths, no copies of rows."""
+    rows = supplier_lines(t)
+    model = ML.fit_model(t.lineitem, "random_forest", "l_extendedprice", FEATURES, {"n_estimators": 20, "max_depth": 6})
+    return Z.shapley_values(rows, model.predict, FEATURES, ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
 @query("z6_local_surrogate", f"""SELECT 'l_quantity' AS feature, round(2 * stddev_samp(q), 4) AS weight_per_std, 2.0::DOUBLE AS weight FROM {PARTS} UNION ALL SELECT 'l_discount', round(-30 * stddev_samp(d), 4), -30.0 FROM {PARTS}
   UNION ALL SELECT 'l_tax', round(5 * stddev_samp(x), 4), 5.0 FROM {PARTS}""")
 def _(t):
-    return rounded(Z.local_surrogate(parts(t), formula, FEATURES, "p_partkey", 77, num_samples=2000), 4)
+    return rounded(Z.local_surrogate(parts(t), formula, FEATURES, "p_partkey", 77), 4)
 
 
 # ---- monitoring ------------------------------------------------------------------------
