@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from featherloom.functions.scalars import parse_list
 from featherloom.operators.ordered import lookup_join, q, row_numbers
 from featherloom.operators.profile import wide_aggregate
-from featherloom.operators.quantiles import exact_quantiles, grouped_quantiles
+from featherloom.operators.quantiles import exact_quantiles, group_quantiles
 from featherloom.operators.windows import fill_along
 from featherloom.params import ParameterError, need_columns, numeric_columns, one_of
 from featherloom.session import BROADCAST_ROWS, COLUMN_LIMIT, limit_of, new_path
@@ -216,8 +216,8 @@ def fit_fill(df: DataFrame, how_to_fill: dict[str, str], group_by: Sequence[str]
             state[c] = counts.agg(F.min_by("v", F.struct(-F.col("n"), F.col("v")))).first()[0]
         return state
     table = df.groupBy(*[q(k) for k in keys]).agg(*([a.alias(f"__f_{c}") for c, a in aggs.items()] or [F.count(F.lit(1)).alias("__rows")]))
-    for c in medians:
-        table = lookup_join(table, grouped_quantiles(df, keys, c, {f"__f_{c}": 0.5}), keys)
+    if medians:
+        table = lookup_join(table, group_quantiles(df, keys, {f"__f_{c}": (c, 0.5) for c in medians}), keys)
     for c in modes:
         counts = df.where(q(c).isNotNull()).groupBy(*[q(k) for k in keys], q(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
         best = counts.groupBy(*[q(k) for k in keys]).agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias(f"__f_{c}"))

@@ -297,7 +297,7 @@ def aggregate(
     ``first`` and ``last`` need ``order_by``. ``median`` is exact whatever the group size.
     Without dimensions the result is one row.
     """
-    from featherloom.operators.quantiles import grouped_quantiles
+    from featherloom.operators.quantiles import group_quantiles
 
     dims = need_columns(df, dimensions)
     named, medians = [], {}
@@ -319,8 +319,7 @@ def aggregate(
         out = out if out is not None else df.agg(F.count(F.lit(1)).alias("__rows"))
         out = out.withColumns({n: F.lit(found[c][0]).cast("double") for n, c in medians.items()})
     elif medians:
-        for name, column in medians.items():
-            out = lookup_join(out, grouped_quantiles(keyed, dims, column, {name: 0.5}), dims)
+        out = lookup_join(out, group_quantiles(keyed, dims, {name: (column, 0.5) for name, column in medians.items()}), dims)
     order = [(a[2] if len(a) > 2 and a[2] else f"{a[1]}_{a[0]}") for a in aggregations]
     return out.select(*[q(d) for d in dims], *[q(n) for n in order])
 
