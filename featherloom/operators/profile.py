@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import combinations
+from math import factorial
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featherloom.operators.ordered import (
-    average_ranks,
     cumulative_counts,
     lookup_join,
     q,
@@ -24,7 +25,7 @@ from featherloom.operators.ordered import (
 )
 from featherloom.operators.quantiles import exact_quantiles
 from featherloom.params import ParameterError, is_numeric, need_columns, numeric_columns, one_of
-from featherloom.session import materialise
+from featherloom.session import BROADCAST_BYTES, BROADCAST_ROWS, limit_of, materialise
 
 _CHUNK = 200
 
@@ -215,7 +216,8 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None, method: st
     elif method == "spearman":
         rows = _spearman(df, columns, pairs)
     else:
-        rows = [(a, b, kendall_tau(df, a, b)) for a, b in pairs]
+        found = _kendall(_points(df, columns, pairs))
+        rows = [(a, b, found.get(i)) for i, (a, b) in enumerate(pairs)]
     return _table(df, rows, "column_a string, column_b string, r double")
 
 
@@ -224,65 +226,109 @@ def _corr(a: Column, b: Column) -> Column:
     return F.corr(F.when(both, a.cast("double")), F.when(both, b.cast("double")))
 
 
-def _spearman(df: DataFrame, columns: Sequence[str], pairs) -> list[tuple]:
+def _points(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(pair, x, y, n): how often two values stand in one row, for all pairs of columns in one shuffle."""
+    both = F.array(*[F.struct(F.lit(i).alias("pair"), q(a).cast("double").alias("x"), q(b).cast("double").alias("y")) for i, (a, b) in enumerate(pairs)])
+    each = df.select(F.explode(both).alias("p")).select("p.*").where("x IS NOT NULL AND y IS NOT NULL")
+    return materialise(each.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("n")), "points")
+
+
+def _ranks(counts: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Mean ranks of (*keys, value, n)."""
+    return cumulative_counts(counts, keys, ["n"]).select(*keys, "value", (F.col("before_n") + (F.col("n") + 1) / 2).alias(name))
+
+
+def _spearman(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]]) -> list[tuple]:
+    """Ranks of all columns from one table of value counts; the number of jobs depends neither on columns nor on pairs.
+
+    Without nulls every pair uses the same ranks. With nulls a pair ranks its own complete rows.
+    """
+    if not pairs:
+        return []
     got = wide_aggregate(df, {"n": F.count(F.lit(1)), **{f"c|{c}": F.count(q(c)) for c in columns}})
-    complete = all(got[f"c|{c}"] == got["n"] for c in columns)
-    if complete:  # every pair uses the same ranks: rank all columns at once, one lookup per column, one aggregate
-        items = F.explode(F.array(*[F.struct(F.lit(i).alias("col"), q(c).cast("double").alias("value")) for i, c in enumerate(columns)]))
-        counts = df.select(items.alias("p")).select("p.*").groupBy("col", "value").agg(F.count(F.lit(1)).alias("n"))
-        ranks = cumulative_counts(counts, ["col"], ["n"]).select("col", "value", (F.col("before_n") + (F.col("n") + 1) / 2).alias("rank"))
-        ranks = materialise(ranks, "ranks")
-        ranked = df.select(*[q(c).cast("double").alias(f"__x{i}") for i, c in enumerate(columns)])
-        for i in range(len(columns)):
-            one = ranks.where(F.col("col") == i).select(F.col("value").alias(f"__x{i}"), F.col("rank").alias(f"__rank{i}"))
-            ranked = lookup_join(ranked, one, [f"__x{i}"])
-        at = {c: f"__rank{i}" for i, c in enumerate(columns)}
-        got = wide_aggregate(ranked, {f"{a}|{b}": F.corr(at[a], at[b]) for a, b in pairs})
+    if all(got[f"c|{c}"] == got["n"] for c in columns):
+        ranked = _with_ranks(df, columns)
+        got = wide_aggregate(ranked, {f"{a}|{b}": F.corr(f"__rank{columns.index(a)}", f"__rank{columns.index(b)}") for a, b in pairs})
         return [(a, b, _float(got[f"{a}|{b}"])) for a, b in pairs]
-    rows = []
-    for a, b in pairs:
-        both = df.select(q(a).alias("x"), q(b).alias("y")).dropna()
-        for c in ("x", "y"):
-            ranks = average_ranks(both, c).select(F.col("value").alias(c), F.col("rank").alias(f"rank_{c}"))
-            both = lookup_join(both, ranks, [c])
-        rows.append((a, b, _float(both.agg(F.corr("rank_x", "rank_y")).first()[0])))
-    return rows
+    points = _points(df, columns, pairs)
+    for side in ("x", "y"):
+        ranks = _ranks(points.groupBy("pair", F.col(side).alias("value")).agg(F.sum("n").alias("n")), ["pair"], f"rank_{side}")
+        points = points.join(ranks.withColumnRenamed("value", side), ["pair", side])
+    n, x, y = (F.col(c).cast("double") for c in ("n", "rank_x", "rank_y"))
+    # Ranks of a pair have the mean (m + 1) / 2 whatever the ties, so sums about it lose no digits.
+    middle = points.groupBy("pair").agg(((F.sum("n") + 1) / 2).alias("middle"))
+    dx, dy = x - F.col("middle"), y - F.col("middle")
+    sums = points.join(F.broadcast(middle), "pair").groupBy("pair").agg(F.sum(n * dx * dy).alias("xy"), F.sum(n * dx * dx).alias("xx"), F.sum(n * dy * dy).alias("yy"))  # one row per pair
+    found = {r["pair"]: r["xy"] / (r["xx"] * r["yy"]) ** 0.5 if r["xx"] * r["yy"] > 0 else None for r in sums.collect()}
+    return [(a, b, found.get(i)) for i, (a, b) in enumerate(pairs)]
+
+
+def _with_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Only ``__rank0``, ``__rank1``, ...: the mean ranks of complete columns.
+
+    The ranks of columns with few distinct values are read together, within the limits of a broadcast; the others are joined by value.
+    """
+    items = F.explode(F.array(*[F.struct(F.lit(i).alias("col"), q(c).cast("double").alias("value")) for i, c in enumerate(columns)]))
+    counts = df.select(items.alias("p")).select("p.*").groupBy("col", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranks = materialise(_ranks(counts, ["col"], "rank"), "ranks")
+    room = min(limit_of(df.sparkSession, BROADCAST_ROWS), limit_of(df.sparkSession, BROADCAST_BYTES) // 20)
+    small = []
+    for r in sorted(ranks.groupBy("col").count().collect(), key=lambda r: (r["count"], r["col"])):  # one row per column
+        room -= r["count"]
+        if room >= 0:
+            small.append(r["col"])
+    table = ranks.where(F.col("col").isin(small)).toArrow() if small else None
+    ranked = df.select(*[q(c).cast("double").alias(f"__x{i}") for i, c in enumerate(columns)])
+    for i in range(len(columns)):
+        if i in small:
+            own = table.filter(pc.equal(table["col"], i)).select(["value", "rank"]).rename_columns([f"__x{i}", f"__rank{i}"])
+            one = F.broadcast(df.sparkSession.createDataFrame(own, f"__x{i} double, __rank{i} double"))
+        else:
+            one = ranks.where(F.col("col") == i).select(F.col("value").alias(f"__x{i}"), F.col("rank").alias(f"__rank{i}"))
+        ranked = ranked.join(one, f"__x{i}").drop(f"__x{i}")  # every value has a rank; a hot value of a shuffled join is split by AQE
+    return ranked
 
 
 def kendall_tau(df: DataFrame, a: str, b: str) -> float | None:
-    """Tau-b without comparing all pairs.
+    """Tau-b of one pair; see :func:`_kendall`."""
+    return _kendall(_points(df, [a, b], [(a, b)])).get(0)
 
-    Ranks of ``b`` are read bit by bit: two rows first differ at one bit, so the ordered and
-    reversed pairs are counted per (bit, higher bits) with running counts along ``a``. The work
+
+def _kendall(points: DataFrame) -> dict[int, float | None]:
+    """Tau-b of every pair without comparing all pairs of rows, all pairs of columns together.
+
+    Ranks of ``y`` are read bit by bit: two rows first differ at one bit, so the ordered and
+    reversed pairs are counted per (bit, higher bits) with running counts along ``x``. The work
     is rows x bits, every step an aggregate or a chunked running count.
     """
-    points = df.select(q(a).alias("x"), q(b).alias("y")).dropna().groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    levels = points.groupBy("y").agg(F.sum("n").alias("n"))
-    ranks = row_numbers(levels.select("y"), [], ["y"], "yr")
-    top = ranks.agg(F.max("yr")).first()[0]
-    if not top or top < 2:
-        return None
-    placed = lookup_join(points, ranks, ["y"])
-    bits = placed.select("x", "n", F.col("yr"), F.explode(F.sequence(F.lit(0), F.lit(int(top).bit_length() - 1))).alias("bit"))
+    levels = points.groupBy("pair", "y").agg(F.sum("n").alias("n"))
+    ranks = materialise(row_numbers(levels, ["pair"], ["y"], "yr"), "levels")
+    tops = {r["pair"]: r["top"] for r in ranks.groupBy("pair").agg(F.max("yr").alias("top")).collect()}  # one row per pair
+    if not tops:
+        return {}
+    placed = lookup_join(points, ranks.drop("n"), ["pair", "y"])
+    bits = placed.select("pair", "x", "n", "yr", F.explode(F.sequence(F.lit(0), F.lit(max(int(t).bit_length() for t in tops.values()) - 1))).alias("bit"))
     bit_on = F.expr("shiftright(yr, bit) & 1")
-    cells = bits.groupBy("bit", F.expr("shiftright(yr, bit + 1)").alias("prefix"), "x").agg(
+    cells = bits.groupBy("pair", "bit", F.expr("shiftright(yr, bit + 1)").alias("prefix"), "x").agg(
         F.sum(F.when(bit_on == 1, F.col("n")).otherwise(0)).alias("ones"), F.sum(F.when(bit_on == 0, F.col("n")).otherwise(0)).alias("zeros")
     )
-    before = running(cells, ["bit", "prefix"], ["x"], {"ones_before": ("sum", F.col("ones")), "zeros_before": ("sum", F.col("zeros"))}, include_current=False)
-    wide = "decimal(38,0)"
-    agree = F.sum((F.col("ones").cast("decimal(19,0)") * F.coalesce("zeros_before", F.lit(0)).cast("decimal(19,0)")).cast(wide))
-    differ = F.sum((F.col("zeros").cast("decimal(19,0)") * F.coalesce("ones_before", F.lit(0)).cast("decimal(19,0)")).cast(wide))
-    concordant, discordant = before.agg(agree, differ).first()
-
-    def tied(column: str) -> Column:
-        return F.sum(F.col("n").cast("decimal(19,0)") * (F.col("n") - 1).cast("decimal(19,0)") / 2)
-
-    n = points.agg(F.sum("n")).first()[0]
-    ties_x = points.groupBy("x").agg(F.sum("n").alias("n")).agg(tied("x")).first()[0]
-    ties_y = levels.agg(tied("y")).first()[0]
-    pairs = n * (n - 1) / 2
-    scale = ((pairs - float(ties_x)) * (pairs - float(ties_y))) ** 0.5
-    return None if scale == 0 else float(concordant - discordant) / scale
+    before = running(cells, ["pair", "bit", "prefix"], ["x"], {"ones_before": ("sum", F.col("ones")), "zeros_before": ("sum", F.col("zeros"))}, include_current=False)
+
+    def paired(here: str, earlier: str) -> Column:
+        return F.sum((F.col(here).cast("decimal(19,0)") * F.coalesce(earlier, F.lit(0)).cast("decimal(19,0)")).cast("decimal(38,0)"))
+
+    def tied(table: DataFrame) -> DataFrame:
+        return table.groupBy("pair").agg(F.sum(F.col("n").cast("decimal(19,0)") * (F.col("n") - 1).cast("decimal(19,0)") / 2).alias("ties"), F.sum("n").alias("rows"))
+
+    counted = before.groupBy("pair").agg((paired("ones", "zeros_before") - paired("zeros", "ones_before")).alias("score"))
+    ties_x = tied(points.groupBy("pair", "x").agg(F.sum("n").alias("n"))).withColumnRenamed("ties", "ties_x")
+    ties_y = tied(ranks.select("pair", "n")).select("pair", F.col("ties").alias("ties_y"))
+    out: dict[int, float | None] = {}
+    for r in counted.join(ties_x, "pair").join(ties_y, "pair").collect():  # one row per pair
+        pairs = r["rows"] * (r["rows"] - 1) / 2
+        scale = ((pairs - float(r["ties_x"])) * (pairs - float(r["ties_y"]))) ** 0.5
+        out[r["pair"]] = None if scale == 0 else float(r["score"]) / scale
+    return out
 
 
 def strong_pairs(correlation: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -320,18 +366,43 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     return out.withColumns({"lower": F.lit(lo) + F.col("bin") * width, "upper": F.lit(lo) + (F.col("bin") + 1) * width})
 
 
+_TERMS, _BOX, _REACH = 20, 1.0, 9.0  # terms of a series, width of a box and reach of a kernel, in bandwidths
+
+
 def density(df: DataFrame, column: str, points: int = 100, pad: float = 0.5) -> DataFrame:
-    """Gaussian kernel density on an even grid, Scott bandwidth. One aggregate, one sum per grid point."""
+    """Gaussian kernel density on an even grid, Scott bandwidth.
+
+    Rows are summed up in boxes one bandwidth wide: of each box its sums of Hermite terms about its middle, one aggregate of
+    ``_TERMS`` sums whatever the number of points. A grid point adds the series of the boxes within nine bandwidths. The series leaves out less than
+    1e-14 of a kernel's peak per row, what lies further away less than 1e-17.
+    """
     x = q(column).cast("double")
     n, std, lo, hi = df.agg(F.count(x), F.stddev_samp(x), F.min(x), F.max(x)).first()
     if not std:
         raise ParameterError("density needs at least two different values")
     h = std * n ** (-0.2)
     reach = pad * (hi - lo)
-    grid = [lo - reach + (hi - lo + 2 * reach) * i / (points - 1) for i in range(points)]
+    step = (hi - lo + 2 * reach) / (points - 1)
+    start = lo - reach
     scale = 1.0 / (n * h * (2 * 3.141592653589793) ** 0.5)
-    got = wide_aggregate(df, {str(i): F.sum(F.exp(-0.5 * F.pow((x - g) / h, 2))) for i, g in enumerate(grid)})
-    return _table(df, [(i, g, got[str(i)] * scale) for i, g in enumerate(grid)], "point int, x double, density double")
+    # exp(-(u - t)^2 / 2) = sum over k of t^k / k! * He_k(u) * exp(-u^2 / 2), t a row's and u a point's place about the middle of a box.
+    box = F.floor((x - lo) / h / _BOX)
+    t = (x - lo) / h - (box + 0.5) * _BOX
+    sums = df.where(x.isNotNull()).select(box.alias("box"), t.alias("t")).groupBy("box").agg(*[F.sum(F.pow("t", F.lit(k)) / factorial(k)).alias(f"s{k}") for k in range(_TERMS)])
+    # A box meets the points within reach of it, each by its number on the grid.
+    middle = F.lit(lo) + (F.col("box") + 0.5) * _BOX * h
+    first = F.greatest(F.lit(0), F.ceil((middle - _REACH * h - start) / step)).cast("int")
+    last = F.least(F.lit(points - 1), F.floor((middle + _REACH * h - start) / step)).cast("int")
+    met = sums.where(last >= first).withColumn("point", F.explode(F.sequence(first, last)))
+    u = (F.lit(start) + F.col("point") * step - middle) / h
+    hermite = [F.lit(1.0), F.col("u")]
+    met = met.withColumn("u", u).withColumns({"h0": hermite[0], "h1": hermite[1]})
+    for k in range(2, _TERMS):
+        met = met.withColumn(f"h{k}", F.col("u") * F.col(f"h{k - 1}") - (k - 1) * F.col(f"h{k - 2}"))
+    series = sum((F.col(f"s{k}") * F.col(f"h{k}") for k in range(1, _TERMS)), F.col("s0"))
+    found = met.groupBy("point").agg((F.sum(series * F.exp(-0.5 * F.col("u") * F.col("u"))) * scale).alias("density"))
+    grid = df.sparkSession.range(points).select(F.col("id").cast("int").alias("point"), (F.lit(start) + F.col("id") * step).alias("x"))
+    return grid.join(found, "point", "left").fillna(0.0, ["density"])
 
 
 # ---- counts over rows ------------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -14,8 +15,8 @@ from pyspark.sql import types as T
 
 from featherloom.functions import tails
 from featherloom.functions.scalars import quality_grade
-from featherloom.operators.ordered import cumulative_counts, q
-from featherloom.operators.profile import _float, _table, duplicate_rows, value_table, wide_aggregate
+from featherloom.operators.ordered import cumulative_counts, lookup_join, q
+from featherloom.operators.profile import _float, _table, compact, duplicate_rows, value_table, wide_aggregate
 from featherloom.operators.quantiles import exact_quantiles
 from featherloom.params import ParameterError, is_numeric, need_columns, numeric_columns, one_of
 from featherloom.session import materialise
@@ -290,69 +291,118 @@ def outliers_isolation(df: DataFrame, column: str, contamination: float = 0.1, s
 # ---- drift -----------------------------------------------------------------------------
 
 
-def ks_statistic(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
-    """Largest distance between the two empirical distribution functions."""
-    both = reference.select(q(column).alias("x"), F.lit(1).alias("r"), F.lit(0).alias("c")).unionByName(
-        current.select(q(column).alias("x"), F.lit(0).alias("r"), F.lit(1).alias("c"))
-    )
-    counts = both.where("x IS NOT NULL").groupBy(F.col("x").alias("value")).agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    ref_n, cur_n = counts.agg(F.sum("r"), F.sum("c")).first()
-    if not ref_n or not cur_n:
-        raise ParameterError("both sides need values")
-    cum = cumulative_counts(counts, [], ["r", "c"])
-    gap = F.abs((F.col("before_r") + F.col("r")) / F.lit(ref_n) - (F.col("before_c") + F.col("c")) / F.lit(cur_n))
-    return cum.agg(F.max(gap).alias("statistic")).withColumns({"ref_n": F.lit(ref_n), "cur_n": F.lit(cur_n)})
+def _both_sides(reference: DataFrame, current: DataFrame, columns: Sequence[str], whole_texts: bool = False) -> DataFrame:
+    """(column, value, category, r, c): how often each value stands on either side, for all columns in one shuffle.
 
+    Numbers are kept as ``value``, everything else as text in ``category``; long texts as digests unless they are wanted whole.
+    """
+    numeric = {c: is_numeric(reference, c) for c in columns}
 
-def drift_numeric(reference: DataFrame, current: DataFrame, column: str, significance_level: float = 0.05, method: str = "asymptotic") -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov test (p-value asymptotic or exact) with means, spreads and the mean shift."""
-    one_of(method, ("asymptotic", "exact"), "method")
-    out = ks_statistic(reference, current, column)
-    x = q(column).cast("double")
-    rm, rs = reference.agg(F.avg(x), F.stddev_samp(x)).first()
-    cm, cs = current.agg(F.avg(x), F.stddev_samp(x)).first()
-    p = tails.ks_two_sample(F.col("statistic"), F.col("ref_n"), F.col("cur_n"), method)
-    return out.withColumns({
-        "column": F.lit(column), "p_value": p, "ref_mean": F.lit(rm), "cur_mean": F.lit(cm), "ref_std": F.lit(rs), "cur_std": F.lit(cs),
-        "mean_shift": F.lit(cm - rm), "mean_shift_pct": F.lit((cm - rm) / rm * 100 if rm else None).cast("double"),
-    }).withColumn("drift_detected", F.col("p_value") < significance_level)
+    def stacked(df: DataFrame, side: str) -> DataFrame:
+        def item(c: str) -> Column:
+            value = q(c).cast("double") if numeric[c] else F.lit(None).cast("double")
+            category = F.lit(None).cast("string") if numeric[c] else (q(c) if whole_texts else compact(df, c)).cast("string")
+            return F.struct(F.lit(c).alias("column"), value.alias("value"), category.alias("category"))
 
+        flags = [F.lit(int(s == side)).alias(s) for s in ("r", "c")]
+        return df.select(F.explode(F.array(*[item(c) for c in columns])).alias("__i"), *flags).select("__i.*", "r", "c").where("value IS NOT NULL OR category IS NOT NULL")
 
-def category_counts(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
-    """Counts of every category on both sides, in one aggregate over their union."""
-    both = reference.select(q(column).alias("category"), F.lit(1).alias("r"), F.lit(0).alias("c")).unionByName(
-        current.select(q(column).alias("category"), F.lit(0).alias("r"), F.lit(1).alias("c"))
-    )
-    return both.where("category IS NOT NULL").groupBy("category").agg(F.sum("r").alias("ref_count"), F.sum("c").alias("cur_count"))
+    both = stacked(reference, "r").unionByName(stacked(current, "c"))
+    return both.groupBy("column", "value", "category").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
 
 
-def drift_categorical(reference: DataFrame, current: DataFrame, column: str, significance_level: float = 0.05) -> DataFrame:
-    """Chi-square of current against reference counts scaled to the current total.
+def _ks_table(counts: DataFrame) -> DataFrame:
+    """(column, statistic, ref_n, cur_n) of the numeric columns: the largest distance between the two distribution functions."""
+    sums = counts.groupBy("column").agg(F.sum("r").alias("ref_n"), F.sum("c").alias("cur_n"))
+    cum = lookup_join(cumulative_counts(counts, ["column"], ["r", "c"]), sums, ["column"])
+    # A side without values has no distribution: the statistic is null.
+    gap = F.abs(F.try_divide(F.col("before_r") + F.col("r"), F.col("ref_n")) - F.try_divide(F.col("before_c") + F.col("c"), F.col("cur_n")))
+    return cum.groupBy("column").agg(F.max(gap).alias("statistic"), F.max("ref_n").alias("ref_n"), F.max("cur_n").alias("cur_n"))
+
+
+def _chi_square_table(counts: DataFrame) -> DataFrame:
+    """Chi-square of current against reference counts scaled to the current total, per column.
 
     A category the reference lacks has no expected count: the statistic is then infinite, p is 0.
     """
-    counts = category_counts(reference, current, column)
-    totals = counts.agg(F.sum("ref_count").alias("r"), F.sum("cur_count").alias("c")).first()
-    expected = F.col("ref_count") * F.lit(totals["c"] / totals["r"] if totals["r"] else 0.0)
-    term = F.when(F.col("ref_count") > 0, F.pow(F.col("cur_count") - expected, 2) / expected).otherwise(F.lit(float("inf")))
-    out = counts.agg(
-        F.sum(term).alias("statistic"), (F.count(F.lit(1)) - 1).alias("dof"), F.count_if(F.col("ref_count") > 0).alias("ref_unique_count"),
-        F.count_if(F.col("cur_count") > 0).alias("cur_unique_count"), F.count_if(F.col("ref_count") == 0).alias("new_categories"),
-        F.count_if(F.col("cur_count") == 0).alias("missing_categories"),
+    sums = counts.groupBy("column").agg(F.sum("r").alias("__r"), F.sum("c").alias("__c"))
+    expected = F.col("r") * F.coalesce(F.try_divide(F.col("__c"), F.col("__r")), F.lit(0.0))
+    term = F.when(F.col("r") > 0, F.coalesce(F.try_divide(F.pow(F.col("c") - expected, 2), expected), F.lit(0.0))).otherwise(F.lit(float("inf")))
+    return lookup_join(counts, sums, ["column"]).groupBy("column").agg(
+        F.sum(term).alias("statistic"), (F.count(F.lit(1)) - 1).alias("dof"), F.count_if(F.col("r") > 0).alias("ref_unique_count"),
+        F.count_if(F.col("c") > 0).alias("cur_unique_count"), F.count_if(F.col("r") == 0).alias("new_categories"), F.count_if(F.col("c") == 0).alias("missing_categories"),
     )
-    out = out.withColumns({"column": F.lit(column), "p_value": tails.chi2_sf(F.col("statistic"), F.col("dof"))})
+
+
+def _need_values(found: DataFrame, columns: Sequence[str]) -> None:
+    have = {r["column"] for r in found.where("ref_n > 0 AND cur_n > 0").select("column").collect()}  # one row per column
+    if missing := [c for c in columns if c not in have]:
+        raise ParameterError(f"both sides need values: {missing}")
+
+
+def drift_report(reference: DataFrame, current: DataFrame, columns: Sequence[str], significance_level: float = 0.05, method: str = "asymptotic") -> DataFrame:
+    """One row per column with everything both tests report; the passes over the tables do not grow with the columns.
+
+    Kolmogorov-Smirnov (p-value asymptotic or exact) with means, spreads and mean shift for numbers, chi-square with
+    the numbers of new and missing categories for everything else. The categories themselves: :func:`category_changes`.
+    """
+    one_of(method, ("asymptotic", "exact"), "method")
+    columns = list(columns)
+    need_columns(reference, columns), need_columns(current, columns)
+    if not columns:
+        raise ParameterError("name at least one column")
+    numbers = [c for c in columns if is_numeric(reference, c)]
+    others = [c for c in columns if c not in numbers]
+    counts = materialise(_both_sides(reference, current, columns), "drift")
+    parts = []
+    if numbers:
+        found = materialise(_ks_table(counts.where(F.col("column").isin(numbers)).drop("category")), "drift-ks")
+        _need_values(found, numbers)
+        stats = [wide_aggregate(df, {f"{s}|{c}": f(q(c).cast("double")) for c in numbers for s, f in (("m", F.avg), ("s", F.stddev_samp))}) for df in (reference, current)]
+        rows = [(c, *[stats[k][f"{s}|{c}"] for s in "ms" for k in (0, 1)]) for c in numbers]
+        about = reference.sparkSession.createDataFrame(rows, "column string, ref_mean double, cur_mean double, ref_std double, cur_std double")
+        shift = F.col("cur_mean") - F.col("ref_mean")
+        found = found.join(F.broadcast(about), "column").withColumns({  # one row per column
+            "test": F.lit("kolmogorov_smirnov"), "p_value": tails.ks_two_sample(F.col("statistic"), F.col("ref_n"), F.col("cur_n"), method),
+            "mean_shift": shift, "mean_shift_pct": F.try_divide(shift * 100, F.col("ref_mean")),
+        })
+        parts.append(found)
+    if others:
+        found = _chi_square_table(counts.where(F.col("column").isin(others)).drop("value"))
+        parts.append(found.withColumns({"test": F.lit("chi_square"), "p_value": tails.chi2_sf(F.col("statistic"), F.col("dof"))}))
+    out = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
     return out.withColumn("drift_detected", F.col("p_value") < significance_level)
 
 
+def category_changes(reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, category, change, rows): every category that only one side has, ``new`` or ``missing``, with its rows there."""
+    need_columns(reference, columns), need_columns(current, columns)
+    counts = _both_sides(reference, current, list(columns), True).withColumn("category", F.coalesce("category", F.col("value").cast("string")))
+    only = counts.where("r = 0 OR c = 0")
+    return only.select("column", "category", F.when(F.col("r") == 0, "new").otherwise("missing").alias("change"), F.greatest("r", "c").alias("rows"))
+
+
+def ks_statistic(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
+    """Largest distance between the two empirical distribution functions."""
+    found = materialise(_ks_table(_both_sides(reference, current, [column]).drop("category")), "drift-ks")
+    _need_values(found, [column])
+    return found.select("statistic", "ref_n", "cur_n")
+
+
+_NUMERIC = ["statistic", "ref_n", "cur_n", "column", "p_value", "ref_mean", "cur_mean", "ref_std", "cur_std", "mean_shift", "mean_shift_pct", "drift_detected"]
+_CATEGORICAL = ["statistic", "dof", "ref_unique_count", "cur_unique_count", "new_categories", "missing_categories", "column", "p_value", "drift_detected"]
+
+
+def drift_numeric(reference: DataFrame, current: DataFrame, column: str, significance_level: float = 0.05, method: str = "asymptotic") -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov test of one column; see :func:`drift_report`."""
+    return drift_report(reference, current, [column], significance_level, method).select(*_NUMERIC)
+
+
+def drift_categorical(reference: DataFrame, current: DataFrame, column: str, significance_level: float = 0.05) -> DataFrame:
+    """Chi-square of one column; see :func:`drift_report`."""
+    return drift_report(reference.select(q(column).cast("string").alias(column)), current.select(q(column).cast("string").alias(column)), [column], significance_level).select(*_CATEGORICAL)
+
+
 def detect_drift(reference: DataFrame, current: DataFrame, columns: Sequence[str], significance_level: float = 0.05) -> DataFrame:
     """One row per column: KS for numbers, chi-square for everything else."""
-    need_columns(reference, columns), need_columns(current, columns)
-    out = None
-    for c in columns:
-        if is_numeric(reference, c):
-            part = drift_numeric(reference, current, c, significance_level).withColumn("test", F.lit("kolmogorov_smirnov"))
-        else:
-            part = drift_categorical(reference, current, c, significance_level).withColumn("test", F.lit("chi_square"))
-        part = part.select("column", "test", "statistic", "p_value", "drift_detected")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return drift_report(reference, current, columns, significance_level).select("column", "test", "statistic", "p_value", "drift_detected")

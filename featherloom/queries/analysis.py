@@ -9,7 +9,7 @@ from featherloom.operators import profile as P
 from featherloom.operators import quality as Q
 from featherloom.operators import stats as H
 from featherloom.queries import query
-from featherloom.queries.shared import FLOWS, GAPPY, flows, gappy_events, rounded
+from featherloom.queries.shared import FLOWS, GAPPY, chi2_point_sql, f_p_sql, flows, gappy_events, normal_p_sql, rounded, t_975_sql, t_p_sql
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -134,10 +134,10 @@ def _(t):
 
 
 @query("a15_density", """WITH s AS (SELECT count(value) AS n, stddev_samp(value) * pow(count(value), -0.2) AS h, min(value) AS lo, max(value) AS hi FROM events),
-  g AS (SELECT i::INT AS point, lo - 0.5 * (hi - lo) + 2 * (hi - lo) * i / 39 AS x, h, n FROM s, range(40) r(i))
+  g AS (SELECT i::INT AS point, lo - 0.5 * (hi - lo) + 2 * (hi - lo) * i / 99 AS x, h, n FROM s, range(100) r(i))
   SELECT point, round(x, 6) AS x, round(sum(exp(-0.5 * pow((value - x) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 6) AS density FROM g, events GROUP BY 1, 2""")
 def _(t):
-    return rounded(P.density(t.events, "value", 40))
+    return rounded(P.density(t.events, "value"))
 
 
 @query("a16_value_counts", "SELECT event_type, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS pct FROM events GROUP BY 1")
@@ -360,9 +360,16 @@ def _(t):
 
 @query("q8_drift_categorical", f"""WITH c AS (SELECT event_type, count_if(ts < TIMESTAMP '2024-01-16') AS r, count_if(ts >= TIMESTAMP '2024-01-16') AS c FROM events GROUP BY 1),
   s AS (SELECT sum(c) / sum(r) AS k FROM c) SELECT 'event_type' AS "column", round(sum(pow(c - r * k, 2) / (r * k)), 6) AS statistic, count(*) - 1 AS dof, count_if(r > 0)::BIGINT AS ref_unique_count,
-  count_if(c > 0)::BIGINT AS cur_unique_count, count_if(r = 0)::BIGINT AS new_categories, count_if(c = 0)::BIGINT AS missing_categories FROM c, s""")
+  count_if(c > 0)::BIGINT AS cur_unique_count, count_if(r = 0)::BIGINT AS new_categories, count_if(c = 0)::BIGINT AS missing_categories,
+  round(exp(-sum(pow(c - r * k, 2) / (r * k)) / 2) * (1 + sum(pow(c - r * k, 2) / (r * k)) / 2), 6) AS p_value, exp(-sum(pow(c - r * k, 2) / (r * k)) / 2) * (1 + sum(pow(c - r * k, 2) / (r * k)) / 2) < 0.05 AS drift_detected FROM c, s""")
 def _(t):
-    return rounded(Q.drift_categorical(*halves(t), "event_type").drop("p_value", "drift_detected"))
+    return rounded(Q.drift_categorical(*halves(t), "event_type"))  # five categories: with four degrees of freedom the tail is elementary
+
+
+@query("q8_category_changes", f"""WITH c AS (SELECT user_id, count_if(ts < TIMESTAMP '2024-01-16') AS r, count_if(ts >= TIMESTAMP '2024-01-16') AS c FROM events GROUP BY 1)
+  SELECT 'user' AS "column", user_id::VARCHAR AS category, CASE WHEN r = 0 THEN 'new' ELSE 'missing' END AS change, greatest(r, c)::BIGINT AS rows FROM c WHERE r = 0 OR c = 0""")
+def _(t):
+    return Q.category_changes(*(h.select(F.col("user_id").cast("string").alias("user")) for h in halves(t)), ["user"])
 
 
 def _ks_sql(c):
@@ -373,20 +380,20 @@ def _ks_sql(c):
 
 @query("q8_drift_report", f"""WITH c AS (SELECT event_type, count_if(ts < TIMESTAMP '2024-01-16') AS r, count_if(ts >= TIMESTAMP '2024-01-16') AS c FROM events GROUP BY 1), k AS (SELECT sum(c) / sum(r) AS k FROM c),
   x AS (SELECT sum(pow(c - r * k, 2) / (r * k)) AS x FROM c, k), r AS (SELECT * FROM {_ks_sql('value')} UNION ALL SELECT * FROM {_ks_sql('user_id')} UNION ALL SELECT 'event_type', 'chi_square', x, exp(-x / 2) * (1 + x / 2) FROM x)
-  SELECT "column", test, round(statistic, 6) AS statistic, p_value < 0.05 AS drift_detected FROM r""")
+  SELECT "column", test, round(statistic, 6) AS statistic, round(p_value, 6) AS p_value, p_value < 0.05 AS drift_detected FROM r""")
 def _(t):
-    # SQL states the limiting K-S tail, the library the exact one up to 10,000 values: the decision is compared
-    return rounded(Q.detect_drift(*halves(t), ["value", "user_id", "event_type"]).drop("p_value"))
+    return rounded(Q.detect_drift(*halves(t), ["value", "user_id", "event_type"]))
 
 
 # ---- statistics ------------------------------------------------------------------------
 
 
-@query("h1_t_test", """WITH m AS (SELECT count(l_discount) AS n1, avg(l_discount) AS m1, var_samp(l_discount) AS v1, count(l_tax) AS n2, avg(l_tax) AS m2, var_samp(l_tax) AS v2 FROM lineitem)
+@query("h1_t_test", f"""WITH m AS (SELECT count(l_discount) AS n1, avg(l_discount) AS m1, var_samp(l_discount) AS v1, count(l_tax) AS n2, avg(l_tax) AS m2, var_samp(l_tax) AS v2 FROM lineitem)
   SELECT n1, n2, round(m1, 6) AS mean1, round(m2, 6) AS mean2, round(m1 - m2, 6) AS mean_diff, n1 + n2 - 2 AS dof,
-  round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2)), 4) AS statistic FROM m""")
+  round(sqrt(v1), 6) AS std1, round(sqrt(v2), 6) AS std2, round(t, 4) AS statistic, round({t_p_sql('t', '(n1 + n2 - 2)')}, 6) AS p_value
+  FROM (SELECT *, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2)) AS t FROM m)""")
 def _(t):
-    out = H.t_test(t.lineitem, "l_discount", "l_tax").drop("std1", "std2", "p_value")
+    out = H.t_test(t.lineitem, "l_discount", "l_tax")
     return rounded(out.withColumn("statistic", F.round("statistic", 4)))
 
 
@@ -398,12 +405,12 @@ def _(t):
     return rounded(H.chi_square_independence(base, "event_type", "g"))
 
 
-@query("h2_chi_square_yates", """WITH c AS (SELECT event_type = 'click' AS k, user_id % 2 AS g, count(*) AS o FROM events GROUP BY 1, 2), n AS (SELECT sum(o) AS n FROM c),
+@query("h2_chi_square_yates", f"""WITH c AS (SELECT event_type = 'click' AS k, user_id % 2 AS g, count(*) AS o FROM events GROUP BY 1, 2), n AS (SELECT sum(o) AS n FROM c),
   e AS (SELECT o, sum(o) OVER (PARTITION BY k) * sum(o) OVER (PARTITION BY g) / n AS e FROM c, n)
-  SELECT round(sum(pow(greatest(abs(o - e) - 0.5, 0), 2) / e), 6) AS statistic, sum(o)::BIGINT AS n, 1::BIGINT AS dof FROM e""")
+  SELECT round(x, 6) AS statistic, n, 1::BIGINT AS dof, round({normal_p_sql('sqrt(x)')}, 6) AS p_value FROM (SELECT sum(pow(greatest(abs(o - e) - 0.5, 0), 2) / e) AS x, sum(o)::BIGINT AS n FROM e)""")
 def _(t):
     base = t.events.select((F.col("event_type") == "click").alias("k"), (F.col("user_id") % 2).alias("g"))
-    return rounded(H.chi_square_independence(base, "k", "g").drop("p_value"))
+    return rounded(H.chi_square_independence(base, "k", "g"))
 
 
 @query("h2_expected_counts", """WITH c AS (SELECT event_type AS "row", user_id % 4 AS "column", count(*) AS observed FROM events GROUP BY 1, 2)
@@ -413,11 +420,11 @@ def _(t):
     return rounded(H.contingency(t.events.withColumn("g", F.col("user_id") % 4), "event_type", "g"))
 
 
-@query("h3_anova", """WITH g AS (SELECT event_type, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM events GROUP BY 1), t AS (SELECT count(*) AS k, sum(n) AS n, sum(n * m) / sum(n) AS gm FROM g)
-  SELECT round(sum(g.n * pow(m - gm, 2)), 4) AS ss_between, round(sum((g.n - 1) * v), 4) AS ss_within, any_value(k)::INT AS n_groups, (any_value(k) - 1)::INT AS dof_between, any_value(t.n - k)::INT AS dof_within,
-  round((sum(g.n * pow(m - gm, 2)) / any_value(k - 1)) / (sum((g.n - 1) * v) / any_value(t.n - k)), 6) AS statistic FROM g, t""")
+@query("h3_anova", f"""WITH g AS (SELECT event_type, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM events GROUP BY 1), t AS (SELECT count(*) AS k, sum(n) AS n, sum(n * m) / sum(n) AS gm FROM g)
+  SELECT round(b, 4) AS ss_between, round(w, 4) AS ss_within, k::INT AS n_groups, (k - 1)::INT AS dof_between, (n - k)::INT AS dof_within, round(f, 6) AS statistic, round({f_p_sql('f', '(k - 1)', '(n - k)')}, 6) AS p_value
+  FROM (SELECT *, (b / (k - 1)) / (w / (n - k)) AS f FROM (SELECT sum(g.n * pow(m - gm, 2)) AS b, sum((g.n - 1) * v) AS w, any_value(k) AS k, any_value(t.n)::BIGINT AS n FROM g, t))""")
 def _(t):
-    out = H.anova(t.events, "value", "event_type").drop("p_value")
+    out = H.anova(t.events, "value", "event_type")
     return rounded(out.withColumns({"ss_between": F.round("ss_between", 4), "ss_within": F.round("ss_within", 4)}))
 
 
@@ -426,18 +433,24 @@ def _(t):
     return rounded(H.group_moments(t.events, "value", "event_type"))
 
 
-@query("h4_mann_whitney", """WITH v AS (SELECT l_discount AS x, 1 AS g FROM lineitem UNION ALL SELECT l_tax, 2 FROM lineitem),
-  r AS (SELECT g, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS r FROM v), s AS (SELECT count_if(g = 1)::DOUBLE AS n1, count_if(g = 2)::DOUBLE AS n2, sum(CASE WHEN g = 1 THEN r END) AS r1 FROM r)
-  SELECT round(r1 - n1 * (n1 + 1) / 2, 2) AS statistic, n1::BIGINT AS n1, n2::BIGINT AS n2, (SELECT median(l_discount) FROM lineitem) AS median1, (SELECT median(l_tax) FROM lineitem) AS median2 FROM s""")
+@query("h4_mann_whitney", f"""WITH v AS (SELECT l_discount AS x, 1 AS g FROM lineitem UNION ALL SELECT l_tax, 2 FROM lineitem),
+  r AS (SELECT g, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS r FROM v), s AS (SELECT count_if(g = 1)::DOUBLE AS n1, count_if(g = 2)::DOUBLE AS n2, sum(CASE WHEN g = 1 THEN r END) AS r1 FROM r),
+  t AS (SELECT sum(pow(c, 3) - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM v GROUP BY x)),
+  z AS (SELECT *, (greatest(r1 - n1 * (n1 + 1) / 2, n1 * n2 - r1 + n1 * (n1 + 1) / 2) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM s, t)
+  SELECT round(r1 - n1 * (n1 + 1) / 2, 2) AS statistic, n1::BIGINT AS n1, n2::BIGINT AS n2, round(least(1, CASE WHEN z < 0 THEN 2 - {normal_p_sql('z')} ELSE {normal_p_sql('z')} END), 6) AS p_value,
+  (SELECT median(l_discount) FROM lineitem) AS median1, (SELECT median(l_tax) FROM lineitem) AS median2 FROM z""")
 def _(t):
-    return rounded(H.mann_whitney(t.lineitem, "l_discount", "l_tax").drop("p_value"), 2).withColumns({"median1": F.col("median1"), "median2": F.col("median2")})
+    return rounded(H.mann_whitney(t.lineitem, "l_discount", "l_tax")).withColumn("statistic", F.round("statistic", 2))
 
 
-@query("h5_wilcoxon", """WITH d AS (SELECT l_extendedprice - l_quantity * 1500 AS d FROM lineitem), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS r FROM d WHERE d <> 0)
-  SELECT least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS statistic, (SELECT count(*) FROM d) AS n_pairs, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS w_minus FROM r""")
+@query("h5_wilcoxon", f"""WITH d AS (SELECT l_extendedprice - l_quantity * 1500 AS d FROM lineitem), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS r FROM d WHERE d <> 0)
+,
+  s AS (SELECT sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS w_minus, count(*)::DOUBLE AS m FROM r), t AS (SELECT sum(pow(c, 3) - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM r GROUP BY abs(d))),
+  z AS (SELECT *, (w_plus - m * (m + 1) / 4) / sqrt((m * (m + 1) * (2 * m + 1) - ties / 2) / 24) AS z FROM s, t)
+  SELECT least(w_plus, w_minus) AS statistic, (SELECT count(*) FROM d) AS n_pairs, w_plus, w_minus, round(z, 6) AS z, round({normal_p_sql('z')}, 6) AS p_value FROM z""")
 def _(t):
     base = t.lineitem.withColumn("forecast", F.col("l_quantity") * 1500)
-    return H.wilcoxon(base, "l_extendedprice", "forecast").drop("p_value", "z")
+    return H.wilcoxon(base, "l_extendedprice", "forecast").withColumns({c: F.round(c, 6) for c in ("z", "p_value")})
 
 
 @query("h6_kruskal", """WITH r AS (SELECT l_returnflag AS g, l_quantity AS x, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS r FROM lineitem),
@@ -457,29 +470,32 @@ AB = """WITH m AS (SELECT count_if(event_type = 'click')::BIGINT AS n1, avg(valu
   p AS (SELECT *, sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) AS s FROM m)"""
 
 
-@query("h7_ab_continuous", AB + """ SELECT n1 AS control_n, n2 AS treatment_n, round(m1, 6) AS control_mean, round(m2, 6) AS treatment_mean, round(s, 6) AS pooled_std, round(m2 - m1, 6) AS difference,
+@query("h7_ab_continuous", AB + f""" SELECT n1 AS control_n, n2 AS treatment_n, round(m1, 6) AS control_mean, round(m2, 6) AS treatment_mean, round(s, 6) AS pooled_std, round(m2 - m1, 6) AS difference,
   round((m1 - m2) / (s * sqrt(1 / n1 + 1 / n2)), 6) AS statistic, round((m2 - m1) / s, 6) AS cohens_d, round((m2 - m1) / m1 * 100, 6) AS relative_lift_pct,
-  CASE WHEN abs((m2 - m1) / s) < 0.2 THEN 'negligible' WHEN abs((m2 - m1) / s) < 0.5 THEN 'small' WHEN abs((m2 - m1) / s) < 0.8 THEN 'medium' ELSE 'large' END AS effect FROM p""")
+  CASE WHEN abs((m2 - m1) / s) < 0.2 THEN 'negligible' WHEN abs((m2 - m1) / s) < 0.5 THEN 'small' WHEN abs((m2 - m1) / s) < 0.8 THEN 'medium' ELSE 'large' END AS effect,
+  round({t_p_sql('((m1 - m2) / (s * sqrt(1 / n1 + 1 / n2)))', '(n1 + n2 - 2)')}, 6) AS p_value, round(m2 - m1 - {t_975_sql('(n1 + n2 - 2)')} * s * sqrt(1 / n1 + 1 / n2), 6) AS ci_lower,
+  round(m2 - m1 + {t_975_sql('(n1 + n2 - 2)')} * s * sqrt(1 / n1 + 1 / n2), 6) AS ci_upper FROM p""")
 def _(t):
     out = H.ab_test_continuous(t.events, "event_type", "value", "click", "view")
-    return rounded(out.select("control_n", "treatment_n", "control_mean", "treatment_mean", "pooled_std", "difference", "statistic", "cohens_d", "relative_lift_pct", "effect"))
+    return rounded(out.select("control_n", "treatment_n", "control_mean", "treatment_mean", "pooled_std", "difference", "statistic", "cohens_d", "relative_lift_pct", "effect", "p_value", "ci_lower", "ci_upper"))
 
 
-@query("h8_ab_binary", """WITH m AS (SELECT count_if(l_linestatus = 'F')::BIGINT AS n1, count_if(l_linestatus = 'F' AND l_returnflag = 'A')::BIGINT AS s1, count_if(l_linestatus = 'O')::BIGINT AS n2, count_if(l_linestatus = 'O' AND l_returnflag = 'A')::BIGINT AS s2 FROM lineitem),
+@query("h8_ab_binary", f"""WITH m AS (SELECT count_if(l_linestatus = 'F')::BIGINT AS n1, count_if(l_linestatus = 'F' AND l_returnflag = 'A')::BIGINT AS s1, count_if(l_linestatus = 'O')::BIGINT AS n2, count_if(l_linestatus = 'O' AND l_returnflag = 'A')::BIGINT AS s2 FROM lineitem),
   r AS (SELECT *, s1 / n1 AS r1, s2 / n2 AS r2, (s1 + s2) / (n1 + n2) AS p FROM m)
   SELECT n1 AS control_n, n2 AS treatment_n, s1::DOUBLE AS control_successes, s2::DOUBLE AS treatment_successes, round(r1, 6) AS control_rate, round(r2, 6) AS treatment_rate, round(r2 - r1, 6) AS difference,
   round((r2 - r1) / sqrt(p * (1 - p) * (1 / n1 + 1 / n2)), 6) AS statistic, round(1.959963984540054 * sqrt(r1 * (1 - r1) / n1 + r2 * (1 - r2) / n2), 6) AS margin,
-  round((1.959963984540054 + 0.8416212335729143) * sqrt(r1 * (1 - r1) * (1 / n1 + 1 / n2)), 6) AS min_detectable_effect, round((r2 - r1) / r1 * 100, 6) AS relative_lift_pct FROM r""")
+  round((1.959963984540054 + 0.8416212335729143) * sqrt(r1 * (1 - r1) * (1 / n1 + 1 / n2)), 6) AS min_detectable_effect, round((r2 - r1) / r1 * 100, 6) AS relative_lift_pct,
+  round({normal_p_sql('((r2 - r1) / sqrt(p * (1 - p) * (1 / n1 + 1 / n2)))')}, 6) AS p_value, round(r2 - r1 - 1.959963984540054 * sqrt(r1 * (1 - r1) / n1 + r2 * (1 - r2) / n2), 6) AS ci_lower,
+  round(r2 - r1 + 1.959963984540054 * sqrt(r1 * (1 - r1) / n1 + r2 * (1 - r2) / n2), 6) AS ci_upper FROM r""")
 def _(t):
     base = t.lineitem.withColumn("hit", (F.col("l_returnflag") == "A").cast("int"))
-    return rounded(H.ab_test_binary(base, "l_linestatus", "hit", "F", "O").drop("p_value", "ci_lower", "ci_upper"))
+    return rounded(H.ab_test_binary(base, "l_linestatus", "hit", "F", "O"))
 
 
-@query("h9_ci_mean", """SELECT event_type, count(value) AS n, round(avg(value), 6) AS estimate, round(stddev_samp(value) / sqrt(count(value)), 6) AS standard_error, TRUE AS centred FROM events GROUP BY 1""")
+@query("h9_ci_mean", f"""WITH g AS (SELECT event_type, count(value) AS n, avg(value) AS m, stddev_samp(value) / sqrt(count(value)) AS se FROM events GROUP BY 1), b AS (SELECT *, {t_975_sql('(n - 1)')} * se AS margin FROM g)
+  SELECT event_type, n, round(m, 6) AS estimate, round(se, 6) AS standard_error, round(margin, 6) AS margin, round(m - margin, 6) AS lower, round(m + margin, 6) AS upper FROM b""")
 def _(t):
-    out = H.ci_mean(t.events, "value", 0.95, ["event_type"])
-    centred = F.abs((F.col("lower") + F.col("upper")) / 2 - F.col("estimate")) < 1e-9
-    return rounded(out.withColumn("centred", centred & (F.col("margin") > 1.95 * F.col("standard_error"))).drop("margin", "lower", "upper"))
+    return rounded(H.ci_mean(t.events, "value", 0.95, ["event_type"]))
 
 
 @query("h10_ci_proportion", """WITH m AS (SELECT count(toxic) AS n, sum(toxic) AS s, sum(toxic) / count(toxic) AS p, 1.959963984540054 AS z FROM labels),
@@ -496,31 +512,33 @@ def _(t):
     return rounded(out.select("estimate", "n", inside.alias("inside")), 4)
 
 
-@query("h12_ci_std", "SELECT count(value) AS n, round(stddev_samp(value), 6) AS estimate, TRUE AS inside FROM events")
+@query("h12_ci_std", f"""WITH m AS (SELECT count(value) AS n, stddev_samp(value) AS s, 1.959963984540054 AS z, -1.959963984540054 AS y FROM events)
+  SELECT n, round(s, 6) AS estimate, round(s * sqrt((n - 1) / {chi2_point_sql('z', '(n - 1)')}), 6) AS lower, round(s * sqrt((n - 1) / {chi2_point_sql('y', '(n - 1)')}), 6) AS upper FROM m""")
 def _(t):
-    out = H.ci_std(t.events, "value")
-    return rounded(out.withColumn("inside", (F.col("lower") < F.col("estimate")) & (F.col("estimate") < F.col("upper"))).drop("lower", "upper"))
+    return rounded(H.ci_std(t.events, "value"))
 
 
-@query("h13_ci_difference", """WITH m AS (SELECT l_linestatus AS g, count(*) AS n, avg(l_extendedprice) AS m, var_samp(l_extendedprice) AS v FROM lineitem GROUP BY 1), f AS (SELECT * FROM m WHERE g = 'F'), o AS (SELECT * FROM m WHERE g = 'O')
-  SELECT f.g AS group1, o.g AS group2, f.n AS n1, o.n AS n2, round(o.m - f.m, 4) AS estimate, round(sqrt(((f.n - 1) * f.v + (o.n - 1) * o.v) / (f.n + o.n - 2) * (1 / f.n + 1 / o.n)), 4) AS standard_error FROM f, o""")
+@query("h13_ci_difference", f"""WITH m AS (SELECT l_linestatus AS g, count(*) AS n, avg(l_extendedprice) AS m, var_samp(l_extendedprice) AS v FROM lineitem GROUP BY 1), f AS (SELECT * FROM m WHERE g = 'F'), o AS (SELECT * FROM m WHERE g = 'O'),
+  d AS (SELECT f.g AS group1, o.g AS group2, f.n AS n1, o.n AS n2, o.m - f.m AS e, sqrt(((f.n - 1) * f.v + (o.n - 1) * o.v) / (f.n + o.n - 2) * (1 / f.n + 1 / o.n)) AS se FROM f, o)
+  SELECT group1, group2, n1, n2, round(e, 4) AS estimate, round(se, 4) AS standard_error, round({t_975_sql('(n1 + n2 - 2)')} * se, 4) AS margin, round(e - {t_975_sql('(n1 + n2 - 2)')} * se, 4) AS lower, round(e + {t_975_sql('(n1 + n2 - 2)')} * se, 4) AS upper FROM d""")
 def _(t):
     out = H.ci_difference(t.lineitem, "l_extendedprice", "l_linestatus")
-    return rounded(out.select("group1", "group2", "n1", "n2", "estimate", "standard_error"), 4)
+    return rounded(out.select("group1", "group2", "n1", "n2", "estimate", "standard_error", "margin", "lower", "upper"), 4)
 
 
-@query("h14_one_sample_t", """SELECT count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round((avg(value) - 50) / (stddev_samp(value) / sqrt(count(value))), 4) AS statistic,
-  round((avg(value) - 50) / stddev_samp(value), 6) AS cohens_d FROM events""")
+@query("h14_one_sample_t", f"""WITH m AS (SELECT count(value) AS n, avg(value) AS m, stddev_samp(value) AS s, stddev_samp(value) / sqrt(count(value)) AS se FROM events)
+  SELECT n, round(m, 6) AS mean, round(s, 6) AS std, round((m - 50) / se, 4) AS statistic, round((m - 50) / s, 6) AS cohens_d, round({t_p_sql('((m - 50) / se)', '(n - 1)')}, 6) AS p_value,
+  round(m - {t_975_sql('(n - 1)')} * se, 6) AS lower, round(m + {t_975_sql('(n - 1)')} * se, 6) AS upper FROM m""")
 def _(t):
-    out = H.one_sample_t(t.events, "value", 50.0).select("n", "mean", "std", F.round("statistic", 4).alias("statistic"), "cohens_d")
+    out = H.one_sample_t(t.events, "value", 50.0).select("n", "mean", "std", F.round("statistic", 4).alias("statistic"), "cohens_d", "p_value", "lower", "upper")
     return rounded(out)
 
 
-@query("h15_one_proportion", """WITH m AS (SELECT count(quality) AS n, sum(quality) AS s, sum(quality) / count(quality) AS p, 1.959963984540054 AS z FROM labels),
+@query("h15_one_proportion", f"""WITH m AS (SELECT count(quality) AS n, sum(quality) AS s, sum(quality) / count(quality) AS p, 1.959963984540054 AS z FROM labels),
   w AS (SELECT *, (p + z * z / (2 * n)) / (1 + z * z / n) AS c, z * sqrt((p * (1 - p) + z * z / (4 * n)) / n) / (1 + z * z / n) AS g FROM m)
-  SELECT n, s::BIGINT AS successes, round(p, 6) AS estimate, round((p - 0.5) / sqrt(0.25 / n), 6) AS statistic, round(greatest(0, c - g), 6) AS lower, round(least(1, c + g), 6) AS upper FROM w""")
+  SELECT n, s::BIGINT AS successes, round(p, 6) AS estimate, round((p - 0.5) / sqrt(0.25 / n), 6) AS statistic, round({normal_p_sql('((p - 0.5) / sqrt(0.25 / n))')}, 6) AS p_value, round(greatest(0, c - g), 6) AS lower, round(least(1, c + g), 6) AS upper FROM w""")
 def _(t):
-    return rounded(H.one_proportion_z(t.labels, "quality", 0.5).drop("p_value"))
+    return rounded(H.one_proportion_z(t.labels, "quality", 0.5))
 
 
 @query("h16_goodness_of_fit", """SELECT round(x, 6) AS statistic, dof, n, round(exp(-x / 2) * (pow(x / 2, 0) / 1 + pow(x / 2, 1) / 1), 6) AS p_value FROM

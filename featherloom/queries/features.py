@@ -270,6 +270,13 @@ def _(t):
     return catalog.lineage(_catalogue(t))
 
 
+@query("b30_lineage_of", f"""WITH RECURSIVE c AS (SELECT * FROM {CATALOGUE}), r AS (SELECT entity_id AS ancestor_id, 0::BIGINT AS distance, name, pipeline_name, source_dataset_id AS nxt FROM c WHERE entity_id = (SELECT max(entity_id) FROM c)
+  UNION ALL SELECT c.entity_id, r.distance + 1, c.name, c.pipeline_name, c.source_dataset_id FROM r JOIN c ON r.nxt = c.entity_id) SELECT ancestor_id, distance, name, pipeline_name FROM r""")
+def _(t):
+    rows = _catalogue(t)
+    return catalog.lineage_of(rows, rows.agg(F.max("entity_id")).first()[0])
+
+
 @query("b30_children", f"SELECT entity_id FROM {CATALOGUE} WHERE source_dataset_id = (SELECT min(source_dataset_id) FROM {CATALOGUE})")
 def _(t):
     rows = _catalogue(t)

@@ -579,9 +579,13 @@ def _(t):
 
 
 @query("m1_drift_by_window", """WITH c AS (SELECT event_type, count_if(ts < TIMESTAMP '2024-01-08') AS r, count_if(ts >= TIMESTAMP '2024-01-20' AND ts < TIMESTAMP '2024-01-27') AS c FROM events GROUP BY 1), s AS (SELECT sum(c) / sum(r) AS k FROM c)
-  SELECT 'event_type' AS "column", round(sum(pow(c - r * k, 2) / (r * k)), 6) AS statistic FROM c, s""")
+, x AS (SELECT sum(pow(c - r * k, 2) / (r * k)) AS x FROM c, s),
+  b AS (SELECT value, ts < TIMESTAMP '2024-01-08' AS old FROM events WHERE ts < TIMESTAMP '2024-01-08' OR ts >= TIMESTAMP '2024-01-20' AND ts < TIMESTAMP '2024-01-27'),
+  v AS (SELECT value, count_if(old) AS r, count_if(NOT old) AS c FROM b GROUP BY 1), f AS (SELECT sum(r) OVER (ORDER BY value) / sum(r) OVER () - sum(c) OVER (ORDER BY value) / sum(c) OVER () AS gap FROM v),
+  d AS (SELECT (SELECT max(abs(gap)) FROM f) AS d, count_if(old) AS n, count_if(NOT old) AS m FROM b), k AS (SELECT d, least(1, greatest(0, 2 * sum(pow(-1, i - 1) * exp(-2 * i * i * d * d * n * m / (n + m))))) AS p FROM d, range(1, 101) t(i) GROUP BY d, n, m)
+  SELECT 'event_type' AS "column", round(x, 6) AS statistic, round(exp(-x / 2) * (1 + x / 2), 6) AS p_value, exp(-x / 2) * (1 + x / 2) < 0.05 AS drift_detected FROM x UNION ALL SELECT 'value', round(d, 6), round(p, 6), p < 0.05 FROM k""")
 def _(t):
     baseline = t.events.where("ts < timestamp_ntz'2024-01-08'")
-    return rounded(monitor.drift_by_window(t.events, baseline, "ts", ["event_type"], "2024-01-20", "2024-01-27").select("column", "statistic"))
+    return rounded(monitor.drift_by_window(t.events, baseline, "ts", ["event_type", "value"], "2024-01-20", "2024-01-27"))
 
 

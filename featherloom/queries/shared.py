@@ -54,3 +54,47 @@ FLOWS = """(SELECT l_shipdate AS date, l_suppkey AS counterparty_id,
   l_extendedprice AS total_amount, l_quantity * 1500 AS forecast, l_orderkey, l_linenumber FROM lineitem)"""
 
 DAILY = """(SELECT date_trunc('day', ts) AS date, event_type, sum(value) AS value FROM events GROUP BY 1, 2)"""
+
+
+# ---- tails in SQL: Simpson's rule over the density, for twins of tests and intervals ----
+
+_STEPS = 8000
+
+
+def _simpson(density: str, upto: str) -> str:
+    """Integral of a density of ``x`` from 0 to ``upto``, columns of the row around it."""
+    weighted = f"sum((CASE WHEN i % {_STEPS} = 0 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {density.replace('$x', f'({upto} * i / {_STEPS})')})"
+    return f"(SELECT {weighted} FROM range({_STEPS + 1}) r(i)) * {upto} / {3 * _STEPS}"
+
+
+def normal_p_sql(z: str) -> str:
+    """Two-sided p-value of a standard normal."""
+    return f"greatest(0, 1 - 2 * {_simpson('exp(-0.5 * pow($x, 2)) / sqrt(2 * pi())', f'least(abs({z}), 14)')})"
+
+
+def t_p_sql(t: str, dof: str) -> str:
+    """Two-sided p-value of Student's t."""
+    density = f"exp(lgamma(({dof} + 1) / 2.0) - lgamma({dof} / 2.0) - 0.5 * ln({dof} * pi()) - ({dof} + 1) / 2.0 * ln(1 + pow($x, 2) / {dof}))"
+    return f"greatest(0, 1 - 2 * {_simpson(density, f'least(abs({t}), 40)')})"
+
+
+def f_p_sql(f: str, d1: str, d2: str) -> str:
+    """Upper tail of an F distribution with more than two degrees above the line."""
+    density = (f"exp(lgamma(({d1} + {d2}) / 2.0) - lgamma({d1} / 2.0) - lgamma({d2} / 2.0) + {d1} / 2.0 * ln({d1} / {d2}::DOUBLE) + ({d1} / 2.0 - 1) * ln(greatest($x, 1e-300))"
+               f" - ({d1} + {d2}) / 2.0 * ln(1 + {d1} * $x / {d2}))")
+    return f"greatest(0, 1 - {_simpson(density, f'least({f}, 60)')})"
+
+
+_Z = "1.959963984540054e0"
+
+
+def t_975_sql(dof: str) -> str:
+    """The 97.5 % point of Student's t by its expansion about the normal point, for some hundred degrees or more."""
+    return (f"({_Z} + (pow({_Z}, 3) + {_Z}) / (4.0 * {dof}) + (5 * pow({_Z}, 5) + 16 * pow({_Z}, 3) + 3 * {_Z}) / (96 * pow({dof}, 2)) + (3 * pow({_Z}, 7) + 19 * pow({_Z}, 5) + 17 * pow({_Z}, 3) - 15 * {_Z}) / (384 * pow({dof}, 3))"
+            f" + (79 * pow({_Z}, 9) + 776 * pow({_Z}, 7) + 1482 * pow({_Z}, 5) - 1920 * pow({_Z}, 3) - 945 * {_Z}) / (92160 * pow({dof}, 4)))")
+
+
+def chi2_point_sql(z: str, dof: str) -> str:
+    """A point of chi-square by its expansion about the normal point ``z``, for some hundred degrees or more."""
+    return (f"({dof} + {z} * sqrt(2.0 * {dof}) + 2 / 3.0 * (pow({z}, 2) - 1) + (pow({z}, 3) - 7 * {z}) / (9 * sqrt(2.0 * {dof})) - (6 * pow({z}, 4) + 14 * pow({z}, 2) - 32) / (405.0 * {dof})"
+            f" + (9 * pow({z}, 5) + 256 * pow({z}, 3) - 433 * {z}) / (4860 * sqrt(2.0) * pow({dof}, 1.5)) + (12 * pow({z}, 6) - 243 * pow({z}, 4) - 923 * pow({z}, 2) + 1472) / (25515 * pow({dof}, 2)))")

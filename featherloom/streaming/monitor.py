@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featherloom.operators.ordered import from_naive_micros, literal_for, naive_micros, q
-from featherloom.operators.quality import drift_categorical, drift_numeric
-from featherloom.params import is_numeric
+from featherloom.operators.quality import detect_drift
 
 
 def window_metrics(df: DataFrame, timestamp: str, actual: str, prediction: str, aggregation_window: str = "1 day", by: Sequence[str] = ()) -> DataFrame:
@@ -65,9 +64,4 @@ def monitor_table(
 def drift_by_window(source: DataFrame, baseline: DataFrame, timestamp: str, columns: Sequence[str], first: str, last: str) -> DataFrame:
     """Drift of the rows in [first, last) against the baseline table, one row per column."""
     part = source.where((q(timestamp) >= literal_for(source, timestamp, first)) & (q(timestamp) < literal_for(source, timestamp, last)))
-    out = None
-    for c in columns:
-        test = drift_numeric(baseline, part, c) if is_numeric(baseline, c) else drift_categorical(baseline, part, c)
-        row = test.select("column", "statistic", "p_value", "drift_detected")
-        out = row if out is None else out.unionByName(row)
-    return out
+    return detect_drift(baseline, part, columns).drop("test")
