@@ -178,6 +178,49 @@ def apply_list_vocabulary(df: DataFrame, state: dict, drop_raw_col: bool = False
     return out.drop("__items", column) if drop_raw_col else out.drop("__items")
 
 
+# ---- vocabularies of any size ------------------------------------------------------------
+
+
+def fit_codes(df: DataFrame, column: str, threshold: float = 0.0) -> dict:
+    """Labels (or list items) with at least the given share, numbered from 0, the most frequent first.
+
+    The numbers are a table in the shared folder, whatever its size: nothing is refused and nothing comes to the driver.
+    """
+    need_columns(df, [column])
+    counts = df.select(_labels(df, column).alias("item")).where("item IS NOT NULL").groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    kept = row_numbers(counts.where(F.col("n") >= threshold * total), [], ["-n", "item"], "code")
+    path = new_path(df.sparkSession, "codes")
+    kept.select("item", (F.col("code") - 1).cast("int").alias("code"), "n").write.parquet(path)
+    return {"column": column, "table": path, "size": kept.sparkSession.read.parquet(path).count()}
+
+
+def _labels(df: DataFrame, column: str) -> Column:
+    """One row per item of a list, or per value of any other column, as text."""
+    if df.schema[column].dataType.typeName() == "array":
+        return F.explode(F.transform(q(column), lambda v: v.cast("string")))
+    return q(column).cast("string")
+
+
+def codes_long(df: DataFrame, state: dict, keys: Sequence[str]) -> DataFrame:
+    """(*keys, code, value): the sparse form of an encoding; ``value`` is how often the row holds the item, rows without any have no row."""
+    need_columns(df, [*keys, state["column"]])
+    table = df.sparkSession.read.parquet(state["table"]).select("item", "code")
+    each = df.select(*[q(k).alias(f"__k{i}") for i, k in enumerate(keys)], _labels(df, state["column"]).alias("item")).where("item IS NOT NULL")
+    counted = lookup_join(each, table, ["item"], "inner").groupBy(*[f"__k{i}" for i in range(len(keys))], "code").agg(F.count(F.lit(1)).alias("value"))
+    return counted.select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)], "code", "value")
+
+
+def codes_sparse(df: DataFrame, state: dict, keys: Sequence[str]) -> DataFrame:
+    """(*keys, size, indices, values): one sparse vector per key, indices ascending; as long as a row's own distinct items."""
+    pairs = codes_long(df, state, keys).groupBy(*[q(k) for k in keys]).agg(F.sort_array(F.collect_list(F.struct("code", F.col("value").cast("double").alias("value")))).alias("__p"))
+    found = df.select(*[q(k) for k in keys]).distinct()
+    out = lookup_join(found, pairs, list(keys))
+    empty = F.array().cast("array<struct<code:int,value:double>>")
+    out = out.withColumn("__p", F.coalesce("__p", empty))
+    return out.select(*[q(k) for k in keys], F.lit(state["size"]).alias("size"), F.col("__p.code").alias("indices"), F.col("__p.value").alias("values"))
+
+
 # ---- fills -----------------------------------------------------------------------------
 
 FILLS = ("mean", "median", "mode", "min", "max", "zero", "ffill", "bfill", "interpolate")

@@ -413,6 +413,11 @@ def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
     return df.dropna(subset=[row, column]).groupBy(q(row)).pivot(column).count().fillna(0)
 
 
+def crosstab_cells(df: DataFrame, row: str, column: str) -> DataFrame:
+    """The contingency table as (row, column, n), cells that occur only: any number of categories."""
+    return df.dropna(subset=[row, column]).groupBy(q(row).alias("row"), q(column).alias("column")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows that repeat an earlier row, and their share."""
     keys = need_columns(df, columns or df.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -9,7 +10,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,17 +132,18 @@ def validate_types(df: DataFrame, expected: dict[str, str]) -> DataFrame:
 
 
 def column_quality(df: DataFrame, uniqueness_threshold: float = 0.01) -> DataFrame:
-    """Per column: null and unique ratios, potential id, high cardinality, constant, infinities."""
+    """Per column: null and unique ratios, potential id, high cardinality, constant; of numbers also infinities, min, max, mean and std."""
     aggs: dict[str, Column] = {"n": F.count(F.lit(1))}
     for c in df.columns:
         aggs[f"{c}|nulls"] = F.count_if(q(c).isNull())
         if is_numeric(df, c):
             x = q(c).cast("double")
             aggs[f"{c}|inf"] = F.count_if(F.abs(x) == float("inf"))
+            aggs |= {f"{c}|min": F.min(x), f"{c}|max": F.max(x), f"{c}|mean": F.avg(x), f"{c}|std": F.stddev_samp(x)}
     got = wide_aggregate(df, aggs)
     n = max(got["n"], 1)
-    rows = [(f.name, type_name(f.dataType), got[f"{f.name}|nulls"], got[f"{f.name}|nulls"] / n, got.get(f"{f.name}|inf", 0), is_numeric(df, f.name)) for f in df.schema.fields]
-    base = _table(df, rows, "column string, dtype string, null_count bigint, null_ratio double, inf_count bigint, __num boolean")
+    rows = [(f.name, type_name(f.dataType), got[f"{f.name}|nulls"], got[f"{f.name}|nulls"] / n, got.get(f"{f.name}|inf", 0), *[_float(got.get(f"{f.name}|{s}")) for s in ("min", "max", "mean", "std")], is_numeric(df, f.name)) for f in df.schema.fields]
+    base = _table(df, rows, "column string, dtype string, null_count bigint, null_ratio double, inf_count bigint, min double, max double, mean double, std double, __num boolean")
     unique = value_table(df, df.columns).groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
     out = base.join(unique, "column", "left").fillna(0, ["unique_count"])
     ratio = F.col("unique_count") / F.lit(n)
@@ -212,64 +214,63 @@ def outlier_rows(df: DataFrame, column: str, lower: float, upper: float, limit:
     return out.orderBy(*[q(o) for o in (order or [column])]).limit(limit)
 
 
-def isolation_scores(df: DataFrame, column: str, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
-    """Add ``isolation_score``: high values are isolated by few random cuts.
+LEAST_VALUES = 10  # a column with fewer values has no outliers
+_TREES, _SAMPLE = 100, 256
 
-    Each tree is grown in its own task from ``sample`` rows. A tree over one column is a step
-    function of the value, so the forest is a table of at most trees x sample steps, which is
-    broadcast; rows are then scored in Arrow batches.
+
+def isolation_forests(df: DataFrame, columns: Sequence[str], trees: int = _TREES, sample: int = _SAMPLE, seed: int = 42) -> dict[str, list[tuple[np.ndarray, np.ndarray]]]:
+    """Per column its trees as step functions of the value: (cuts, depths), one depth more than cuts.
+
+    One scan draws the values of all columns: of each the ``trees * sample`` with the smallest hash of row and seed, so the
+    same rows give the same forest however they are partitioned. A column's trees are grown in one task from that bounded draw.
+    Columns with fewer than ten values have no forest.
     """
-    x = q(column).cast("double")
-    filled = df.where(x.isNotNull())
-    n = filled.count()
-    if n < 10:
-        raise ParameterError("isolation scores need at least 10 values")
-    take = min(sample, n)
-    want = trees * take
-    share = min(1.0, 1.2 * want / n + 100.0 / n)
-    pool = filled.select(x.alias("x")) if n <= want else filled.select(x.alias("x")).sample(share, seed)
-    # a bounded draw: about 1.2 x trees x sample rows, each tree takes its own random subset
-    drawn = materialise(pool.withColumn("r", F.rand(seed)), "isolation")
-    copies = max(1, -(-want // max(n, 1)))
-    spread = drawn.select("x", F.explode(F.array(*[F.pmod(F.xxhash64("r", F.lit(i + seed)), F.lit(trees)) for i in range(copies)])).alias("tree"))
+    want = trees * sample
+    hashed = [f.name for f in df.schema.fields if not {"map", "variant"} & set(re.findall(r"\w+", f.dataType.simpleString()))]
+    row = F.xxhash64(F.lit(seed), *[q(c) for c in hashed])
+    items = F.array(*[F.struct(F.lit(i).alias("col"), q(c).cast("double").alias("x")) for i, c in enumerate(columns)])
+    each = df.select(F.explode(items).alias("i"), row.alias("h")).select("i.*", "h").where("x IS NOT NULL")
+    first = Window.partitionBy("col").orderBy("h", "x")
+    drawn = each.withColumn("at", F.row_number().over(first)).where(F.col("at") <= want)  # cut in every task before the shuffle
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["tree"].iloc[0])
-        rng = np.random.default_rng(seed * 100_003 + tree)
-        values = np.sort(rng.permutation(np.sort(pdf["x"].to_numpy()))[:take])
-        limit = int(np.ceil(np.log2(max(len(values), 2))))
-        cuts, depths = [], []
-
-        def split(lo: int, hi: int, depth: int):
-            part = values[lo:hi]
-            if depth >= limit or hi - lo <= 1 or part[0] == part[-1]:
-                depths.append(depth + _mean_path(hi - lo))
-                return
-            cut = rng.uniform(part[0], part[-1])
-            mid = lo + int(np.searchsorted(part, cut, side="left"))
-            mid = min(max(mid, lo + 1), hi - 1)
-            split(lo, mid, depth + 1)
-            cuts.append(cut)
-            split(mid, hi, depth + 1)
-
-        split(0, len(values), 0)
-        return pd.DataFrame({"tree": tree, "cuts": [cuts], "depths": [depths], "size": len(values)})
-
-    forest = spread.groupBy("tree").applyInPandas(grow, "tree bigint, cuts array<double>, depths array<double>, size int").collect()
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast([(np.array(r["cuts"]), np.array(r["depths"])) for r in forest])
-    norm = _mean_path(take)
-
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            v = s.to_numpy()
-            total = np.zeros(len(v))
-            for cuts, depths in shared.value:
-                total += depths[np.searchsorted(cuts, v, side="right")]
-            yield pd.Series(np.power(2.0, -total / len(shared.value) / norm))
+        pool = pdf.sort_values(["h", "x"])["x"].to_numpy()
+        col = int(pdf["col"].iloc[0])
+        out = []
+        if len(pool) >= LEAST_VALUES:
+            for tree in range(trees):
+                rng = np.random.default_rng([seed, col, tree])
+                own = pool[tree::trees] if len(pool) == want else rng.permutation(pool)[:sample]
+                cuts, depths = grown_tree(np.sort(own), rng)
+                out.append((col, tree, cuts, depths))
+        return pd.DataFrame(out, columns=["col", "tree", "cuts", "depths"])
+
+    found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {c: [] for c in columns}
+    # At most columns x trees x sample steps come to the driver.
+    for r in sorted(drawn.groupBy("col").applyInPandas(grow, "col int, tree int, cuts array<double>, depths array<double>").collect(), key=lambda r: (r["col"], r["tree"])):
+        found[columns[r["col"]]].append((np.array(r["cuts"]), np.array(r["depths"])))
+    return found
+
 
-    return filled.withColumn("isolation_score", score(x))
+def grown_tree(values: np.ndarray, rng: np.random.Generator) -> tuple[list[float], list[float]]:
+    """Random cuts of sorted values down to single values, equal values or the depth limit; leaves count their expected further depth."""
+    limit = int(np.ceil(np.log2(max(len(values), 2))))
+    cuts, depths = [], []
+
+    def split(lo: int, hi: int, depth: int) -> None:
+        part = values[lo:hi]
+        if depth >= limit or hi - lo <= 1 or part[0] == part[-1]:
+            depths.append(depth + _mean_path(hi - lo))
+            return
+        cut = rng.uniform(part[0], part[-1])
+        mid = lo + int(np.searchsorted(part, cut, side="left"))
+        mid = min(max(mid, lo + 1), hi - 1)
+        split(lo, mid, depth + 1)
+        cuts.append(cut)
+        split(mid, hi, depth + 1)
+
+    split(0, len(values), 0)
+    return cuts, depths
 
 
 def _mean_path(n: int) -> float:
@@ -281,11 +282,58 @@ def _mean_path(n: int) -> float:
     return 2.0 * (np.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n
 
 
+def forest_scores(forest: Sequence[tuple[np.ndarray, np.ndarray]], values: np.ndarray, size: int) -> np.ndarray:
+    """High where few random cuts isolate a value; ``size`` is the number of values a tree was grown from."""
+    total = sum((depths[np.searchsorted(cuts, values, side="right")] for cuts, depths in forest), np.zeros(len(values)))
+    return np.power(2.0, -total / len(forest) / _mean_path(size))
+
+
+def isolation_scores(df: DataFrame, column: str | Sequence[str], trees: int = _TREES, sample: int = _SAMPLE, seed: int = 42) -> DataFrame:
+    """Add ``isolation_score`` (one column), or ``isolation_score_<column>`` for each of several, all in one pass.
+
+    Rows without a value keep a null score; so do all rows of a column with fewer than ten values.
+    """
+    columns = [column] if isinstance(column, str) else list(column)
+    need_columns(df, columns)
+    counts = wide_aggregate(df, {c: F.count(q(c)) for c in columns})
+    forests = isolation_forests(df, columns, trees, sample, seed)
+    shared = df.sparkSession.sparkContext.broadcast([(forests[c], min(sample, counts[c])) for c in columns])
+
+    @F.pandas_udf("array<double>")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            values = np.array([np.asarray(r, float) for r in rows]).reshape(-1, len(columns))
+            scored = np.full(values.shape, np.nan)
+            for i, (forest, size) in enumerate(shared.value):
+                known = ~np.isnan(values[:, i])
+                if forest:
+                    scored[known, i] = forest_scores(forest, values[known, i], size)
+            yield pd.Series(list(scored))
+
+    scored = df.withColumn("__scores", score(F.array(*[q(c).cast("double") for c in columns])))
+    names = ["isolation_score"] if isinstance(column, str) else [f"isolation_score_{c}" for c in columns]
+    return scored.withColumns({n: F.when(q(c).isNotNull() & ~F.isnan(F.col("__scores")[i]), F.col("__scores")[i]) for i, (n, c) in enumerate(zip(names, columns))}).drop("__scores")
+
+
 def outliers_isolation(df: DataFrame, column: str, contamination: float = 0.1, seed: int = 42) -> DataFrame:
-    """Rows whose score is above the (1 - contamination) quantile."""
-    scored = materialise(isolation_scores(df, column, seed=seed), "isolation-scores")
+    """The rows with a value; outliers are those whose score is above the (1 - contamination) quantile, none with fewer than ten values."""
+    scored = materialise(isolation_scores(df.where(q(column).isNotNull()), column, seed=seed), "isolation-scores")
     cut = exact_quantiles(scored, ["isolation_score"], [1 - min(contamination, 0.5)])["isolation_score"][0]
-    return scored.withColumn("is_outlier", F.col("isolation_score") > F.lit(cut))
+    return scored.withColumn("is_outlier", F.coalesce(F.col("isolation_score") > F.lit(cut), F.lit(False)))
+
+
+def isolation_outliers(df: DataFrame, columns: Sequence[str] | None = None, contamination: float = 0.1, seed: int = 42) -> DataFrame:
+    """(column, values, outliers, pct, threshold) of every numeric column; passes over the table do not grow with the columns."""
+    columns = numeric_columns(df, columns)
+    if not columns:
+        raise ParameterError("no numeric columns")
+    scored = isolation_scores(df.select(*[q(c) for c in columns]), columns, seed=seed)
+    names = [f"isolation_score_{c}" for c in columns]
+    scored = materialise(scored.select(*[q(n) for n in names], *[q(c).isNotNull().alias(f"__has_{c}") for c in columns]), "isolation-scores")
+    cuts = {c: exact[0] for c, exact in zip(columns, exact_quantiles(scored, names, [1 - min(contamination, 0.5)]).values())}
+    got = wide_aggregate(scored, {**{f"n|{c}": F.count_if(q(f"__has_{c}")) for c in columns}, **{f"o|{c}": F.count_if(q(n) > F.lit(cuts[c])) for c, n in zip(columns, names) if cuts[c] is not None}})
+    rows = [(c, got[f"n|{c}"], got.get(f"o|{c}", 0), 100.0 * got.get(f"o|{c}", 0) / max(got[f"n|{c}"], 1), cuts[c]) for c in columns]
+    return _table(df, rows, "column string, values bigint, outliers bigint, pct double, threshold double")
 
 
 # ---- drift -----------------------------------------------------------------------------

@@ -145,6 +145,11 @@ def _(t):
     return rounded(P.value_counts_table(t.events, "event_type"))
 
 
+@query("a25_crosstab_cells", "SELECT user_id AS \"row\", event_type AS \"column\", count(*) AS n FROM events GROUP BY ALL")
+def _(t):
+    return P.crosstab_cells(t.events, "user_id", "event_type")
+
+
 @query("a25_crosstab", """SELECT l_returnflag, count_if(l_linestatus = 'F')::BIGINT AS "F", count_if(l_linestatus = 'O')::BIGINT AS "O" FROM lineitem GROUP BY 1""")
 def _(t):
     return P.crosstab(t.lineitem, "l_returnflag", "l_linestatus")
@@ -304,10 +309,11 @@ def _(t):
 
 
 @query("q3_column_quality", """WITH n AS (SELECT count(*) AS n FROM part) SELECT c AS "column", d AS dtype, 0::BIGINT AS null_count, 0.0::DOUBLE AS null_ratio, 0::BIGINT AS inf_count, u AS unique_count,
-  round(u / n, 6) AS unique_ratio, u / n > 0.99 AS potential_id, u > 100 AND d = 'string' AS high_cardinality, u = 1 AS constant
-  FROM n, (SELECT 'p_partkey' AS c, 'integer' AS d, count(DISTINCT p_partkey) AS u FROM part UNION ALL SELECT 'p_name', 'string', count(DISTINCT p_name) FROM part
-    UNION ALL SELECT 'p_brand', 'string', count(DISTINCT p_brand) FROM part UNION ALL SELECT 'p_type', 'string', count(DISTINCT p_type) FROM part
-    UNION ALL SELECT 'p_size', 'integer', count(DISTINCT p_size) FROM part UNION ALL SELECT 'p_retailprice', 'float', count(DISTINCT p_retailprice) FROM part)""")
+  round(u / n, 6) AS unique_ratio, u / n > 0.99 AS potential_id, u > 100 AND d = 'string' AS high_cardinality, u = 1 AS constant, lo AS min, hi AS max, round(m, 6) AS mean, round(s, 6) AS std
+  FROM n, (SELECT 'p_partkey' AS c, 'integer' AS d, count(DISTINCT p_partkey) AS u, min(p_partkey)::DOUBLE AS lo, max(p_partkey)::DOUBLE AS hi, avg(p_partkey) AS m, stddev_samp(p_partkey) AS s FROM part UNION ALL SELECT 'p_name', 'string', count(DISTINCT p_name), NULL, NULL, NULL, NULL FROM part
+    UNION ALL SELECT 'p_brand', 'string', count(DISTINCT p_brand), NULL, NULL, NULL, NULL FROM part UNION ALL SELECT 'p_type', 'string', count(DISTINCT p_type), NULL, NULL, NULL, NULL FROM part
+    UNION ALL SELECT 'p_size', 'integer', count(DISTINCT p_size), min(p_size), max(p_size), avg(p_size), stddev_samp(p_size) FROM part
+    UNION ALL SELECT 'p_retailprice', 'float', count(DISTINCT p_retailprice), min(p_retailprice), max(p_retailprice), avg(p_retailprice), stddev_samp(p_retailprice) FROM part)""")
 def _(t):
     return rounded(Q.column_quality(t.part))
 
@@ -340,6 +346,11 @@ def _(t):
     return out.agg(F.count(F.lit(1)).alias("n"), ((share > 0) & (share <= 0.05)).alias("share_kept"), F.max_by("is_outlier", "value").alias("extremes_found"))
 
 
+@query("q6_isolation_columns")
+def _(t):
+    return Q.isolation_outliers(t.lineitem, contamination=0.05)
+
+
 BEFORE, AFTER = "(SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-16')", "(SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-16')"
 
 
@@ -366,10 +377,11 @@ def _(t):
     return rounded(Q.drift_categorical(*halves(t), "event_type"))  # five categories: with four degrees of freedom the tail is elementary
 
 
-@query("q8_category_changes", f"""WITH c AS (SELECT user_id, count_if(ts < TIMESTAMP '2024-01-16') AS r, count_if(ts >= TIMESTAMP '2024-01-16') AS c FROM events GROUP BY 1)
-  SELECT 'user' AS "column", user_id::VARCHAR AS category, CASE WHEN r = 0 THEN 'new' ELSE 'missing' END AS change, greatest(r, c)::BIGINT AS rows FROM c WHERE r = 0 OR c = 0""")
+@query("q8_category_changes", f"""WITH c AS (SELECT user_id || '-' || event_type || '-' || event_id % 40 AS visit, count_if(ts < TIMESTAMP '2024-01-16') AS r, count_if(ts >= TIMESTAMP '2024-01-16') AS c FROM events GROUP BY 1)
+  SELECT 'visit' AS "column", visit AS category, CASE WHEN r = 0 THEN 'new' ELSE 'missing' END AS change, greatest(r, c)::BIGINT AS rows FROM c WHERE r = 0 OR c = 0""")
 def _(t):
-    return Q.category_changes(*(h.select(F.col("user_id").cast("string").alias("user")) for h in halves(t)), ["user"])
+    visit = F.concat_ws("-", F.col("user_id").cast("string"), "event_type", (F.col("event_id") % 40).cast("string"))
+    return Q.category_changes(*(h.select(visit.alias("visit")) for h in halves(t)), ["visit"])
 
 
 def _ks_sql(c):

@@ -58,6 +58,23 @@ def _(t):
     return scaled.agg(F.count("value").alias("n")).select(F.lit("value").alias("column"), F.round(F.lit(float(state["lambda"])), 2).alias("lambda"), "n")
 
 
+def _likelihood_sql(level: int, step: float, before: str) -> str:
+    """One level of the search: 21 values of lambda around the best of the level before."""
+    power = "CASE WHEN abs(lam) < 1e-12 THEN ln(value) ELSE (exp(ln(value) * lam) - 1) / lam END"
+    return f"""l{level} AS (SELECT arg_max(lam, fit) AS lam FROM (SELECT lam, (lam - 1) * any_value(logs) - any_value(n) / 2 * ln(var_pop({power})) AS fit FROM (SELECT b.lam + (i - 10) * {step} AS lam FROM {before} b, range(21) r(i)), events, s GROUP BY 1))"""
+
+
+# The scaled values of each event type by the lambda of largest likelihood, found in steps ten times finer each.
+@query("e4_box_cox_scaled", f"""WITH s AS (SELECT count(*) AS n, sum(ln(value)) AS logs FROM events), l0 AS (SELECT 0::DOUBLE AS lam),
+  {', '.join(_likelihood_sql(k, step, f'l{k - 1}') for k, step in ((1, 0.2), (2, 0.02), (3, 0.002), (4, 0.0002), (5, 0.00002)))},
+  v AS (SELECT event_type, CASE WHEN abs(lam) < 1e-12 THEN ln(value) ELSE (exp(ln(value) * lam) - 1) / lam END AS x FROM events, l5), m AS (SELECT avg(x) AS a, stddev_pop(x) AS b FROM v)
+  SELECT event_type, count(*) AS n, round(avg((x - a) / b), 3) AS mean, round(stddev_samp((x - a) / b), 3) AS std, round(min((x - a) / b), 2) AS lowest FROM v, m GROUP BY 1""")
+def _(t):
+    scaled = E.apply_scaling(t.events, E.fit_scaling(t.events, ["value"], "box-cox"))
+    out = scaled.groupBy("event_type").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("lowest"))
+    return out.withColumns({"mean": F.round("mean", 3), "std": F.round("std", 3), "lowest": F.round("lowest", 2)})
+
+
 ROLES = "(SELECT conv_id, turn, CASE WHEN turn = 3 THEN NULL ELSE role END AS role FROM conversations)"
 
 
@@ -83,6 +100,24 @@ def _(t):
     return E.apply_ordinal(t.part.select("p_partkey", "p_brand"), E.fit_ordinal(seen, "p_brand"))
 
 
+WORDS = "(SELECT p_partkey, unnest(string_split(p_name, ' ')) AS item FROM part)"
+CODES = f"(SELECT item, (row_number() OVER (ORDER BY count(*) DESC, item))::INT - 1 AS code FROM {WORDS} GROUP BY item)"
+
+
+@query("e7_codes_long", f"SELECT p_partkey, code, count(*) AS value FROM {WORDS} JOIN {CODES} USING (item) GROUP BY ALL")
+def _(t):
+    base = t.part.select("p_partkey", F.split("p_name", " ").alias("words"))
+    return E.codes_long(base, E.fit_codes(base, "words"), ["p_partkey"])
+
+
+@query("e5_codes_sparse", """WITH c AS (SELECT user_id, (row_number() OVER (ORDER BY count(*) DESC, user_id::VARCHAR))::INT - 1 AS code FROM events GROUP BY 1)
+  SELECT event_id, (SELECT count(*) FROM c)::INT AS size, code AS position, 1.0::DOUBLE AS value FROM events JOIN c USING (user_id)""")
+def _(t):
+    base = t.events.select("event_id", F.col("user_id").cast("string").alias("user"))
+    found = E.codes_sparse(base, E.fit_codes(base, "user"), ["event_id"])
+    return found.select("event_id", "size", F.explode(F.arrays_zip(F.col("indices").alias("position"), F.col("values").alias("value"))).alias("p")).select("event_id", "size", "p.*")
+
+
 @query("e7_flatten_list", """SELECT p_partkey, list_contains(string_split(p_name, ' '), 'ring')::INT AS words_ring, list_contains(string_split(p_name, ' '), 'widget')::INT AS words_widget FROM part""")
 def _(t):
     base = t.part.select("p_partkey", F.regexp_replace("p_name", " ", ", ").alias("words"))
@@ -270,11 +305,11 @@ def _(t):
     return catalog.lineage(_catalogue(t))
 
 
-@query("b30_lineage_of", f"""WITH RECURSIVE c AS (SELECT * FROM {CATALOGUE}), r AS (SELECT entity_id AS ancestor_id, 0::BIGINT AS distance, name, pipeline_name, source_dataset_id AS nxt FROM c WHERE entity_id = (SELECT max(entity_id) FROM c)
+@query("b30_lineage_of", f"""WITH RECURSIVE c AS (SELECT * FROM {CATALOGUE}), r AS (SELECT entity_id AS ancestor_id, 0::BIGINT AS distance, name, pipeline_name, source_dataset_id AS nxt FROM c WHERE entity_id = (SELECT max(entity_id) FROM c WHERE source_dataset_id IS NOT NULL)
   UNION ALL SELECT c.entity_id, r.distance + 1, c.name, c.pipeline_name, c.source_dataset_id FROM r JOIN c ON r.nxt = c.entity_id) SELECT ancestor_id, distance, name, pipeline_name FROM r""")
 def _(t):
     rows = _catalogue(t)
-    return catalog.lineage_of(rows, rows.agg(F.max("entity_id")).first()[0])
+    return catalog.lineage_of(rows, rows.where("source_dataset_id IS NOT NULL").agg(F.max("entity_id")).first()[0])
 
 
 @query("b30_children", f"SELECT entity_id FROM {CATALOGUE} WHERE source_dataset_id = (SELECT min(source_dataset_id) FROM {CATALOGUE})")

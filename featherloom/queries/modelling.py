@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featherloom.plans import classifiers as C
 from featherloom.plans import explain as Z
 from featherloom.plans import forecast as B
 from featherloom.plans import metrics as M
@@ -20,7 +21,7 @@ from featherloom.queries.series import daily
 from featherloom.queries.shared import DAILY, FLOWS, flows, rounded
 from featherloom.session import new_path
 from featherloom.sources.files import append_rows
-from featherloom.streaming import monitor
+from featherloom.streaming import drift, monitor
 
 # ---- splits ----------------------------------------------------------------------------
 
@@ -214,10 +215,9 @@ def _(t):
     return rounded(M.residual_histogram(flows(t), "total_amount", "forecast"), 4)
 
 
-@query("b16_residual_quantiles", f"""SELECT round(p / 20, 4) AS probability, round((SELECT quantile_cont(total_amount - forecast, p / 20) FROM {FLOWS}), 4) AS observed FROM range(1, 20) r(p)""".replace(
-    f"(SELECT quantile_cont(total_amount - forecast, p / 20) FROM {FLOWS})", f"(SELECT quantile_cont(total_amount - forecast, [{', '.join(str((i + 1) / 20) for i in range(19))}]) FROM {FLOWS})[p]"))
+@query("b16_residual_quantiles", f"""SELECT round(p / 100, 4) AS probability, round((SELECT quantile_cont(total_amount - forecast, [{', '.join(str((i + 1) / 100) for i in range(99))}]) FROM {FLOWS})[p], 4) AS observed FROM range(1, 100) r(p)""")
 def _(t):
-    return rounded(M.residual_quantiles(flows(t), "total_amount", "forecast", 19).drop("theoretical"), 4)
+    return rounded(M.residual_quantiles(flows(t), "total_amount", "forecast").drop("theoretical"), 4)
 
 
 # ---- models ----------------------------------------------------------------------------
@@ -233,11 +233,11 @@ def _(t):
 @query("b20_every_model", "SELECT m AS model_type, count(*) AS n, TRUE AS beats_mean FROM part, unnest(['linear_regression', 'lasso', 'elastic_net', 'huber', 'decision_tree', 'random_forest', 'gradient_boosting', 'xgboost']) u(m) GROUP BY 1")
 def _(t):
     base = t.part.select("p_partkey", "p_size", "p_retailprice")
-    small = {"random_forest": {"n_estimators": 10}, "gradient_boosting": {"n_estimators": 5}, "xgboost": {"n_estimators": 5, "max_depth": 3}, "lasso": {"alpha": 0.1}, "elastic_net": {"alpha": 0.1}}
+    penalties = {"lasso": {"alpha": 0.1}, "elastic_net": {"alpha": 0.1}}  # everything else by its defaults
     spread = base.agg(F.stddev_pop("p_retailprice")).first()[0]
     parts = []
     for m in ML.MODEL_TYPES:
-        scored = ML.fit_model(base, m, "p_retailprice", ["p_partkey", "p_size"], small.get(m)).predict(base)
+        scored = ML.fit_model(base, m, "p_retailprice", ["p_partkey", "p_size"], penalties.get(m)).predict(base)
         row = M.regression_metrics(scored, "p_retailprice", "prediction")
         parts.append(row.select(F.lit(m).alias("model_type"), "n", (F.col("rmse") < spread).alias("beats_mean")))
     return reduce(DataFrame.unionByName, parts)
@@ -260,6 +260,13 @@ def _(t):
     return model.importance_table(t.spark, 2).select("rank", "feature").withColumn("n", F.lit(t.part.count()))
 
 
+@query("b22_importance_of_weights", """WITH m AS (SELECT var_pop(p_size) AS xx, covar_pop(p_size, p_partkey) AS xz, var_pop(p_partkey) AS zz, covar_pop(p_size, p_retailprice) AS xy, covar_pop(p_partkey, p_retailprice) AS zy FROM part),
+  w AS (SELECT 'p_size' AS feature, abs((xy * zz - zy * xz) / (xx * zz - xz * xz)) AS importance FROM m UNION ALL SELECT 'p_partkey', abs((zy * xx - xy * xz) / (xx * zz - xz * xz)) FROM m)
+  SELECT (row_number() OVER (ORDER BY importance DESC, feature))::INT AS rank, feature, round(importance, 6) AS importance FROM w""")
+def _(t):
+    return rounded(ML.fit_model(t.part, "linear_regression", "p_retailprice", ["p_size", "p_partkey"]).importance_table(t.spark))
+
+
 @query("b18_cross_validate", f"""WITH s AS (SELECT user_id::DOUBLE AS x, value AS y, (row_number() OVER (ORDER BY {EVENT_HASH}, event_id) - 1) % 5 AS fold FROM events),
   r AS (SELECT f.fold, regr_slope(y, x) AS k, regr_intercept(y, x) AS c FROM range(5) f(fold) JOIN s ON s.fold <> f.fold GROUP BY 1),
   m AS (SELECT fold, sqrt(avg(pow(y - c - k * x, 2))) AS rmse, avg(abs(y - c - k * x)) AS mae FROM s JOIN r USING (fold) GROUP BY 1)
@@ -270,6 +277,41 @@ def _(t):
     return rounded(out.where("metric IN ('rmse', 'mae')"), 4)
 
 
+# Gaussian naive Bayes: per class the share of rows, and mean and variance of each feature (plus 1e-9 of the largest variance of any feature).
+def _bayes_sql(train: str, test: str, fold: str) -> str:
+    """Predictions of the rows of ``test`` by a model of the rows of ``train``, per ``fold``."""
+    return f"""(WITH u AS (SELECT fold, 1e-9 * greatest(var_pop(q), var_pop(d), var_pop(x)) AS e FROM {train} GROUP BY 1),
+      m AS (SELECT fold, y, ln(count(*) / sum(count(*)) OVER (PARTITION BY fold)) AS prior, avg(q) AS mq, avg(d) AS md, avg(x) AS mx, var_pop(q) + any_value(e) AS vq, var_pop(d) + any_value(e) AS vd, var_pop(x) + any_value(e) AS vx FROM {train} JOIN u USING (fold) GROUP BY fold, y)
+      SELECT t.{fold} AS fold, t.k, t.y, arg_max(m.y, prior - 0.5 * (ln(vq) + ln(vd) + ln(vx) + pow(t.q - mq, 2) / vq + pow(t.d - md, 2) / vd + pow(t.x - mx, 2) / vx)) AS p FROM {test} t JOIN m ON m.fold = t.{fold} GROUP BY ALL)"""
+
+
+_LINES = "(SELECT l_returnflag AS y, l_orderkey * 10 + l_linenumber AS k, l_quantity AS q, l_extendedprice / 1000 AS d, date_diff('day', DATE '1992-01-01', l_shipdate::DATE) / 100.0::DOUBLE AS x FROM lineitem)"
+
+
+def lines(t):
+    days = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date"))
+    return t.lineitem.select(F.col("l_returnflag").alias("y"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), F.col("l_quantity").alias("q"), (F.col("l_extendedprice") / 1000).alias("d"), (days / 100.0).alias("x"))
+
+
+_PLACED = f"(SELECT *, (row_number() OVER (PARTITION BY y ORDER BY md5(k || '|42'), k) - 1) % 5 AS own FROM {_LINES})"
+_TRAINED = f"(SELECT f.fold, s.* FROM range(5) f(fold) JOIN {_PLACED} s ON s.own <> f.fold)"
+
+
+@query("b18_cross_validate_classes", f"""WITH s AS (SELECT * FROM {_bayes_sql(_TRAINED, _PLACED, 'own')}), c AS (SELECT fold, y, p, count(*) AS n FROM s GROUP BY ALL), k AS (SELECT fold, y AS class FROM c UNION SELECT fold, p FROM c),
+  r AS (SELECT fold, class, coalesce((SELECT sum(n) FROM c WHERE c.fold = k.fold AND y = class AND p = class), 0) AS tp, coalesce((SELECT sum(n) FROM c WHERE c.fold = k.fold AND y = class), 0) AS support, coalesce((SELECT sum(n) FROM c WHERE c.fold = k.fold AND p = class), 0) AS called FROM k),
+  f AS (SELECT fold, sum(tp) / sum(support) AS accuracy, avg(CASE WHEN called > 0 THEN tp / called ELSE 0 END) AS precision, avg(CASE WHEN support > 0 THEN tp / support ELSE 0 END) AS recall, avg(2 * tp / (called + support)) AS f1 FROM r GROUP BY 1)
+  SELECT metric, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, round(min(value), 4) AS min, round(max(value), 4) AS max, count(*) AS folds FROM (UNPIVOT f ON accuracy, precision, recall, f1 INTO NAME metric VALUE value) GROUP BY 1""")
+def _(t):
+    return rounded(C.cross_validate_classifier(lines(t), "naive_bayes", "y", ["q", "d", "x"], ["k"]), 4)
+
+
+@query("b26_class_shares", f"""WITH s AS (SELECT * FROM {_bayes_sql(f'(SELECT 0 AS fold, * FROM {_LINES})', f'(SELECT 0 AS fold, * FROM {_LINES})', 'fold')})
+  SELECT p AS class, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM s GROUP BY 1""")
+def _(t):
+    rows = lines(t)
+    return rounded(C.class_shares(C.fit_classifier(rows, "naive_bayes", "y", ["q", "d", "x"]).predict(rows)))
+
+
 # ---- backtests and search --------------------------------------------------------------
 
 
@@ -589,3 +631,21 @@ def _(t):
     return rounded(monitor.drift_by_window(t.events, baseline, "ts", ["event_type", "value"], "2024-01-20", "2024-01-27"))
 
 
+
+
+# Every day from the 8th on against the days before it.
+@query("m1_drift_stream", """WITH e AS (SELECT date_trunc('day', ts) AS day, event_type, value FROM events WHERE ts >= TIMESTAMP '2024-01-08'), b AS (SELECT event_type, value FROM events WHERE ts < TIMESTAMP '2024-01-08'),
+  days AS (SELECT day, count(*) AS m, (SELECT count(*) FROM b) AS n FROM e GROUP BY 1),
+  x AS (SELECT day, event_type, (SELECT count(*) FROM b WHERE b.event_type = t.event_type) AS r, (SELECT count(*) FROM e WHERE e.day = days.day AND e.event_type = t.event_type) AS c, m, n FROM days, (SELECT DISTINCT event_type FROM events) t),
+  chi AS (SELECT day, sum(pow(c - r * m / n, 2) / (r * m / n)) AS s, any_value(m) AS m, any_value(n) AS n FROM x GROUP BY 1),
+  u AS (SELECT day, value, 0 AS old FROM e UNION ALL SELECT day, value, 1 FROM b, days), v AS (SELECT day, value, count_if(old = 1) AS r, count_if(old = 0) AS c FROM u GROUP BY ALL),
+  f AS (SELECT day, abs(sum(r) OVER w / sum(r) OVER (PARTITION BY day) - sum(c) OVER w / sum(c) OVER (PARTITION BY day)) AS gap FROM v WINDOW w AS (PARTITION BY day ORDER BY value)),
+  ks AS (SELECT day, d, m, n, (SELECT least(1, greatest(0, 2 * sum(pow(-1, i - 1) * exp(-2 * i * i * d * d * n * m / (n + m))))) FROM range(1, 101) t(i)) AS p FROM (SELECT day, max(gap) AS d FROM f GROUP BY 1) JOIN days USING (day))
+  SELECT day AS window_start, 'event_type' AS "column", round(s, 6) AS statistic, round(exp(-s / 2) * (1 + s / 2), 6) AS p_value, n AS ref_n, m AS cur_n FROM chi UNION ALL SELECT day, 'value', round(d, 6), round(p, 6), n, m FROM ks""")
+def _(t):
+    baseline = drift.Baseline(t.events.where("ts < timestamp_ntz'2024-01-08'"), ["event_type", "value"])
+    stream = monitor.read_stream(t.spark, t.folder, t.events.schema, "events.parquet").where("ts >= timestamp_ntz'2024-01-08'")
+    out, checkpoint = new_path(t.spark, "drift"), new_path(t.spark, "drift-checkpoint")
+    drift.start_drift_monitor(stream, baseline, out, checkpoint, "ts", refresh=None).awaitTermination()
+    table = drift.drift_table(t.events.where("ts >= timestamp_ntz'2024-01-08'"), baseline, out, "ts")
+    return rounded(table.select("window_start", "column", "statistic", "p_value", "ref_n", "cur_n"))

@@ -9,8 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,23 +77,18 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
 def small_copy(df: DataFrame) -> DataFrame | None:
     """The table as a broadcast-marked local relation when it is proven small, otherwise None.
 
-    At most limit + 1 rows are read, and of texts and nested values no more than the byte limit and one
-    row reach the driver. The rows read for the check are the ones broadcast, so the table is not
-    computed a second time.
+    At most limit + 1 rows are read. Where there are texts or nested values their sizes are summed first, so that
+    rows move only once they are known to fit, to the driver and to any task.
     """
     spark = df.sparkSession
     rows, size = limit_of(spark, BROADCAST_ROWS), limit_of(spark, BROADCAST_BYTES)
     wide = [f for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType, T.VariantType))]
-    first = df.limit(rows + 1)
     if wide:
-        upto = Window.orderBy(F.monotonically_increasing_id()).rowsBetween(Window.unboundedPreceding, 0)  # over limit + 1 rows
-        first = first.withColumn("__bytes", sum((_bytes_of(f) for f in wide), F.lit(0)))
-        first = first.withColumn("__seen", F.sum("__bytes").over(upto)).where(F.col("__seen") - F.col("__bytes") <= size)
-    table = first.toArrow()
-    if wide:
-        if (pc.max(table["__seen"]).as_py() or 0) > size:
+        # Partial sums of whole partitions: no row is moved for them.
+        n, total = df.agg(F.count(F.lit(1)), F.sum(sum((_bytes_of(f) for f in wide), F.lit(0)))).first()
+        if n > rows or (total or 0) > size:
             return None
-        table = table.drop_columns(["__bytes", "__seen"])
+    table = df.limit(rows + 1).toArrow()
     if table.num_rows > rows or table.nbytes > size:
         return None
     return F.broadcast(spark.createDataFrame(table, df.schema))
