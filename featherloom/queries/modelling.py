@@ -285,15 +285,14 @@ def _bayes_sql(train: str, test: str, fold: str) -> str:
       SELECT t.{fold} AS fold, t.k, t.y, arg_max(m.y, prior - 0.5 * (ln(vq) + ln(vd) + ln(vx) + pow(t.q - mq, 2) / vq + pow(t.d - md, 2) / vd + pow(t.x - mx, 2) / vx)) AS p FROM {test} t JOIN m ON m.fold = t.{fold} GROUP BY ALL)"""
 
 
-_LINES = "(SELECT l_returnflag AS y, l_orderkey * 10 + l_linenumber AS k, l_quantity AS q, l_extendedprice / 1000 AS d, date_diff('day', DATE '1992-01-01', l_shipdate::DATE) / 100.0::DOUBLE AS x FROM lineitem)"
+_VISITS = "(SELECT event_type AS y, event_id AS k, user_id::DOUBLE AS q, value AS d, hour(ts)::DOUBLE AS x FROM events)"
 
 
-def lines(t):
-    days = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date"))
-    return t.lineitem.select(F.col("l_returnflag").alias("y"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), F.col("l_quantity").alias("q"), (F.col("l_extendedprice") / 1000).alias("d"), (days / 100.0).alias("x"))
+def visits(t):
+    return t.events.select(F.col("event_type").alias("y"), F.col("event_id").alias("k"), F.col("user_id").cast("double").alias("q"), F.col("value").alias("d"), F.hour("ts").cast("double").alias("x"))
 
 
-_PLACED = f"(SELECT *, (row_number() OVER (PARTITION BY y ORDER BY md5(k || '|42'), k) - 1) % 5 AS own FROM {_LINES})"
+_PLACED = f"(SELECT *, (row_number() OVER (PARTITION BY y ORDER BY md5(k || '|42'), k) - 1) % 5 AS own FROM {_VISITS})"
 _TRAINED = f"(SELECT f.fold, s.* FROM range(5) f(fold) JOIN {_PLACED} s ON s.own <> f.fold)"
 
 
@@ -302,13 +301,13 @@ _TRAINED = f"(SELECT f.fold, s.* FROM range(5) f(fold) JOIN {_PLACED} s ON s.own
   f AS (SELECT fold, sum(tp) / sum(support) AS accuracy, avg(CASE WHEN called > 0 THEN tp / called ELSE 0 END) AS precision, avg(CASE WHEN support > 0 THEN tp / support ELSE 0 END) AS recall, avg(2 * tp / (called + support)) AS f1 FROM r GROUP BY 1)
   SELECT metric, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, round(min(value), 4) AS min, round(max(value), 4) AS max, count(*) AS folds FROM (UNPIVOT f ON accuracy, precision, recall, f1 INTO NAME metric VALUE value) GROUP BY 1""")
 def _(t):
-    return rounded(C.cross_validate_classifier(lines(t), "naive_bayes", "y", ["q", "d", "x"], ["k"]), 4)
+    return rounded(C.cross_validate_classifier(visits(t), "naive_bayes", "y", ["q", "d", "x"], ["k"]), 4)
 
 
-@query("b26_class_shares", f"""WITH s AS (SELECT * FROM {_bayes_sql(f'(SELECT 0 AS fold, * FROM {_LINES})', f'(SELECT 0 AS fold, * FROM {_LINES})', 'fold')})
+@query("b26_class_shares", f"""WITH s AS (SELECT * FROM {_bayes_sql(f'(SELECT 0 AS fold, * FROM {_VISITS})', f'(SELECT 0 AS fold, * FROM {_VISITS})', 'fold')})
   SELECT p AS class, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM s GROUP BY 1""")
 def _(t):
-    rows = lines(t)
+    rows = visits(t)
     return rounded(C.class_shares(C.fit_classifier(rows, "naive_bayes", "y", ["q", "d", "x"]).predict(rows)))
 
 
