@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featherloom.llm.tables import fresh, only
-from featherloom.llm.words import LOWER, SPACE, Block, blocks, prefix_hashes, span_hashes, tidied, word_spans
+from featherloom.llm.words import LOWER, SPACE, Block, blocks, prefix_hashes, release, span_hashes, tidied, word_spans
 
 BUCKETS = 1 << 12
 FACTORS = 8
@@ -197,7 +197,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, text: str =
     number = table.column("number").combine_chunks()
     bounds = np.cumsum(np.append(0, pa.compute.list_value_length(number).to_numpy()))
     y = (table.column("quality").to_numpy() > 0).astype(np.float64)
-    return fit(bounds, number.flatten().to_numpy(), table.column("x").combine_chunks().flatten().to_numpy(), y)
+    machine = fit(bounds, number.flatten().to_numpy(), table.column("x").combine_chunks().flatten().to_numpy(), y)
+    del table, number, bounds, y
+    release()
+    return machine
 
 
 def _columns(docs: DataFrame, text: str) -> DataFrame:

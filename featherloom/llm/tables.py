@@ -17,7 +17,7 @@ def partitions(spark: SparkSession) -> int:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The table written to the shared folder and read again."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
