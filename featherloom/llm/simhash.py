@@ -16,12 +16,14 @@ per fingerprint.
 Links are between distinct fingerprints; documents are attached at the end, so copies are never paired.
 
 Similar texts (``similar_links``, used by ``first_of_each`` with a threshold) are found from their distinct five-word shingles alone, for
-every distinct text and at any number of bits apart. Shingles are ordered by their hash; two texts with a similarity of t share one of
-their n - ceil(t * n) + 1 smallest at least, so each text is filed under these. Texts of one file are compared by size, by the parities of their
+every distinct text and at any number of bits apart. Shingles are ordered, rare ones first; two texts with a similarity of t share one of
+their first n - ceil(t * n) + 1 at least, whatever the order, so each text is filed under these. How common a shingle is comes from ``SLOTS`` counters that
+all texts add to (``_commonness``): a fixed size for any corpus, and a shingle that shares its counter with another is only put later. Thus a footer of
+many texts is nobody's file unless it is most of the text. Texts of one file are compared by size, by the parities of their
 shingles in 512 classes and then by the shingles; the first two refuse no similar pair. Wanted are the components, not all pairs: where a file has more than ``crowd``
 texts, each text is first compared with its best centre, then with a centre by chance in each of its files, and what that connects
 needs no further look. After at most ``TURNS`` such turns all pairs of a file that are not connected yet are compared, so the result is exact.
-A file of m texts that stay apart costs m * m / 2 comparisons of sizes and parities within one join.
+A file of m texts that stay apart costs m * m / 2 comparisons of sizes and parities within one join; that takes m texts whose shingles are nearly all common.
 
 Null or empty texts have fingerprint 0 and are linked like any other. Null ids take part and get
 their component's smallest id (null if it has none). Repeated rows are kept by ``near_duplicates``.
@@ -50,6 +52,7 @@ SIMILAR_CROWD = 16
 PARITY = 512
 WIDE, LONG = 4096, 700
 TURNS, FEW = 4, 0.01
+SLOTS = 1 << 18
 _VOTES = 1 << 16
 
 
@@ -129,9 +132,36 @@ def close_links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     return links.unionByName(stars)
 
 
+def _slots(h: np.ndarray) -> np.ndarray:
+    return (h >> 32) & (SLOTS - 1)
+
+
+def _commonness(docs: DataFrame, text: str, width: int) -> np.ndarray:
+    """A class from 0 (at most as common as half of all) to 255 for each of the ``SLOTS`` counters of distinct shingles per text.
+
+    Counters grow in eighths of powers of two over their median, so what many texts share stands out however large the corpus is.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for b in blocks(batch):
+                total += np.bincount(_slots(np.concatenate(_shingle_sets(b, width))), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        for k in range(0, len(at), 1 << 14):
+            some = at[k: k + (1 << 14)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["slot", "n"])
+
+    counts = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(tidied(run), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(SLOTS, np.int64)
+    total[counts["slot"].to_numpy()] = counts["n"].to_numpy()
+    over = np.maximum(total - int(np.median(total)), 0)
+    return np.minimum(8 * np.log2(1 + over), 255).astype(np.uint8)
+
+
 def _texts(docs: DataFrame, text: str, words: int, threshold: float | None, width: int) -> DataFrame:
     """(doc_id, key, fingerprint, size, prefix, bits) of every row: ``key`` stands for the text, ``size`` is its number of distinct shingles,
-    ``prefix`` the smallest of them, one of which any similar text has among its own smallest, and bit i of ``bits`` the parity of those that fall on i.
+    ``prefix`` the first of them, rare ones first, one of which any similar text has among its own first, and bit i of ``bits`` the parity of those that fall on i.
     ``wide`` is the same for long texts in more classes. Without a threshold the last four are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,12 +173,13 @@ def _texts(docs: DataFrame, text: str, words: int, threshold: float | None, widt
                     yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(b.first, b.rows) for c in ("doc_id", "key")), prints, *none], names)
                     continue
                 sets = _shingle_sets(b, width)
-                heads = [h[: len(h) - math.ceil(threshold * len(h) - 1e-9) + 1] for h in sets]
+                heads = [h[np.argsort(common[_slots(h)], kind="stable")[: len(h) - math.ceil(threshold * len(h) - 1e-9) + 1]] for h in sets]
                 wide = pa.array([_parity(h, WIDE) if len(h) > LONG else None for h in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).slice(b.first, b.rows) for c in ("doc_id", "key")), pa.array(_fingerprints(b.data, b.offsets, words).view(np.int64)),
                      pa.array([len(h) for h in sets], pa.int64()), _lists(heads), _lists([_parity(h, PARITY) for h in sets]), wide], names)
 
+    common = None if threshold is None else _commonness(docs, text, width)
     names = ["doc_id", "key", "fingerprint", "size", "prefix", "bits", "wide"]
     rows = docs.select("doc_id", F.col(f"`{text}`").alias("text"), _key(text).alias("key"))
     return rows.mapInArrow(tidied(run), "doc_id long, key long, fingerprint long, size long, prefix array<long>, bits array<long>, wide array<long>")

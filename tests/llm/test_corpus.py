@@ -166,6 +166,19 @@ def test_similar_texts_at_any_distance(spark):
 
 
 
+def test_common_passages_file_nobody(spark):
+    """A passage of many texts is in no text's file, so texts that stay apart are not compared; near copies under it are still found."""
+    rng, vocabulary = random.Random(12), [f"w{i}" for i in range(3000)]
+    footer = rng.choices(vocabulary, k=40)
+    bodies = [rng.choices(vocabulary, k=100) for _ in range(300)]
+    texts = [" ".join(b + footer) for b in bodies] + [changed(rng, b + footer, [7], vocabulary) for b in bodies[:20]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = simhash._texts(docs.withColumnRenamed("text", "body"), "body", 3, 0.8, 5).select("prefix").collect()
+    files = collections.Counter(h for r in rows for h in r["prefix"])
+    assert max(files.values()) == 2
+    assert kept_ids(spark, texts) == set(range(300))
+
+
 def test_similar_texts_with_repeats(spark):
     """Repeated lines move the fingerprint but not the set of shingles; each text of a fingerprint is compared."""
     rng, vocabulary = random.Random(7), [f"w{i}" for i in range(3000)]
