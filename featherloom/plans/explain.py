@@ -200,17 +200,20 @@ def coalitions(n: int, most: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shapley_values(
-    df: DataFrame, predict: Predict, features: Sequence[str], keys: Sequence[str], samples: int = 256, seed: int = 42, background: DataFrame | None = None, method: str = "auto"
+    df: DataFrame, predict: Predict, features: Sequence[str], keys: Sequence[str], samples: int = 256, seed: int = 42, background: DataFrame | None = None, method: str = "auto",
+    permutations: int | None = None,
 ) -> DataFrame:
     """Shapley value of every feature for every row.
 
     ``kernel``: absent features stand at the background's mean; the values are the weighted least squares fit to
     the predictions of at most ``samples`` coalitions, exact if all of them are used (see :func:`coalitions`). ``paths``, for models
     made of trees: absent features leave a split open, taken in the training rows' shares; exact, by polynomials over the paths,
-    and without copies of rows. ``auto`` takes paths for trees.
+    and without copies of rows. ``auto`` takes paths for trees. A number of ``permutations`` asks for as many
+    coalitions as so many orders of the features pass.
     """
     one_of(method, ("auto", "kernel", "paths"), "method")
     need_columns(df, [*features, *keys])
+    samples = samples if permutations is None else permutations * (len(features) + 1)
     if method == "paths" or method == "auto" and trees.is_tree_model(predict):
         found = trees.tree_shapley(df, trees.read_ensemble(df, predict), keys)
         return found.where(F.col("feature").isin(list(features)))

@@ -9,15 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 from math import factorial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featherloom.operators.ordered import q
-from featherloom.session import new_path
+from featherloom.session import new_path, shuffle_partitions
 
 #: Last stages of fitted pipelines whose trees are read.
 TREES = ("DecisionTreeRegressionModel", "RandomForestRegressionModel", "GBTRegressionModel")
@@ -40,6 +41,15 @@ class Ensemble:
     features: list[str]
     leaves: list[Leaf]
 
+    @cached_property
+    def cuts(self) -> list[np.ndarray]:
+        """Per feature the ends of all leaves' intervals."""
+        ends: list[list[float]] = [[] for _ in self.features]
+        for leaf in self.leaves:
+            for f, low, high in zip(leaf.features.tolist(), leaf.above.tolist(), leaf.upto.tolist()):
+                ends[f] += [x for x in (low, high) if np.isfinite(x)]
+        return [np.unique(e) for e in ends]
+
     @property
     def base(self) -> float:
         """The prediction when nothing is known: every split taken in the shares of the training rows."""
@@ -103,25 +113,46 @@ def shapley(ensemble: Ensemble, table: np.ndarray) -> np.ndarray:
     absent. The sum over all coalitions of the other features, weighted by their size, is a sum over the coefficients of the
     polynomial prod(share + indicator t): work grows with the square of a path's features, not with the number of subsets.
     """
-    out = np.zeros((len(table), len(ensemble.features)))
+    # Rows in the same cell of all cuts lie in the same leaves, so a cell is worked out once.
+    cells, back = _cells(ensemble, table)
+    out = np.zeros((len(cells), len(ensemble.features)))
     for leaf in ensemble.leaves:
-        d = len(leaf.features)
-        if not d:
-            continue
-        weight = np.array([factorial(k) * factorial(d - 1 - k) / factorial(d) for k in range(d)])
-        # Rows that agree on the path's indicators have the same values; there are few patterns.
-        patterns, back = np.unique(_holds(leaf, table), axis=0, return_inverse=True)
-        inside = patterns.astype(float)
-        values = np.zeros_like(inside)
-        for i in range(d):
-            poly = np.zeros((len(inside), d))
-            poly[:, 0] = 1.0
-            for n, j in enumerate(j for j in range(d) if j != i):
-                poly[:, 1: n + 2] = poly[:, 1: n + 2] * leaf.share[j] + poly[:, : n + 1] * inside[:, j: j + 1]
-                poly[:, 0] *= leaf.share[j]
-            values[:, i] = leaf.value * (inside[:, i] - leaf.share[i]) * (poly @ weight)
-        out[:, leaf.features] += values[back.ravel()]
-    return out
+        if len(leaf.features):
+            out[:, leaf.features] += _leaf_values(leaf, _holds(leaf, cells))
+    return out[back]
+
+
+def _cells(ensemble: Ensemble, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One row of each occupied cell between the cuts of the ensemble, and the cell of every row."""
+    code = np.zeros(len(table), np.int64)
+    for f, cuts in enumerate(ensemble.cuts):
+        if len(cuts):
+            place = np.where(np.isnan(table[:, f]), len(cuts) + 1, np.searchsorted(cuts, table[:, f], "left"))
+            code = np.unique(code * (len(cuts) + 2) + place, return_inverse=True)[1].ravel()  # numbered anew, so codes never overflow
+    _, first, back = np.unique(code, return_index=True, return_inverse=True)
+    return table[first], back.ravel()
+
+
+def _leaf_values(leaf: Leaf, holds: np.ndarray) -> np.ndarray:
+    """(rows, features of the path): the share of each feature in a leaf's value."""
+    d = len(leaf.features)
+    weight = np.array([factorial(k) * factorial(d - 1 - k) / factorial(d) for k in range(d)])
+    # Rows that agree on the path's indicators have the same values; there are few patterns.
+    if d < 63:
+        _, first, back = np.unique(holds @ (1 << np.arange(d, dtype=np.int64)), return_index=True, return_inverse=True)
+        patterns = holds[first]
+    else:
+        patterns, back = np.unique(holds, axis=0, return_inverse=True)
+    inside = patterns.astype(float)
+    values = np.zeros_like(inside)
+    for i in range(d):
+        poly = np.zeros((len(inside), d))
+        poly[:, 0] = 1.0
+        for n, j in enumerate(j for j in range(d) if j != i):
+            poly[:, 1: n + 2] = poly[:, 1: n + 2] * leaf.share[j] + poly[:, : n + 1] * inside[:, j: j + 1]
+            poly[:, 0] *= leaf.share[j]
+        values[:, i] = leaf.value * (inside[:, i] - leaf.share[i]) * (poly @ weight)
+    return values[back.ravel()]
 
 
 def inputs(features: Sequence[str]) -> list[Column]:
@@ -129,6 +160,10 @@ def inputs(features: Sequence[str]) -> list[Column]:
     return [F.coalesce(q(f).cast("double"), F.lit(0.0)).alias(f"__x{i}") for i, f in enumerate(features)]
 
 
+def _tasks(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark))
+
+
 def _matrix(batch: pa.RecordBatch, first: int, n: int) -> np.ndarray:
     return np.column_stack([batch.column(first + i).to_numpy(zero_copy_only=False) for i in range(n)]) if n else np.zeros((batch.num_rows, 0))
 
@@ -136,7 +171,8 @@ def _matrix(batch: pa.RecordBatch, first: int, n: int) -> np.ndarray:
 def tree_shapley(df: DataFrame, ensemble: Ensemble, keys: Sequence[str]) -> DataFrame:
     """(*keys, feature, shapley_value); each row is read once."""
     names = ensemble.features
-    rows = df.select(*[q(k) for k in keys], *inputs(names))
+    # A table of few files would be a few long tasks; the columns read are dealt evenly.
+    rows = df.select(*[q(k) for k in keys], *inputs(names)).repartition(_tasks(df.sparkSession))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

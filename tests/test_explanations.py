@@ -120,3 +120,18 @@ def test_tree_explanations_copy_no_rows(rows):
     model = ML.fit_model(rows, "decision_tree", "y", NAMES, {"max_depth": 4})
     text = Z.shapley_values(rows, model.predict, NAMES, ["k"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in text and text.count("Generate") == 1  # the one generator spreads the finished values
+
+
+def test_tree_values_work_out_each_cell_once(monkeypatch):
+    leaves = [trees.Leaf(2.0, np.array([0, 1]), np.array([-np.inf, 1.0]), np.array([0.5, np.inf]), np.array([0.25, 0.5])), trees.Leaf(-1.0, np.array([1]), np.array([-np.inf]), np.array([1.0]), np.array([0.5]))]
+    ensemble = trees.Ensemble(["a", "b", "c"], leaves)
+    table = np.random.default_rng(3).normal(0.5, 1, (5000, 3))
+    table[:4] = [[0.5, 1.0, 0], [0.5, 1.5, 0], [np.nan, 2, 0], [0, np.nan, 0]]
+    seen, holds = [], trees._holds
+    monkeypatch.setattr(trees, "_holds", lambda leaf, rows: seen.append(len(rows)) or holds(leaf, rows))
+    got = trees.shapley(ensemble, table)
+    assert max(seen) <= 16  # and not 5,000 rows a leaf
+    for row, values in list(zip(table, got))[:40]:
+        inside = [leaf.value * np.prod([float(row[f] > lo and row[f] <= hi) if f in known else share for f, lo, hi, share in zip(leaf.features, leaf.above, leaf.upto, leaf.share)]) for known in ((), (0,), (1,), (0, 1)) for leaf in leaves]
+        none, a, b, both = (sum(inside[k: k + 2]) for k in (0, 2, 4, 6))
+        assert values == pytest.approx([(a - none + both - b) / 2, (b - none + both - a) / 2, 0.0])
