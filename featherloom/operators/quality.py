@@ -10,7 +10,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -221,20 +221,18 @@ _TREES, _SAMPLE = 100, 256
 def isolation_forests(df: DataFrame, columns: Sequence[str], trees: int = _TREES, sample: int = _SAMPLE, seed: int = 42) -> dict[str, list[tuple[np.ndarray, np.ndarray]]]:
     """Per column its trees as step functions of the value: (cuts, depths), one depth more than cuts.
 
-    One scan draws the values of all columns: of each the ``trees * sample`` with the smallest hash of row and seed, so the
-    same rows give the same forest however they are partitioned. A column's trees are grown in one task from that bounded draw.
+    A tree is grown from ``sample`` values, as the method has it; scores and thresholds are those of all rows. Drawn are, of each column, the
+    ``trees * sample`` values with the smallest hash of row and seed, so the same rows give the same forest however they are partitioned.
+    A column's trees are grown in one task from that draw, whose size does not depend on the table's.
     Columns with fewer than ten values have no forest.
     """
     want = trees * sample
-    hashed = [f.name for f in df.schema.fields if not {"map", "variant"} & set(re.findall(r"\w+", f.dataType.simpleString()))]
-    row = F.xxhash64(F.lit(seed), *[q(c) for c in hashed])
-    items = F.array(*[F.struct(F.lit(i).alias("col"), q(c).cast("double").alias("x")) for i, c in enumerate(columns)])
-    each = df.select(F.explode(items).alias("i"), row.alias("h")).select("i.*", "h").where("x IS NOT NULL")
-    first = Window.partitionBy("col").orderBy("h", "x")
-    drawn = each.withColumn("at", F.row_number().over(first)).where(F.col("at") <= want)  # cut in every task before the shuffle
+    drawn = _smallest_hashes(df, columns, want, seed)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pool = pdf.sort_values(["h", "x"])["x"].to_numpy()
+        pdf = pdf.sort_values(["h", "x"])
+        n = np.minimum(pdf["n"].to_numpy(), want)
+        pool = np.repeat(pdf["x"].to_numpy(), np.clip(want - (np.cumsum(n) - n), 0, n))
         col = int(pdf["col"].iloc[0])
         out = []
         if len(pool) >= LEAST_VALUES:
@@ -252,6 +250,31 @@ def isolation_forests(df: DataFrame, columns: Sequence[str], trees: int = _TREES
     return found
 
 
+def _smallest_hashes(df: DataFrame, columns: Sequence[str], want: int, seed: int) -> DataFrame:
+    """(col, h, x, n): per column at least its ``want`` values with the smallest row hashes (all if there are fewer), equal rows counted.
+
+    Hashes spread evenly, so those below a bound are few times ``want``. The bound is a share of the hash range by the column's number of
+    values; where equal rows leave a column short it is widened, until enough is below it or all is.
+    """
+    hashed = [f.name for f in df.schema.fields if not {"map", "variant"} & set(re.findall(r"\w+", f.dataType.simpleString()))]
+    row = F.xxhash64(F.lit(seed), *[q(c) for c in hashed])
+    counts = wide_aggregate(df, {str(i): F.count(q(c).cast("double")) for i, c in enumerate(columns)})
+    share = {i: (want + 10 * want**0.5) / max(counts[str(i)], 1) for i in range(len(columns))}
+    parts, left = [], list(share)
+    while left:
+        bounds = {i: min(int(share[i] * 2**64) - 2**63, 2**63 - 1) for i in left}
+        items = F.array(*[F.when(F.col("__h") <= F.lit(bounds[i]), F.struct(F.lit(i).alias("col"), q(columns[i]).cast("double").alias("x"))) for i in left])
+        few = df.withColumn("__h", row).where(F.col("__h") <= F.lit(max(bounds.values())))
+        each = few.select(F.explode(items).alias("__i"), F.col("__h").alias("h")).select("__i.col", "h", "__i.x").where("x IS NOT NULL")
+        found = materialise(each.groupBy("col", "h", "x").agg(F.count(F.lit(1)).alias("n")), "drawn")
+        got = {r["col"]: r["n"] for r in found.groupBy("col").agg(F.sum("n").alias("n")).collect()}  # a row per column
+        short = [i for i in left if got.get(i, 0) < min(want, counts[str(i)])]
+        parts.append(found.where(~F.col("col").isin(short)) if short else found)
+        share |= {i: 4 * share[i] for i in short}
+        left = short
+    return reduce(DataFrame.unionByName, parts)
+
+
 def grown_tree(values: np.ndarray, rng: np.random.Generator) -> tuple[list[float], list[float]]:
     """Random cuts of sorted values down to single values, equal values or the depth limit; leaves count their expected further depth."""
     limit = int(np.ceil(np.log2(max(len(values), 2))))

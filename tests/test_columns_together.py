@@ -130,6 +130,45 @@ def test_isolation_of_all_columns(rows):
     assert few.where("is_outlier").count() == 0
 
 
+def test_isolation_draws_few_rows_before_the_shuffle(spark):
+    df = spark.range(60_000).select((F.col("id") % 977).cast("double").alias("a"), F.when(F.col("id") % 3 == 0, F.col("id") / 7).alias("b"), F.when(F.col("id") < 20_000, F.lit(1.0)).alias("c"))
+    same = df.unionByName(spark.range(50_000).select(F.lit(5.0).alias("a"), F.lit(None).cast("double").alias("b"), F.lit(None).cast("double").alias("c")))  # one row 50,000 times
+    hashed = same.withColumn("h", F.xxhash64(F.lit(42), "a", "b", "c")).toPandas()
+    drawn = Q._smallest_hashes(same, ["a", "b", "c"], 200, 42).toPandas()
+    for i, c in enumerate("abc"):
+        own = drawn[drawn["col"] == i].sort_values(["h", "x"])
+        values = [x for x, n in zip(own["x"], own["n"]) for _ in range(min(n, 200))][:200]
+        assert values == hashed.dropna(subset=[c]).sort_values(["h", c])[c].tolist()[:200]
+        assert len(own) < 2000  # and not every row of the table
+
+
+def by_links(rows):
+    """(dataset, ancestor, least distance) by walking the links."""
+    sources = {}
+    for e, s in rows:
+        sources.setdefault(e, set()).add(s)
+    out = set()
+    for e in sources:
+        seen, now, d = set(), {e}, 0
+        while now:
+            out |= {(e, a, d) for a in now}
+            seen |= now
+            now = {s for a in now for s in sources[a] if s is not None and s in sources} - seen
+            d += 1
+    return out
+
+
+@pytest.mark.parametrize("extra", [[], [(100, 101), (101, 102), (102, 100), (103, 101)], [(1, 0), (40, 0), (40, None), (7, 99_999)], [(300, 300)]])
+def test_lineage_of_all_datasets(spark, monkeypatch, extra):
+    rows = [(i, i - 1 if i % 41 else None) for i in range(82)] + [(200, 12), (201, 12), (202, None), (None, 3)] + extra
+    table = spark.createDataFrame(rows, "entity_id long, source_dataset_id long")
+    merged, of_graph = [], catalog._lineage_of_graph
+    monkeypatch.setattr(catalog, "_lineage_of_graph", lambda *parts: merged.append(1) or of_graph(*parts))
+    taken = [tuple(r) for r in catalog.lineage(table).collect()]
+    assert len(taken) == len(set(taken)) and set(taken) == by_links(rows)
+    assert bool(merged) == bool(extra)  # without cycles and second sources no pair is merged
+
+
 def test_lineage_of_a_long_chain_and_a_cycle(spark):
     n = 3000
     rows = [(i, i - 1 if i else None, f"n{i}", "p") for i in range(n)] + [(n + 1, n + 2, "x", "p"), (n + 2, n + 1, "y", None)]
