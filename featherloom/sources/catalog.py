@@ -5,6 +5,8 @@ Catalogue columns: entity_id, name, is_transformed, source_dataset_id, pipeline_
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,12 +42,46 @@ def derived_from(catalogue: DataFrame, dataset_id) -> DataFrame:
 def lineage(catalogue: DataFrame) -> DataFrame:
     """(entity_id, ancestor_id, distance) for every dataset, itself at distance 0; cycles are harmless.
 
-    Distances double each round, so a chain of n datasets takes about log2(n) joins.
+    Distances double each round, so a chain of n datasets takes about log2(n) joins. Where each dataset has one source and there
+    is no cycle, every pair is made exactly once and nothing is compared with the pairs of earlier rounds.
+    """
+    links = materialise(catalogue.select("entity_id", "source_dataset_id"), "lineage-links")
+    known = links.select("entity_id").distinct()
+    jump = links.where("source_dataset_id IS NOT NULL").select("entity_id", F.col("source_dataset_id").alias("ancestor_id")).distinct()
+    jump = materialise(lookup_join(jump, known.select(F.col("entity_id").alias("ancestor_id")), ["ancestor_id"], "inner"), "lineage-jumps")
+    known = materialise(known, "lineage-known")
+    if jump.groupBy("entity_id").count().where("count > 1").isEmpty():
+        found = _lineage_of_chains(known, jump)
+        if found is not None:
+            return found
+    return _lineage_of_graph(known, jump)
+
+
+def _lineage_of_chains(known: DataFrame, jump: DataFrame) -> DataFrame | None:
+    """The pairs where a dataset has at most one source; None as soon as one turns out to be its own ancestor.
+
+    The ancestors at distances from ``step`` to 2 * ``step`` - 1 are those nearer than ``step`` of the ancestor at
+    ``step``. A cycle of length n shows in the round of distance n, so no dataset gets more than twice its distinct pairs.
     """
-    known = catalogue.select("entity_id").distinct()
+    rounds = [known.select("entity_id", F.col("entity_id").alias("ancestor_id"), F.lit(0).cast("bigint").alias("distance"))]
+    step = 1
+    while not jump.isEmpty():
+        ahead = jump.withColumnRenamed("ancestor_id", "a")
+        nearer = reduce(DataFrame.unionByName, rounds).select(F.col("entity_id").alias("a"), "ancestor_id", "distance")
+        further = lookup_join(ahead, nearer, ["a"], "inner").select("entity_id", "ancestor_id", (F.col("distance") + step).alias("distance"))
+        further = materialise(further, "lineage")
+        if not further.where("entity_id = ancestor_id").isEmpty():
+            return None
+        rounds.append(further)
+        jump = lookup_join(ahead, jump.select(F.col("entity_id").alias("a"), "ancestor_id"), ["a"], "inner").select("entity_id", "ancestor_id")
+        jump = materialise(jump, "lineage-jumps")
+        step *= 2
+    return reduce(DataFrame.unionByName, rounds)
+
+
+def _lineage_of_graph(known: DataFrame, jump: DataFrame) -> DataFrame:
+    """The pairs of any links: those of a round are merged with all earlier ones, the least distance stays."""
     pairs = known.select("entity_id", F.col("entity_id").alias("ancestor_id"), F.lit(0).cast("bigint").alias("distance"))
-    jump = catalogue.where("source_dataset_id IS NOT NULL").select("entity_id", F.col("source_dataset_id").alias("ancestor_id")).distinct()
-    jump = lookup_join(jump, known.select(F.col("entity_id").alias("ancestor_id")), ["ancestor_id"], "inner")
     step, before = 1, pairs.count()
     while True:
         # id -> a (step away), then a's ancestors
