@@ -5,10 +5,9 @@ Words (A-Z in lower case) are counted over the whole corpus. The most frequent o
 position is looked up and summed, passed through tanh, and predicts the token in two steps, its group of 64 and its
 place within the group, so a probability costs 128 outputs and not 4,096.
 
-Training uses windows at a fixed share of all positions, chosen by a hash of the words and the place in the text,
-so it grows with the corpus. The windows are dealt evenly to shards, every shard trains a copy of the
-network in numpy, the copies are averaged place by place in a table, and the next round starts from the average. The
-model's size is fixed; only the model comes to the driver.
+Training uses the window of every position of the corpus, each once. Stretches of tokens are dealt to rounds and evenly to shards, every shard
+of a round trains a copy of the network in numpy, the copies are averaged place by place in a table, and the next round
+starts from the average. The model's size is fixed; only the model comes to the driver.
 
 A document's score is the sum of the conditional log-probabilities of all its words; ``mean_logprob`` is that per word.
 Null and empty texts have no words: sum 0, mean null. Repeated rows and null ids are kept. An empty
@@ -19,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featherloom.llm.tables import only, stored
-from featherloom.llm.words import LOWER, Block, blocks, mixed, prefix_hashes, span_hashes, tidied, word_spans
+from featherloom.llm.words import LOWER, Block, blocks, prefix_hashes, span_hashes, tidied, word_spans
 
 TOKENS, GROUP, RARE = 4096, 64, 1024
 SIDE, HIDDEN = 3, 24
 EDGE = TOKENS  # stands for what is outside of the text
-SHARE = 64  # one position in so many is a training window
-SHARD = 80_000  # windows of a shard
-ROUNDS, RATE, BATCH = 3, 0.15, 256
-_STEP = 1 << 15
+SHARD = 1 << 21  # windows of a shard
+PACK = 4096  # positions dealt together
+ROUNDS, RATE, BATCH = 3, 0.15, 2048
+_STEP = 1 << 11
 
 
 @dataclass
@@ -73,42 +73,46 @@ class Network:
             z += self.tables[k][context[:, k]]
         return np.tanh(z)
 
+    def _outputs(self, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of groups and of places within the group."""
+        return h @ self.out[:, : TOKENS // GROUP] + self.group_bias, h @ self.out[:, TOKENS // GROUP:] + self.place_bias[group]
+
     def log_probabilities(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
-        z = self.hidden(context) @ self.out
         group, place = token // GROUP, token % GROUP
-        z[:, : TOKENS // GROUP] += self.group_bias
-        z[:, TOKENS // GROUP:] += self.place_bias[group]
         each = np.arange(len(token))
         total = np.zeros(len(token))
-        for part, index in ((z[:, : TOKENS // GROUP], group), (z[:, TOKENS // GROUP:], place)):
-            top = part.max(axis=1, keepdims=True)
-            total += part[each, index] - top[:, 0] - np.log(np.exp(part - top).sum(axis=1))
+        for z, index in zip(self._outputs(self.hidden(context), group), (group, place)):
+            z -= z.max(axis=1, keepdims=True)
+            total += z[each, index]
+            total -= np.log(np.exp(z, out=z).sum(axis=1))
         return total
 
-    def learn(self, windows: np.ndarray, rate: float) -> None:
-        """One pass of AdaGrad over windows (token in the middle column)."""
+    def learn(self, stream: np.ndarray, places: np.ndarray, rate: float) -> None:
+        """One pass of AdaGrad over the windows around ``places`` of a stream of tokens."""
         seen = [np.full(p.shape, 1e-2, np.float32) for p in self.parts()]
-        for k in range(0, len(windows), BATCH):
-            w = windows[k: k + BATCH].astype(np.int64)
-            token, context = w[:, SIDE], np.delete(w, SIDE, axis=1)
-            group, place, each = token // GROUP, token % GROUP, np.arange(len(w))
+        around = np.delete(np.arange(-SIDE, SIDE + 1), SIDE)
+        table = np.arange(2 * SIDE) * (TOKENS + 1)
+        for k in range(0, len(places), BATCH):
+            at = places[k: k + BATCH]
+            token, context = stream[at].astype(np.int64), stream[at[:, None] + around].astype(np.int64)
+            group, place, each = token // GROUP, token % GROUP, np.arange(len(at))
             h = self.hidden(context)
-            z = h @ self.out
-            z[:, : TOKENS // GROUP] += self.group_bias
-            z[:, TOKENS // GROUP:] += self.place_bias[group]
-            for part, index in ((z[:, : TOKENS // GROUP], group), (z[:, TOKENS // GROUP:], place)):
-                part -= part.max(axis=1, keepdims=True)
-                np.exp(part, out=part)
-                part /= part.sum(axis=1, keepdims=True)
-                part[each, index] -= 1
-            z /= len(w)
+            outputs = self._outputs(h, group)
+            for z, index in zip(outputs, (group, place)):
+                z -= z.max(axis=1, keepdims=True)
+                np.exp(z, out=z)
+                z /= z.sum(axis=1, keepdims=True)
+                z[each, index] -= 1
+                z /= len(at)
+            z = np.concatenate(outputs, axis=1)
             dh = (z @ self.out.T) * (1 - h * h)
+            own = np.zeros((len(at), TOKENS // GROUP), np.float32)
+            own[each, group] = 1
             self._step(2, h.T @ z, seen, rate)
-            self._step(3, z[:, : TOKENS // GROUP].sum(axis=0), seen, rate)
+            self._step(3, outputs[0].sum(axis=0), seen, rate)
+            self._step(4, own.T @ outputs[1], seen, rate)
             self._step(1, dh.sum(axis=0), seen, rate)
-            self._rows(self.place_bias, seen[4], group, z[:, TOKENS // GROUP:], rate)
-            for p in range(2 * SIDE):
-                self._rows(self.tables[p], seen[0][p], context[:, p], dh, rate)
+            self._rows(self.tables.reshape(-1, HIDDEN), seen[0].reshape(-1, HIDDEN), (context + table).astype(np.uint16).ravel(), dh, rate)
 
     def _step(self, part: int, gradient: np.ndarray, seen: list[np.ndarray], rate: float) -> None:
         seen[part] += gradient * gradient
@@ -117,11 +121,15 @@ class Network:
 
     @staticmethod
     def _rows(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, gradient: np.ndarray, rate: float) -> None:
-        own, back = np.unique(rows, return_inverse=True)
-        total = np.zeros((len(own), gradient.shape[1]), np.float32)
-        np.add.at(total, back, gradient)
-        seen[own] += total * total
-        table[own] -= rate * total / np.sqrt(seen[own])
+        """Each row of the gradient counts for as many successive ``rows``."""
+        order = np.argsort(rows, kind="stable")
+        own = rows[order]
+        starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        total = np.add.reduceat(gradient[order // (len(rows) // len(gradient))], starts)
+        own = own[starts]
+        now = seen[own] + total * total
+        seen[own] = now
+        table[own] -= rate * total / np.sqrt(now)
 
 
 def _word_hashes(b: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -159,60 +167,63 @@ class Tokens:
         return np.where(self.words[at] == h, self.order[at], rare)
 
 
-def _contexts(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Tokens around each place (the middle column is the place itself), EDGE beyond a text's ends."""
-    n = len(tokens)
-    row_first = np.repeat(first[:-1], np.diff(first))
-    row_last = np.repeat(first[1:], np.diff(first))
-    at = np.arange(n)[:, None] + np.arange(-SIDE, SIDE + 1)[None, :]
-    inside = (at >= row_first[:, None]) & (at < row_last[:, None])
-    return np.where(inside, tokens[np.clip(at, 0, max(n - 1, 0))] if n else 0, EDGE)
+def _stream(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """All texts in a row, ``SIDE`` times EDGE before, between and after them."""
+    out = np.full(len(tokens) + SIDE * len(first), EDGE, "<u2")
+    out[np.arange(len(tokens)) + SIDE * np.repeat(np.arange(1, len(first)), np.diff(first))] = tokens
+    return out
 
 
-def training_windows(docs: DataFrame, words: np.ndarray, text: str = "text") -> DataFrame:
-    """(salt, windows): windows of a block's texts as unsigned 16-bit numbers, in small packs."""
+def training_packs(docs: DataFrame, words: np.ndarray, text: str = "text") -> DataFrame:
+    """(turn, tokens, n): every position of every text in stretches of ``PACK``, with the tokens around them, as unsigned 16-bit numbers, and the round each is dealt to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = Tokens(words)
+        token, done = Tokens(words), 0
         for batch in batches:
             for b in blocks(batch, text):
                 h, first = _word_hashes(b)
                 if not len(h):
                     continue
-                place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
-                pick = mixed(h + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                chosen = np.flatnonzero(pick % np.uint64(SHARE) == 0)
-                windows = _contexts(token(h), first)[chosen].astype("<u2")
-                packs = [windows[k: k + 256] for k in range(0, len(windows), 256)]
+                stream = _stream(token(h), first)
+                packs = [stream[k: k + PACK + 2 * SIDE] for k in range(0, len(stream) - 2 * SIDE, PACK)]
+                texts = [p.tobytes() for p in packs]
+                turns = [crc32(t, done + k) % ROUNDS for k, t in enumerate(texts)]
+                done += len(packs)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(pick[chosen[256 * k]] >> np.uint64(8)) & 0x7FFFFFFF for k in range(len(packs))], pa.int64()), pa.array([p.tobytes() for p in packs], pa.binary()),
-                     pa.array([len(p) for p in packs], pa.int64())], ["salt", "windows", "n"],
-                )
+                    [pa.array(turns, pa.int32()), pa.array(texts, pa.binary()), pa.array([int((p[SIDE: -SIDE] != EDGE).sum()) for p in packs], pa.int64())], ["turn", "tokens", "n"])
+
+    return only(docs, text).mapInArrow(tidied(run), "turn int, tokens binary, n long")
+
 
-    return only(docs, text).mapInArrow(tidied(run), "salt long, windows binary, n long")
+def _places(packs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The packs in a row and the places of the positions they were made for."""
+    stream = np.frombuffer(b"".join(packs), "<u2")
+    wanted = stream != EDGE
+    ends = np.cumsum([len(p) // 2 for p in packs])
+    for k in range(SIDE):
+        wanted[ends - 1 - k] = False
+        wanted[np.append(0, ends[:-1]) + k] = False
+    return stream, np.flatnonzero(wanted)
 
 
 def train(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, Network]:
     spark = docs.sparkSession
     words = vocabulary(docs, text)
-    windows = stored(training_windows(docs, words, text), "windows")
-    total = windows.agg(F.sum("n")).first()[0] or 0
+    packs = stored(training_packs(docs, words, text), "packs")
+    totals = {r["turn"]: r["n"] for r in packs.groupBy("turn").agg(F.sum("n").alias("n")).collect()}  # a row a round
     network = Network.new()
-    if not total:
-        return words, network
-    shards = -(-total // SHARD)
-    dealt = windows.repartition(shards, "salt", F.xxhash64("windows"))
     size = network.flat().size
-    for turn in range(ROUNDS):
+    for turn in sorted(totals):
+        dealt = packs.where(F.col("turn") == turn).select("tokens").repartition(-(-totals[turn] // SHARD) or 1)
         start = spark.sparkContext.broadcast(network.flat())  # the model's size is fixed
 
         def run(batches: Iterator[pa.RecordBatch], start=start, rate=RATE / (turn + 1)) -> Iterator[pa.RecordBatch]:
-            packs = sorted(x for batch in batches for x in batch.column("windows").to_pylist())
-            if not packs:
+            own = sorted(x for batch in batches for x in batch.column("tokens").to_pylist())
+            if not own:
                 return
-            own = np.frombuffer(b"".join(packs), "<u2").reshape(-1, 2 * SIDE + 1)
+            stream, places = _places(own)
             network = Network.of(start.value)
-            network.learn(own[np.random.default_rng(5).permutation(len(own))], rate)
+            network.learn(stream, np.random.default_rng(5).permutation(places), rate)
             flat = network.flat()
             # Places that no window of the shard touched stay with the average of the others.
             moved = np.flatnonzero(flat != start.value)
@@ -235,14 +246,16 @@ def score(docs: DataFrame, words: np.ndarray, network: Network, text: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, flat = model.value
         token, network = Tokens(words), Network.of(flat)
+        around = np.delete(np.arange(-SIDE, SIDE + 1), SIDE)
         for batch in batches:
             for b in blocks(batch, text, 1 << 20):
                 h, first = _word_hashes(b)
-                windows = _contexts(token(h), first)
+                stream = _stream(token(h), first)
+                places = np.flatnonzero(stream != EDGE)
                 log_p = np.zeros(len(h) + 1)
                 for k in range(0, len(h), _STEP):
-                    w = windows[k: k + _STEP]
-                    log_p[k + 1: k + 1 + len(w)] = network.log_probabilities(np.delete(w, SIDE, axis=1), w[:, SIDE])
+                    at = places[k: k + _STEP]
+                    log_p[k + 1: k + 1 + len(at)] = network.log_probabilities(stream[at[:, None] + around].astype(np.int64), stream[at].astype(np.int64))
                 total = np.cumsum(log_p)
                 sums, n = total[first[1:]] - total[first[:-1]], np.diff(first)
                 means = pa.array(sums / np.maximum(n, 1), mask=n == 0)

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -406,6 +407,23 @@ def test_pseudo_likelihood(spark, docs):
     assert len(odd) == len(ROWS) and all((r["mean_logprob"] is None) == (r["n_words"] == 0) for r in odd)
 
 
+def test_pseudo_likelihood_learns_from_every_position(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "PACK", 16)
+    texts = [" ".join(f"w{(7 * k + j) % 50}" for j in range(k)) for k in (0, 1, 2, 5, 40, 90)] + [None, "  ", "w1 w2 w3"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = lm_score.vocabulary(table)
+    packs = lm_score.training_packs(table, words).collect()
+    stream, places = lm_score._places([bytes(r["tokens"]) for r in packs])
+    assert len(places) == sum(r["n"] for r in packs) == 141 and {r["turn"] for r in packs} <= set(range(lm_score.ROUNDS))
+    token = lm_score.Tokens(words)
+    want = []
+    for t in texts:
+        h = lm_score._word_hashes(next(lm_score.blocks(pa.RecordBatch.from_pydict({"text": pa.array([t], pa.string())}), "text")))[0]
+        own = [lm_score.EDGE] * 3 + token(h).tolist() + [lm_score.EDGE] * 3
+        want += [own[k: k + 7] for k in range(len(h))]
+    assert sorted(stream[p - 3: p + 4].tolist() for p in places) == sorted(want)
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
