@@ -29,12 +29,20 @@ from featherloom.llm.tables import only, stored
 from featherloom.llm.words import LOWER, Block, blocks, prefix_hashes, span_hashes, tidied, word_spans
 
 TOKENS, GROUP, RARE = 4096, 64, 1024
+GROUPS = TOKENS // GROUP
 SIDE, HIDDEN = 3, 24
 EDGE = TOKENS  # stands for what is outside of the text
 SHARD = 1 << 21  # windows of a shard
 PACK = 4096  # positions dealt together
+CHUNK = 8192  # places of the network averaged together
 ROUNDS, RATE, BATCH = 3, 0.15, 2048
-_STEP = 1 << 11
+_TEXT, _HELD = 1 << 18, 1 << 22  # bytes of text hashed at a time, words counted at a time
+RUN = 64  # positions in a row that a batch takes together
+LARGE = 80.0  # of outputs: exp of 64 such numbers together is far below the largest 32-bit float
+_STEP, _FEW, _LEAD = 1 << 11, 16, np.uint64(64 - 18)
+_SHIFTS = np.delete(np.arange(2 * SIDE + 1), SIDE)  # of the tokens around a window's middle from its start
+_SLOTS = 2 * SIDE - _SHIFTS
+_HALVES = np.repeat(np.eye(2, dtype=np.float32), [GROUPS, GROUP], axis=0)  # sums groups and places
 
 
 @dataclass
@@ -50,7 +58,7 @@ class Network:
         rng = np.random.default_rng(11)
         return cls(
             rng.normal(0, 0.1, (2 * SIDE, TOKENS + 1, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32),
-            rng.normal(0, 0.1, (HIDDEN, TOKENS // GROUP + GROUP)).astype(np.float32), np.zeros(TOKENS // GROUP, np.float32), np.zeros((TOKENS // GROUP, GROUP), np.float32),
+            rng.normal(0, 0.1, (HIDDEN, GROUPS + GROUP)).astype(np.float32), np.zeros(GROUPS, np.float32), np.zeros((GROUPS, GROUP), np.float32),
         )
 
     def parts(self) -> list[np.ndarray]:
@@ -73,46 +81,106 @@ class Network:
             z += self.tables[k][context[:, k]]
         return np.tanh(z)
 
-    def _outputs(self, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of groups and of places within the group."""
-        return h @ self.out[:, : TOKENS // GROUP] + self.group_bias, h @ self.out[:, TOKENS // GROUP:] + self.place_bias[group]
+    def wide(self) -> np.ndarray:
+        """What a token adds to each of the positions around it, side by side, the rightmost first; its own position, which it adds nothing to, has a place too."""
+        out = np.zeros((TOKENS + 1, 2 * SIDE + 1, HIDDEN), np.float32)
+        out[:, _SLOTS] = self.tables.transpose(1, 0, 2)
+        return out
+
+    def _hidden(self, wide: np.ndarray, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of windows of ``tokens`` that start ``at``."""
+        rows, first = wide.reshape(-1, HIDDEN), tokens.astype(np.int64) * (2 * SIDE + 1)
+        z = rows.take(first[at + _SHIFTS[0]] + _SLOTS[0], axis=0)
+        for shift, slot in zip(_SHIFTS[1:], _SLOTS[1:]):
+            z += rows.take(first[at + shift] + slot, axis=0)
+        z += self.bias
+        return np.tanh(z, out=z)
+
+    @staticmethod
+    def _with_one(h: np.ndarray) -> np.ndarray:
+        """What the bias of the groups is multiplied by stands in a last column."""
+        return np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1)
+
+    def _outputs(self, h: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Of groups, then of places within the group, small enough for ``exp``."""
+        y = self._with_one(h) @ np.concatenate([self.out, np.append(self.group_bias, np.zeros(GROUP, np.float32))[None]])
+        y[:, GROUPS:] += self.place_bias[group]
+        # No hidden value is above 1, so no output is above its weights together.
+        if np.abs(self.out).sum(axis=0).max() + max(np.abs(self.group_bias).max(), np.abs(self.place_bias).max()) > LARGE:
+            y[:, :GROUPS] -= y[:, :GROUPS].max(axis=1, keepdims=True)
+            y[:, GROUPS:] -= y[:, GROUPS:].max(axis=1, keepdims=True)
+        return y
+
+    def _of_hidden(self, h: np.ndarray, token: np.ndarray) -> np.ndarray:
+        group, place, each = token // GROUP, token % GROUP, np.arange(len(token))
+        y = self._outputs(h, group)
+        total = y[each, group].astype(np.float64) + y[each, GROUPS + place]
+        return total - np.log(np.exp(y, out=y) @ _HALVES).sum(axis=1)
 
     def log_probabilities(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
-        group, place = token // GROUP, token % GROUP
-        each = np.arange(len(token))
-        total = np.zeros(len(token))
-        for z, index in zip(self._outputs(self.hidden(context), group), (group, place)):
-            z -= z.max(axis=1, keepdims=True)
-            total += z[each, index]
-            total -= np.log(np.exp(z, out=z).sum(axis=1))
-        return total
+        return self._of_hidden(self.hidden(context), token)
+
+    def stream_log_probabilities(self, wide: np.ndarray, stream: np.ndarray) -> np.ndarray:
+        """Of every token of a stream that starts and ends with ``SIDE`` times EDGE; ``wide`` is that of the network."""
+        places, found = np.flatnonzero(stream != EDGE), []
+        for k in range(0, len(places), _STEP):
+            at = places[k: k + _STEP]
+            begin = at[0] - SIDE
+            found.append(self._of_hidden(self._hidden(wide, stream[begin: at[-1] + SIDE + 1], at - at[0]), stream[at].astype(np.int64)))
+        return np.concatenate(found) if found else np.zeros(0)
 
     def learn(self, stream: np.ndarray, places: np.ndarray, rate: float) -> None:
-        """One pass of AdaGrad over the windows around ``places`` of a stream of tokens."""
-        seen = [np.full(p.shape, 1e-2, np.float32) for p in self.parts()]
-        around = np.delete(np.arange(-SIDE, SIDE + 1), SIDE)
-        table = np.arange(2 * SIDE) * (TOKENS + 1)
-        for k in range(0, len(places), BATCH):
-            at = places[k: k + BATCH]
-            token, context = stream[at].astype(np.int64), stream[at[:, None] + around].astype(np.int64)
-            group, place, each = token // GROUP, token % GROUP, np.arange(len(at))
-            h = self.hidden(context)
-            outputs = self._outputs(h, group)
-            for z, index in zip(outputs, (group, place)):
-                z -= z.max(axis=1, keepdims=True)
-                np.exp(z, out=z)
-                z /= z.sum(axis=1, keepdims=True)
-                z[each, index] -= 1
-                z /= len(at)
-            z = np.concatenate(outputs, axis=1)
-            dh = (z @ self.out.T) * (1 - h * h)
-            own = np.zeros((len(at), TOKENS // GROUP), np.float32)
-            own[each, group] = 1
-            self._step(2, h.T @ z, seen, rate)
-            self._step(3, outputs[0].sum(axis=0), seen, rate)
-            self._step(4, own.T @ outputs[1], seen, rate)
-            self._step(1, dh.sum(axis=0), seen, rate)
-            self._rows(self.tables.reshape(-1, HIDDEN), seen[0].reshape(-1, HIDDEN), (context + table).astype(np.uint16).ravel(), dh, rate)
+        """One pass of AdaGrad over the windows around ``places`` of a stream of tokens.
+
+        A batch is made of stretches of ``RUN`` positions from all over the stream: a token is looked up, and its gradients are
+        summed, for all positions around it at once.
+        """
+        n = -(-len(stream) // RUN)
+        padded = np.full(n * RUN + 2 * SIDE, EDGE, np.uint16)
+        padded[SIDE: SIDE + len(stream)] = stream
+        wanted = np.zeros(n * RUN, bool)
+        wanted[places] = True
+        wanted = wanted.reshape(n, RUN)
+        runs = np.lib.stride_tricks.sliding_window_view(padded, RUN + 2 * SIDE)[::RUN]
+        order = np.random.default_rng(5).permutation(np.flatnonzero(wanted.any(axis=1)))
+        upto = np.cumsum(wanted[order].sum(axis=1))
+        wide, seen = self.wide(), [np.full(p.shape, 1e-2, np.float32) for p in self.parts()]
+        seen[0] = np.full((TOKENS + 1, wide[0].size), 1e-2, np.float32)
+        for some in np.split(order, np.unique(np.searchsorted(upto, np.arange(BATCH, len(places), BATCH)) + 1)):
+            if len(some):
+                self._batch(runs[some], wanted[some], wide, seen, rate)
+        self.tables[:] = wide[:, _SLOTS].transpose(1, 0, 2)
+
+    def _batch(self, tokens: np.ndarray, wanted: np.ndarray, wide: np.ndarray, seen: list[np.ndarray], rate: float) -> None:
+        run, place = np.nonzero(wanted)
+        token = tokens[run, place + SIDE]
+        by = np.argsort(token, kind="stable")
+        token, run, place = token[by].astype(np.int64), run[by], place[by]
+        group, inside, each = token // GROUP, token % GROUP, np.arange(len(token))
+        h = self._hidden(wide, tokens.ravel(), run * tokens.shape[1] + place)
+        z = self._outputs(h, group)
+        np.exp(z, out=z)
+        halves = z.reshape(len(token), 2, -1)
+        halves *= (1 / ((z @ _HALVES) * np.float32(len(token))))[:, :, None]
+        z[each, group] -= np.float32(1 / len(token))
+        z[each, GROUPS + inside] -= np.float32(1 / len(token))
+        dh = z @ self.out.T
+        dh *= 1 - h * h
+        # The gradients that a token gets from the positions around it stand side by side.
+        around = np.zeros((len(tokens), tokens.shape[1] + 2 * SIDE, HIDDEN), np.float32)
+        around[run, place + 2 * SIDE] = dh
+        own, starts = _heads(group)
+        of_places = np.zeros((GROUPS, GROUP), np.float32)
+        one = np.ones(len(token), np.float32)
+        for g, start, end in zip(own.tolist(), starts.tolist(), [*starts[1:].tolist(), len(token)]):
+            of_places[g] = one[start:end] @ z[start:end, GROUPS:]
+        of_outputs = (z.T @ self._with_one(h)).T
+        self._step(2, of_outputs[:-1], seen, rate)
+        self._step(3, of_outputs[-1, :GROUPS], seen, rate)
+        self._step(4, of_places, seen, rate)
+        self._step(1, dh.sum(axis=0), seen, rate)
+        windows = np.lib.stride_tricks.as_strided(around, (*tokens.shape, wide[0].size), around.strides, writeable=False)
+        self._rows(wide.reshape(TOKENS + 1, -1), seen[0], tokens, windows, rate)
 
     def _step(self, part: int, gradient: np.ndarray, seen: list[np.ndarray], rate: float) -> None:
         seen[part] += gradient * gradient
@@ -121,15 +189,39 @@ class Network:
 
     @staticmethod
     def _rows(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, gradient: np.ndarray, rate: float) -> None:
-        """Each row of the gradient counts for as many successive ``rows``."""
-        order = np.argsort(rows, kind="stable")
-        own = rows[order]
-        starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        total = np.add.reduceat(gradient[order // (len(rows) // len(gradient))], starts)
-        own = own[starts]
-        now = seen[own] + total * total
+        order = np.argsort(rows.ravel(), kind="stable")
+        own, starts = _heads(rows.ravel()[order])
+        counts = np.diff(np.append(starts, len(order)))
+        most = np.argsort(-counts, kind="stable")
+        own, total = own[most], _sums(gradient, np.divmod(order, rows.shape[1]), starts[most], counts[most])
+        now = total * total
+        now += seen.take(own, axis=0)
         seen[own] = now
-        table[own] -= rate * total / np.sqrt(now)
+        total *= rate
+        total /= np.sqrt(now, out=now)
+        table[own] = np.subtract(table.take(own, axis=0), total, out=total)
+
+
+def _heads(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of an ordered array and where each begins."""
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    return ordered[starts], starts
+
+
+def _sums(rows: np.ndarray, at: tuple[np.ndarray, np.ndarray], starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of the rows ``at`` ``counts`` successive places each, largest counts first: the first of all, the second of all, and so on; many at once."""
+
+    def taken(places) -> np.ndarray:
+        return rows[at[0][places], at[1][places]]
+
+    total = taken(starts)
+    more = np.searchsorted(-counts, -np.arange(_FEW + 1)).tolist()  # how many have above k rows
+    for k in range(1, _FEW):
+        if more[k]:
+            total[: more[k]] += taken(starts[: more[k]] + k)
+    for k in range(more[_FEW]):
+        total[k] += taken(slice(starts[k] + _FEW, starts[k] + counts[k])).sum(axis=0)
+    return total
 
 
 def _word_hashes(b: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -142,10 +234,20 @@ def vocabulary(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Hashes of the most frequent words of the whole corpus, most frequent first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for b in blocks(batch, text):
-                h, n = np.unique(_word_hashes(b)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
+            for b in blocks(batch, text, _TEXT):
+                held.append(_word_hashes(b)[0])
+                size += len(held[-1])
+                if size > _HELD:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
     counts = only(docs, text).mapInArrow(tidied(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "word").limit(TOKENS - RARE).toArrow()
@@ -158,12 +260,20 @@ class Tokens:
     def __init__(self, words: np.ndarray):
         self.order = np.argsort(words)
         self.words = words[self.order]
+        # The first word at or after each value of the leading bits; it is the only candidate but where two words share them.
+        lead = self.words >> _LEAD
+        self.first = np.searchsorted(lead, np.arange(1 << (64 - int(_LEAD)), dtype=np.uint64)).astype(np.uint16)
+        self.shared = lead[1:][lead[1:] == lead[:-1]]
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         rare = (TOKENS - RARE + (h >> np.uint64(11)) % np.uint64(RARE)).astype(np.int64)
         if not len(self.words):
             return rare
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        lead = h >> _LEAD
+        at = np.minimum(self.first[lead.astype(np.int64)], len(self.words) - 1)
+        if len(self.shared):
+            some = np.flatnonzero(np.isin(lead, self.shared))
+            at[some] = np.minimum(np.searchsorted(self.words, h[some]), len(self.words) - 1)
         return np.where(self.words[at] == h, self.order[at], rare)
 
 
@@ -180,12 +290,13 @@ def training_packs(docs: DataFrame, words: np.ndarray, text: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, done = Tokens(words), 0
         for batch in batches:
-            for b in blocks(batch, text):
+            packs = []
+            for b in blocks(batch, text, _TEXT):
                 h, first = _word_hashes(b)
-                if not len(h):
-                    continue
-                stream = _stream(token(h), first)
-                packs = [stream[k: k + PACK + 2 * SIDE] for k in range(0, len(stream) - 2 * SIDE, PACK)]
+                if len(h):
+                    stream = _stream(token(h), first)
+                    packs += [stream[k: k + PACK + 2 * SIDE] for k in range(0, len(stream) - 2 * SIDE, PACK)]
+            if packs:
                 texts = [p.tobytes() for p in packs]
                 turns = [crc32(t, done + k) % ROUNDS for k, t in enumerate(texts)]
                 done += len(packs)
@@ -206,6 +317,19 @@ def _places(packs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return stream, np.flatnonzero(wanted)
 
 
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean change of every stretch of the network over the shards that moved it; at most the network is held."""
+    sums: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for at, change in zip(batch.column("at").to_pylist(), batch.column("change").to_pylist()):
+            change = np.frombuffer(change, np.float32)
+            total = sums.setdefault(at, [np.zeros(len(change)), np.zeros(len(change), np.int64)])
+            total[0] += change
+            total[1] += change != 0  # places that no window of a shard touched stay with the average of the others
+    for at, (total, n) in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([(total / np.maximum(n, 1)).tobytes()], pa.binary())], ["at", "change"])
+
+
 def train(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, Network]:
     spark = docs.sparkSession
     words = vocabulary(docs, text)
@@ -223,17 +347,15 @@ def train(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, Network]:
                 return
             stream, places = _places(own)
             network = Network.of(start.value)
-            network.learn(stream, np.random.default_rng(5).permutation(places), rate)
-            flat = network.flat()
-            # Places that no window of the shard touched stay with the average of the others.
-            moved = np.flatnonzero(flat != start.value)
-            for k in range(0, len(moved), 8192):
-                at = moved[k: k + 8192]
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array((flat - start.value)[at].astype(np.float64))], ["at", "change"])
-
-        changes = dealt.mapInArrow(tidied(run), "at int, change double").groupBy("at").agg(F.sum("change").alias("change"), F.count("*").alias("n")).toArrow()
+            network.learn(stream, places, rate)
+            change = network.flat() - start.value
+            for k in range(0, len(change), CHUNK):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([change[k: k + CHUNK].tobytes()], pa.binary())], ["at", "change"])
+
+        changes = dealt.mapInArrow(tidied(run), "at int, change binary").repartition("at").mapInArrow(tidied(_averaged), "at int, change binary")
         flat = network.flat().astype(np.float64)
-        flat[changes.column("at").to_numpy()] += changes.column("change").to_numpy() / changes.column("n").to_numpy()
+        for at, change in zip(*changes.toArrow().to_pydict().values()):
+            flat[at: at + CHUNK] += np.frombuffer(change)
         network = Network.of(flat[:size])
         start.unpersist()
     return words, network
@@ -246,17 +368,11 @@ def score(docs: DataFrame, words: np.ndarray, network: Network, text: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, flat = model.value
         token, network = Tokens(words), Network.of(flat)
-        around = np.delete(np.arange(-SIDE, SIDE + 1), SIDE)
+        wide = network.wide()
         for batch in batches:
-            for b in blocks(batch, text, 1 << 20):
+            for b in blocks(batch, text, _TEXT):
                 h, first = _word_hashes(b)
-                stream = _stream(token(h), first)
-                places = np.flatnonzero(stream != EDGE)
-                log_p = np.zeros(len(h) + 1)
-                for k in range(0, len(h), _STEP):
-                    at = places[k: k + _STEP]
-                    log_p[k + 1: k + 1 + len(at)] = network.log_probabilities(stream[at[:, None] + around].astype(np.int64), stream[at].astype(np.int64))
-                total = np.cumsum(log_p)
+                total = np.append(0, np.cumsum(network.stream_log_probabilities(wide, _stream(token(h), first))))
                 sums, n = total[first[1:]] - total[first[:-1]], np.diff(first)
                 means = pa.array(sums / np.maximum(n, 1), mask=n == 0)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(b.first, b.rows), pa.array(n), pa.array(sums), means], ["doc_id", "n_words", "sum_logprob", "mean_logprob"])

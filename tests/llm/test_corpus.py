@@ -459,3 +459,55 @@ def test_registered(spark, duck, name):
         same(spark, duck, name)
     else:
         assert entry.queries()[name](spark, SMALL).count() > 0
+
+
+def test_pseudo_likelihood_batches(monkeypatch):
+    """A batch moves the network by the gradient of its windows, tokens together or one by one, however often a token occurs."""
+    rng = np.random.default_rng(3)
+    edge, side = lm_score.EDGE, lm_score.SIDE
+    texts = [rng.zipf(1.3, n) % lm_score.TOKENS for n in (1, 700, 2, 300, 90)]
+    stream = np.concatenate([[edge] * side, *(np.append(t, [edge] * side) for t in texts)]).astype("<u2")
+    places = np.flatnonzero(stream != edge)
+    around = np.delete(np.arange(-side, side + 1), side)
+    context, token = stream[places[:, None] + around].astype(int), stream[places].astype(int)
+    assert np.bincount(token).max() > 2 * lm_score._FEW
+    for large in (lm_score.LARGE, 0.0):
+        monkeypatch.setattr(lm_score, "LARGE", large)
+        net, want = lm_score.Network.new(), lm_score.Network.new()
+        net.learn(stream, places, 0.15)  # fewer windows than a batch has
+        h = want.hidden(context)
+        group, place = token // lm_score.GROUP, token % lm_score.GROUP
+        parts = [h @ want.out[:, : lm_score.GROUPS] + want.group_bias, h @ want.out[:, lm_score.GROUPS:] + want.place_bias[group]]
+        for z, own in zip(parts, (group, place)):
+            z[:] = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+            z[np.arange(len(z)), own] -= 1
+            z /= len(z)
+        z = np.concatenate(parts, axis=1)
+        dh = (z @ want.out.T) * (1 - h * h)
+        gradients = [np.zeros_like(p) for p in want.parts()]
+        for k in range(2 * side):
+            np.add.at(gradients[0][k], context[:, k], dh)
+        gradients[1:4] = [dh.sum(axis=0), h.T @ z, parts[0].sum(axis=0)]
+        np.add.at(gradients[4], group, parts[1])
+        for new, old, g in zip(net.parts(), want.parts(), gradients):
+            assert np.allclose(new, old - 0.15 * g / np.sqrt(1e-2 + g * g), atol=1e-5)
+        assert np.allclose(net.stream_log_probabilities(net.wide(), stream), net.log_probabilities(context, token), atol=1e-5)
+
+
+def test_tokens_of_words_that_share_leading_bits():
+    words = np.array([5, 7, 1 << 63, (1 << 63) + 9, 1 << 40], np.uint64)
+    token = lm_score.Tokens(words)
+    assert token(words).tolist() == [0, 1, 2, 3, 4]
+    assert (token(np.array([0, 6, 8, (1 << 63) + 1, (1 << 64) - 1], np.uint64)) >= lm_score.TOKENS - lm_score.RARE).all()
+
+
+def test_pseudo_likelihood_learns_in_cheap_batches():
+    """Windows are learnt from in well under the time of one lookup, sort and sum per window and position."""
+    rng = np.random.default_rng(3)
+    stream = np.append(rng.zipf(1.3, 60_000) % lm_score.TOKENS, [lm_score.EDGE] * 3).astype("<u2")
+    seen = []
+    network = lm_score.Network.new()
+    network._rows = lambda table, seen_rows, rows, *rest: seen.append(rows.size)
+    places = np.arange(3, 60_000)
+    network.learn(stream, places, 0.15)
+    assert sum(seen) < 1.2 * len(places)  # rows sorted and summed; six for each window before
