@@ -47,6 +47,7 @@ LENGTH = 200
 GRAM = 48
 CROWD = 4096
 NO_ID = "no id"  # makes the second hash of a text without an id another one
+_TEXT = 1 << 18  # bytes of text handled at a time; the numbers about them take some hundred times as much
 _LOW = np.uint64((1 << 31) - 1)
 _FAR = np.iinfo(np.int64).max
 
@@ -98,7 +99,7 @@ def _find_contexts(texts: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in blocks(batch):
+            for b in blocks(batch, limit=_TEXT):
                 found = _contexts(b.data, b.offsets, length)
                 if found is None:
                     continue
@@ -121,7 +122,7 @@ def _cut_out(wanted: DataFrame, length: int) -> DataFrame:
             names = ("key", "digest", "back", "windows", "total", "crowd")
             first, n = (np.asarray(items.field(c)) for c in ("first", "windows"))
             where = np.cumsum(np.append(0, per_row))
-            for b in blocks(batch):
+            for b in blocks(batch, limit=_TEXT):
                 own = slice(where[b.first], where[b.last])
                 if own.start == own.stop:
                     continue
@@ -285,7 +286,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", cr
             where = np.cumsum([0, *n])
             flat = lists.flatten()
             begin, finish = (np.asarray(flat.field(c)).astype(np.int64) for c in ("begin", "finish")) if len(flat) else (np.zeros(0, np.int64),) * 2
-            for b in blocks(batch):
+            for b in blocks(batch, limit=_TEXT):
                 data = b.data.tobytes()
                 out = []
                 for k in range(b.rows):

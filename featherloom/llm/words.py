@@ -24,6 +24,7 @@ _BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = np.uint64(int(_random.integers(1 << 40, 1 << 62)) * 2 + 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
+_MORE = 1 << 16  # they grow by
 
 
 @dataclass
@@ -82,7 +83,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def _grown(name: str, factor: np.uint64, n: int) -> np.ndarray:
     if name not in _powers or len(_powers[name]) < n:
-        size = max(n, BLOCK + 64) if n > 1 << 14 else 1 << 14  # as long as texts need, so little on the driver
+        size = 64 - (64 - n) // _MORE * _MORE if n > 1 << 14 else 1 << 14  # as long as texts need, so little on the driver
         steps = np.full(size, factor, np.uint64)
         steps[0] = 1
         table = np.multiply.accumulate(steps)

@@ -4,16 +4,18 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 import __spark_entry__ as entry  # noqa: E402
 from conftest import SMALL  # noqa: E402
-from featherloom.llm import alignment, mixing, variants  # noqa: E402
+from featherloom.llm import alignment, mixing, repeats, variants  # noqa: E402
 from featherloom.session import BROADCAST_ROWS, GROUP_ROWS  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, word string, cell string, size long, count long"
@@ -349,3 +351,21 @@ def test_columns_with_names_of_helpers_stay(spark):
     assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == rows
     kept = quality.accepted(docs, None)
     assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == rows
+
+
+def test_contexts_are_found_in_little_memory():
+    """About thirty times the bytes of a block of 256 KB, whatever a batch of texts has."""
+    rng = np.random.default_rng(0)
+    texts = pa.array(["".join(map(chr, rng.integers(97, 123, 4000))) for _ in range(1000)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000))] * 2 + [texts], ["id", "part", "text"])
+
+    class Texts:
+        def mapInArrow(self, run, schema):
+            return run(iter([batch]))
+
+    sum(b.num_rows for b in repeats._find_contexts(Texts(), 200))
+    tracemalloc.start()
+    assert sum(b.num_rows for b in repeats._find_contexts(Texts(), 200)) > 1000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 << 20
