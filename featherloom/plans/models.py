@@ -37,6 +37,7 @@ _FAMILIES = {
     "xgboost": (GBTRegressor, {"n_estimators": "maxIter", "learning_rate": "stepSize", "max_depth": "maxDepth", "subsample": "subsamplingRate", "random_state": "seed"}, {"maxIter": 100, "stepSize": 0.1, "maxDepth": 3, "seed": 42}),
 }
 MODEL_TYPES = tuple(_FAMILIES)
+FIT_ROWS = 10_000  # rows that are worth a task of their own in each pass of a fit
 
 
 def regressor(model_type: str, parameters: dict | None = None):
@@ -95,7 +96,7 @@ def fit_model(df: DataFrame, model_type: str, target: str, features: Sequence[st
     """Fit on the rows that have a target."""
     need_columns(df, [target, *features])
     rows = _inputs(df.where(q(target).isNotNull()), features).withColumn("__label", q(target).cast("double"))
-    rows = rows.select("__label", *[f"__x{i}" for i in range(len(features))])
+    rows = _dealt(rows.select("__label", *[f"__x{i}" for i in range(len(features))]))
     if model_type == "elastic_net":
         parameters = _elastic(rows, parameters or {})
     assembler = VectorAssembler(inputCols=[f"__x{i}" for i in range(len(features))], outputCol="__features")
@@ -103,6 +104,17 @@ def fit_model(df: DataFrame, model_type: str, target: str, features: Sequence[st
     return FittedModel(model, list(features), target, model_type)
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows for the many passes of a fit, dealt evenly over the cores: a small file of many rows is read by one task or few.
+
+    Equal tables give equal parts in equal order, so draws of rows by a seed agree between runs.
+    """
+    n = min(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // FIT_ROWS))
+    if n < 2:
+        return rows
+    return rows.repartition(n).sortWithinPartitions(*rows.columns)
+
+
 def _elastic(rows: DataFrame, parameters: dict) -> dict:
     """MLlib divides the squared part of the penalty by the label's deviation; strength and ratio that undo it.
 

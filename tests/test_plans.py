@@ -8,6 +8,7 @@ from featherloom.operators import relational as R
 from featherloom.operators import timeseries as S
 from featherloom.operators import windows as W
 from featherloom.operators.profile import profile_text
+from featherloom.plans import models as ML
 from featherloom.plans.chain import FeatureChain
 from featherloom.session import materialise, shared_dir
 from featherloom.sources import files
@@ -78,3 +79,12 @@ def test_csv_nan_becomes_null(spark):
     df = spark.createDataFrame([(1, float("nan")), (2, 1.5)], "a int, b double")
     back = files.load_csv(spark, files.store_csv(df, "nan"), schema="a int, b double")
     assert rows_of(back) == [(1, None), (2, 1.5)]
+
+
+def test_rows_of_one_file_are_dealt_to_fit(spark, tmp_path):
+    spark.range(25_000).select((F.col("id") % 3).alias("y"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("x")).coalesce(1).write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    dealt = [ML._dealt(table).rdd.glom().collect() for _ in range(2)]
+    assert [len(p) for p in dealt[0]] == [8334, 8333, 8333] and dealt[0] == dealt[1]
+    assert sorted(map(str, sum(dealt[0], []))) == sorted(map(str, table.collect()))
+    assert ML._dealt(table.limit(10)).count() == 10
