@@ -172,7 +172,9 @@ def tree_shapley(df: DataFrame, ensemble: Ensemble, keys: Sequence[str]) -> Data
     """(*keys, feature, shapley_value); each row is read once."""
     names = ensemble.features
     # A table of few files would be a few long tasks; the columns read are dealt evenly.
-    rows = df.select(*[q(k) for k in keys], *inputs(names)).repartition(_tasks(df.sparkSession))
+    rows = df.select(*[q(k) for k in keys], *inputs(names))
+    if rows.rdd.getNumPartitions() < _tasks(df.sparkSession):
+        rows = rows.repartition(_tasks(df.sparkSession))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
