@@ -25,6 +25,12 @@ from featherloom.llm.tables import only, partitions
 
 PIECE_WORDS = 8
 SECTION_EVERY = 4
+#: Text that a task of ``with_next`` is meant to get, groups of a task, the least and the most text of a group (a window holds a whole one), and what a row counts beside its text.
+TASK_BYTES = 32 << 20
+GROUPS = 16
+LEAST_BYTES = 64 << 10
+MOST_BYTES = 8 << 20
+ROW_BYTES = 100
 
 
 def _hex(c: Column) -> Column:
@@ -75,38 +81,75 @@ def first_change(name: str, other: str) -> Column:
     return F.when(F.col(f"{name}_root") != F.col(f"{other}_root"), F.coalesce(F.try_element_at(differing, F.lit(1)) - 1, same))
 
 
+def _place() -> Column:
+    """Where a row stands in the order of ``with_next``, as a text that sorts the same way."""
+    def ordered(c: Column) -> Column:
+        return _hex(c.bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
+
+    number = F.col("doc_id").cast("long")
+    return F.concat(F.when(number.isNull(), "1").otherwise(F.concat(F.lit("0"), ordered(F.bitwise_not(number)))), ordered(F.xxhash64("text")))
+
+
+def _sizes(n: int, rows: int, size: int) -> tuple[int, int]:
+    """Tasks, n or more, and bytes of a group for so many rows and bytes: several groups a task, several rows a group."""
+    tasks = max(n, -(-size // TASK_BYTES))
+    return tasks, min(max(size // (GROUPS * tasks), GROUPS * size // max(rows, 1), LEAST_BYTES), MOST_BYTES)
+
+
+def _group_starts(docs: DataFrame, most: int) -> tuple[list[str], bool]:
+    """The first place of each group, and whether rows of one place overfill a group.
+
+    A group has ``most`` bytes at most beside its first place; rows of one place stay together.
+    """
+    n = partitions(docs.sparkSession)
+    places = docs.select(_place().alias("place"), _bytes().alias("size")).repartitionByRange(n, "place").withColumn("part", F.spark_partition_id())
+    # Rows of one place are in one part, and their sum counts all of them.
+    upto = F.sum("size").over(Window.partitionBy("part").orderBy("place"))
+    groups = places.withColumn("group", F.floor((upto - 1) / most)).groupBy("part", "group")
+    found = groups.agg(F.min("place").alias("start"), (F.sum("size") - F.max("size") > most).alias("crowded")).select("start", "crowded").collect()
+    return sorted(r["start"] for r in found), any(r["crowded"] for r in found)
+
+
+def _bytes() -> Column:
+    return F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES
+
+
 def with_next(docs: DataFrame, carry: list[str] | None = None, prepare=None) -> DataFrame:
     """Each row of (doc_id, text) with ``next_<column>`` of the document next in descending doc_id; after the last comes the first.
 
-    The order is doc_id, then a hash of the text; null ids come last. Ids are cut into ranges of about
-    equal size, each a group of a window; the first document of the range below is copied into the range
-    above, so a text moves once. ``prepare`` adds columns after the move, ``carry`` names those wanted.
+    The order is doc_id, then a hash of the text; null ids come last. The order is cut into groups of a window,
+    by bytes and not by ids, so that many rows without an id or with one id are cut as well; the first document
+    of a group is copied into the one before, so other texts move once. ``prepare`` adds columns after the move,
+    ``carry`` names those wanted.
     """
     docs = only(docs, "doc_id", "text")
-    n = partitions(docs.sparkSession)
-    bounds = docs.agg(F.percentile_approx("doc_id", [i / (2 * n) for i in range(1, 2 * n)], 10_000)).first()[0] or []
-    bounds = sorted(set(bounds))
-    number = F.lit(len(bounds) + 1) - F.aggregate(
-        F.lit(bounds) if bounds else F.expr("cast(array() as array<bigint>)"), F.lit(0), lambda a, b: a + F.when(b <= F.col("doc_id"), 1).otherwise(0)
-    )
-    # 0: the largest ids; nulls have a range of their own at the end.
-    docs = docs.withColumn("range", F.when(F.col("doc_id").isNull(), len(bounds) + 2).otherwise(number))
-    heads = sorted((r["range"], r["head"]) for r in docs.groupBy("range").agg(F.max("doc_id").alias("head")).collect())
-    if not heads:
-        above = F.expr("cast(null as int)")
-    else:
-        above = F.lit(None).cast("int")
-        for i, (r, head) in enumerate(heads):
-            above = F.when((F.col("range") == r) & F.col("doc_id").eqNullSafe(F.lit(head)), heads[i - 1][0]).otherwise(above)
-    places = F.filter(F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("copy")), F.struct(above.alias("range"), F.lit(True).alias("copy"))), lambda p: p["range"].isNotNull())
-    placed = docs.withColumn("place", F.explode(places)).select("doc_id", "text", F.col("place.range").alias("range"), F.col("place.copy").alias("copy"))
-    placed = placed.repartition(n, "range")
+    total = docs.agg(F.count(F.lit(1)).alias("rows"), F.sum(_bytes()).alias("size")).first()
+    tasks, most = _sizes(partitions(docs.sparkSession), total["rows"], total["size"] or 0)
+    starts, crowded = _group_starts(docs, most)
+    # One literal and a binary search: neither the depth of the plan nor a row's steps grow with the groups.
+    known, last = F.split(F.lit(",".join(starts)), ","), F.lit(len(starts))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(len(starts), 1).bit_length()))])
+
+    def moves(group: Column) -> Column:
+        above = F.when(F.get(known, group - 1) == F.col("place"), F.when(group == 1, last).otherwise(group - 1))
+        both = F.array(F.struct(group.alias("group"), F.lit(False).alias("copy")), F.struct(above.alias("group"), F.lit(True).alias("copy")))
+        return F.filter(both, lambda m: m["group"].isNotNull())
+
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(known, at + step - 1) <= F.col("place"), at + step).otherwise(at), moves)
+    moved = docs.withColumn("place", _place()).withColumn("move", F.explode(found)).select("doc_id", "text", F.col("move.group").alias("group"), F.col("move.copy").alias("copy"))
+    moved = moved.repartition(tasks, "group")
+    if crowded:
+        # Rows alike are one row up to the end of the window, and follow each other.
+        moved = moved.groupBy("group", "copy", "doc_id", "text").agg(F.count(F.lit(1)).cast("int").alias("alike"))
     if prepare:
-        placed = prepare(placed)
-    order = Window.partitionBy("range").orderBy("copy", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+        moved = prepare(moved)
+    order = Window.partitionBy("group").orderBy("copy", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
     carry = carry or ["text"]
-    after = placed.withColumns({f"next_{c}": F.lead(c).over(order) for c in carry})
-    return after.filter(~F.col("copy")).drop("copy", "range")
+    after = moved.withColumns({f"next_{c}": F.lead(c).over(order) for c in carry}).filter(~F.col("copy")).drop("copy", "group")
+    if crowded:
+        each = F.explode(F.concat(F.array_repeat(F.lit(True), F.col("alike") - 1), F.array(F.lit(False))))
+        after = after.withColumn("alike", each).withColumns({f"next_{c}": F.when(F.col("alike"), F.col(c)).otherwise(F.col(f"next_{c}")) for c in carry}).drop("alike")
+    return after
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
@@ -115,7 +158,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     The edited text: the last half (rounded down, in code points) is replaced by as many first code points
     of the next document, or all it has. One row per row of ``docs``; repeated ids keep their rows.
     """
-    pairs = with_next(docs, ["text", "own_root", "own_leaves"], lambda df: with_tree(df.withColumn("text", F.coalesce("text", F.lit(""))), "text", "own"))
+    docs = only(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    pairs = with_next(docs, ["text", "own_root", "own_leaves"], lambda df: with_tree(df, "text", "own"))
     pairs = pairs.withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 xxhash = pytest.importorskip("xxhash")
@@ -372,6 +373,39 @@ def test_fingerprints(docs):
     assert same[7] == same[8] and len(same[7]) == 1
 
 
+def next_by_hand(table):
+    """(doc_id, text, next text) of each row, by the order of ``with_next``."""
+    order = table.withColumn("h", F.xxhash64("text")).collect()
+    order.sort(key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["h"]))
+    return [(r["doc_id"], r["text"], order[(k + 1) % len(order)]["text"]) for k, r in enumerate(order)]
+
+
+def test_next_with_many_partitions(spark):
+    """The plan stays as deep as it is, and ends, with any number of shuffle partitions."""
+    table = spark.createDataFrame([(7 * k - 3000, f"text {k % 50} of {k}") for k in range(1000)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "400")
+    try:
+        got = merkle.with_next(table).select("doc_id", "text", "next_text").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert bag(got) == bag(next_by_hand(table))
+
+
+@pytest.mark.parametrize("copies", [1, 30])
+def test_next_cuts_rows_that_share_an_id(spark, monkeypatch, copies):
+    """Rows without an id, or with one id, are cut into groups by bytes; rows alike in all are one row of a window."""
+    for name, value in (("LEAST_BYTES", 1), ("MOST_BYTES", 1500)):
+        monkeypatch.setattr(merkle, name, value)
+    rows = [(k % 3 or None if k < 200 else 5 if k < 400 else -k, f"text {k} " + "x" * (k % 7)) for k in range(500)] + [(2**63 - 1, "a"), (-(2**63), "b"), (0, "")]
+    table = spark.createDataFrame(rows + rows[:2] * (copies - 1), "doc_id long, text string")
+    given = []
+    got = merkle.with_next(table, prepare=lambda df: given.append(df) or df).select("doc_id", "text", "next_text").collect()
+    assert bag(got) == bag(next_by_hand(table))
+    sizes = [r["size"] for r in given[0].groupBy("group").agg(F.sum(F.octet_length("text") + merkle.ROW_BYTES).alias("size")).collect()]
+    assert len(sizes) > 30 and max(sizes) < 2000 and ("alike" in given[0].columns) == (copies > 1)
+
+
 def test_quality(spark, docs, empty):
     table, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     machine = quality.train(table, labels)
